@@ -111,4 +111,10 @@ CTES = {
 def with_tables(sql: str, *names: str) -> str:
     """Prefix ``sql`` with the CTEs of the named reference tables."""
     parts = [f"{n} as ({CTES[n].strip()})" for n in names]
-    return ("with " + ",\n".join(parts) + "\n" + sql.strip()) if parts else sql.strip()
+    body = sql.strip()
+    if not parts:
+        return body
+    head = "with " + ",\n".join(parts)
+    if body[:5].lower() == "with ":
+        return head + ",\n" + body[5:]
+    return head + "\n" + body
