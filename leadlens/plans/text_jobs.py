@@ -1 +1,234 @@
-"""Text-pipeline queries (discovery, extraction, pre-filter, clustering)."""
+"""Text-pipeline queries (discovery P3-P6, extraction P7-P14) with DuckDB twins.
+
+The SQL helpers below mirror the Column expressions of ``operators.discover``
+and ``operators.extract`` one to one, using the same pattern constants.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from leadlens.operators import discover as D
+from leadlens.operators import extract as T
+from leadlens.plans.registry import register
+
+
+def q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+# ---- SQL mirrors of the Column expressions ------------------------------------------------
+def s_unescape(x: str) -> str:
+    for ent, ch in T.ENTITIES:
+        x = f"replace({x}, {q(ent)}, {q(ch)})"
+    return x
+
+
+def s_text_of(x: str) -> str:
+    t = f"regexp_replace({x}, {q(T.TAG)}, ' ', 'g')"
+    return f"trim(regexp_replace({s_unescape(t)}, {q(T.SPACES)}, ' ', 'g'))"
+
+
+def s_strip_noise(h: str) -> str:
+    return f"regexp_replace({h}, {q(T.NOISE)}, '', 'g')"
+
+
+def s_nonempty(x: str) -> str:
+    return f"nullif({x}, '')"
+
+
+def s_paragraph_text(h: str) -> str:
+    paras = f"regexp_extract_all({s_strip_noise(h)}, {q(T.PARAGRAPH)}, 1)"
+    texts = f"list_transform({paras}, lambda p: {s_text_of('p')})"
+    return f"array_to_string(list_filter({texts}, lambda t: t <> ''), chr(10))"
+
+
+def s_main_text(h: str) -> str:
+    hh = s_strip_noise(h)
+    scope = (f"coalesce({s_nonempty(f'regexp_extract({hh}, {q(T.ARTICLE)}, 1)')}, "
+             f"{s_nonempty(f'regexp_extract({hh}, {q(T.MAIN)}, 1)')}, "
+             f"{s_nonempty(f'regexp_extract({hh}, {q(T.BODY)}, 1)')}, {hh})")
+    return s_text_of(f"regexp_replace({scope}, {q(T.BOILERPLATE)}, ' ', 'g')")
+
+
+def s_json_ld_field(h: str, field: str) -> str:
+    js = s_nonempty(f"regexp_extract({h}, {q(T.JSON_LD)}, 1)")
+    return (f"case when json_valid({js}) then coalesce(json_extract_string({js}, '$.{field}'), "
+            f"json_extract_string({js}, '$[0].{field}')) end")
+
+
+def s_title(h: str) -> str:
+    return (f"coalesce({s_nonempty(s_text_of(f'regexp_extract({h}, {q(T.H1)}, 1)'))}, "
+            f"{s_nonempty(s_text_of(f'regexp_extract({h}, {q(T.TITLE)}, 1)'))}, "
+            f"{s_nonempty('trim(' + s_json_ld_field(h, 'headline') + ')')})")
+
+
+def s_extract(h: str) -> tuple[str, str]:
+    cands = [("json_ld", s_json_ld_field(h, "articleBody")), ("paragraphs", s_paragraph_text(h)),
+             ("main", s_main_text(h))]
+    text = "coalesce(" + ", ".join(f"case when length({x}) > {T.MIN_TEXT} then {x} end" for _, x in cands) + ")"
+    method = "coalesce(" + ", ".join(f"case when length({x}) > {T.MIN_TEXT} then '{n}' end" for n, x in cands) + ")"
+    return text, method
+
+
+def s_normalize_url(u: str) -> str:
+    u = f"trim({u})"
+    P = q(D.URL_PARTS)
+    scheme = f"lower(regexp_extract({u}, {P}, 1))"
+    host = f"lower(regexp_extract({u}, {P}, 2))"
+    path = f"regexp_replace(regexp_extract({u}, {P}, 3), '/+$', '')"
+    query = f"regexp_replace(regexp_extract({u}, {P}, 4), '^\\?', '')"
+    drops = ", ".join(q(p) for p in D.DROP_PARAMS)
+    keep = (f"lambda x: x <> '' and not starts_with(lower(split_part(x, '=', 1)), {q(D.DROP_PARAM_PREFIX)}) "
+            f"and lower(split_part(x, '=', 1)) not in ({drops})")
+    qs = f"array_to_string(list_filter(string_split({query}, '&'), {keep}), '&')"
+    norm = f"{scheme} || '://' || {host} || {path} || case when {qs} <> '' then '?' || {qs} else '' end"
+    return f"case when regexp_matches({u}, {P}) then {norm} end"
+
+
+def s_resolve(h0: str, b: str) -> str:
+    h = f"trim(replace({h0}, '&amp;', '&'))"
+    P = q(D.URL_PARTS)
+    scheme = f"lower(regexp_extract({b}, {P}, 1))"
+    host = f"regexp_extract({b}, {P}, 2)"
+    path = f"regexp_extract({b}, {P}, 3)"
+    bd = f"regexp_extract({path}, '^(.*/)', 1)"
+    base_dir = f"case when {bd} = '' then '/' else {bd} end"
+    out = (f"case when regexp_matches({h}, {q(D.HTTP)}) then {h} "
+           f"when starts_with({h}, '//') then {scheme} || ':' || {h} "
+           f"when starts_with({h}, '#') or {h} = '' then null "
+           f"when regexp_matches({h}, {q(D.HAS_SCHEME)}) then null "
+           f"when starts_with({h}, '/') then {scheme} || '://' || {host} || {h} "
+           f"else {scheme} || '://' || {host} || {base_dir} || {h} end")
+    return (f"case when regexp_matches({b}, {P}) then {out} "
+            f"when regexp_matches({h}, {q(D.HTTP)}) then {h} end")
+
+
+SQL_LINKS = f"""links as (select page_id, pos, link from (
+  select page_id, {s_resolve('href', 'url')} as link, pos from (
+    select page_id, url, unnest(range(len(l))) as pos, unnest(l) as href
+    from (select page_id, url, regexp_extract_all(html, {q(D.HREF)}, 1) as l from pages) a) b) c
+  where link is not null and regexp_matches(link, {q(D.HTTP)}))"""
+
+
+# ---- discovery --------------------------------------------------------------------------
+@register("p3_html_links", f"with {SQL_LINKS} select * from links")
+def p3_html_links(c):
+    """Links of every page, resolved, http(s) only."""
+    return D.html_links(c.pages)
+
+
+@register("p4_url_normalize", f"""
+select url_id, url, {s_normalize_url('url')} as url_norm, sha256({s_normalize_url('url')}) as url_hash
+from url_state""", ("url_state",))
+def p4_url_normalize(c):
+    """Normalised URL and its SHA-256."""
+    return D.with_url_key(c.url_state.select("url_id", "url"))
+
+
+@register("p5_url_dedupe", f"""with {SQL_LINKS},
+k as (select page_id, pos, link, sha256({s_normalize_url('link')}) as url_hash from links)
+select url_hash, page_id, link, copies from (
+  select *, row_number() over (partition by url_hash order by page_id, pos) as rn,
+    count(*) over (partition by url_hash) as copies from k where url_hash is not null) t where rn = 1""")
+def p5_url_dedupe(c):
+    """P5: discovered links deduplicated by normalised-URL hash, earliest page first."""
+    links = D.with_url_key(D.html_links(c.pages), "link")
+    return D.dedupe_urls(links, ["page_id", "pos"], ["page_id", "link"])
+
+
+def _sql_fetch(n: int) -> str:
+    return f"""select * from (select *, row_number() over (partition by source_id
+  order by discovered_at asc nulls last, url_id) as rank from url_state where status = 'new') t where rank <= {n}"""
+
+
+@register("p6_fetch_queue", _sql_fetch(30), ("url_state",))
+def p6_fetch_queue(c):
+    """P6 + W5: fetch queue, at most 30 new URLs per source."""
+    return D.fetch_queue(c.url_state, 30)
+
+
+@register("p6_fetch_queue_cap2", _sql_fetch(2), ("url_state",))
+def p6_fetch_queue_cap2(c):
+    """P6 with a cap of 2 per source (the cap binds at small scale)."""
+    return D.fetch_queue(c.url_state, 2)
+
+
+# ---- extraction ------------------------------------------------------------------------
+@register("p7_json_ld", f"""
+select page_id, {s_json_ld_field('html', 'articleBody')} as article_body, {s_json_ld_field('html', 'headline')} as headline
+from pages""")
+def p7_json_ld(c):
+    """JSON-LD articleBody / headline (NULL when absent or broken)."""
+    return c.pages.select("page_id", T.json_ld_field("html", "articleBody").alias("article_body"),
+                          T.json_ld_field("html", "headline").alias("headline"))
+
+
+@register("p8_paragraph_text", f"select page_id, {s_paragraph_text('html')} as text from pages")
+def p8_paragraph_text(c):
+    """Paragraph scraping."""
+    return c.pages.select("page_id", T.paragraph_text("html").alias("text"))
+
+
+@register("p9_main_text", f"select page_id, {s_main_text('html')} as text from pages")
+def p9_main_text(c):
+    """Main-content heuristic."""
+    return c.pages.select("page_id", T.main_text("html").alias("text"))
+
+
+_text, _method = s_extract("html")
+
+
+@register("p10_extract", f"""
+select page_id, url, {_text} as clean_text, {_method} as extract_method, {s_title('html')} as title from pages""")
+def p10_extract(c):
+    """P10 + P11: extraction chain (first method over 100 chars) and title."""
+    return T.extract(c.pages).select("page_id", "url", "clean_text", "extract_method", "title")
+
+
+def _sql_garbage() -> str:
+    parts = []
+    for name, col, pat in T.GARBAGE_RULES:
+        parts.append(f"when coalesce(regexp_matches({col}, {q(pat)}), false) then '{name}'")
+    parts.append(f"when coalesce(length(clean_text), 0) <= {T.MIN_TEXT} then 'too_short'")
+    return "case " + " ".join(parts) + " end"
+
+
+@register("p12_garbage_flags", f"""
+select item_id, {_sql_garbage()} as reject_reason,
+  case when {_sql_garbage()} is not null then 'extract_v2' else classifier_model end as classifier_model from items""",
+          ("items",))
+def p12_garbage_flags(c):
+    """Garbage rules (PDF, captcha, login, too short)."""
+    return T.flag_garbage(c.items).select("item_id", "reject_reason", "classifier_model")
+
+
+@register("p13_ready_for_scoring", f"""
+select item_id, length(clean_text) as n_chars from items
+where clean_text is not null and length(clean_text) > {T.MIN_TEXT} and lead_score is null""", ("items",))
+def p13_ready_for_scoring(c):
+    """P13 + X7: items ready for the model."""
+    return T.ready_for_scoring(c.items).select("item_id", F.length("clean_text").alias("n_chars"))
+
+
+def _sql_prefilter() -> tuple[str, str]:
+    low = "lower(clean_text)"
+    passed = f"coalesce(regexp_matches({low}, {q(T.keyword_pattern(T.KEYWORDS))}), false)"
+    hits = ", ".join(f"case when regexp_matches({low}, {q(T.keyword_pattern([w]))}) then {q(w)} end"
+                     for w in T.KEYWORDS)
+    matched = f"array_to_string(list_filter([{hits}], lambda x: x is not null), ',')"
+    return passed, matched
+
+
+_passed, _matched = _sql_prefilter()
+
+
+@register("p14_keyword_prefilter", f"""
+select item_id, {_passed} as prefilter_pass, {_matched} as matched_keywords,
+  case when not {_passed} then 0 else lead_score end as lead_score,
+  case when not {_passed} then 'pre-filter' else classifier_model end as classifier_model from items""", ("items",))
+def p14_keyword_prefilter(c):
+    """Keyword pre-filter over the article text."""
+    return (T.prefilter(c.items)
+            .select("item_id", "prefilter_pass", F.array_join("matched_keywords", ",").alias("matched_keywords"),
+                    "lead_score", "classifier_model"))
