@@ -232,3 +232,68 @@ def p14_keyword_prefilter(c):
     return (T.prefilter(c.items)
             .select("item_id", "prefilter_pass", F.array_join("matched_keywords", ",").alias("matched_keywords"),
                     "lead_score", "classifier_model"))
+
+
+# ---- model replies, charset repair, story clustering ----------------------------------------
+def _replies(c):
+    """Model replies round-tripped from stored scores: JSON in chatter; every 7th item
+    sends the score as a JSON string, every 11th as a decimal string."""
+    from leadlens.operators import classify as C
+
+    s = c.item_scores
+    iid = F.col("item_id")
+    score = (F.when(iid % 11 == 0, F.concat(F.col("lead_score").cast("string"), F.lit(".5")))
+             .when(iid % 7 == 0, F.col("lead_score").cast("string")))
+    fields = {f: F.col(f"lead_{f}") for f in C.REPLY_FIELDS}
+    raw = F.when(score.isNotNull(), C.reply_text(score, fields)).otherwise(C.reply_text(F.col("lead_score"), fields))
+    return s.select("item_id", "model", "prompt_version", raw.alias("raw"))
+
+
+@register("p15_reply_ingest", """
+select item_id, model, prompt_version,
+  case when item_id % 11 = 0 and lead_score is not null then null
+       when lead_score between 1 and 10 then lead_score end as lead_score,
+  case when lead_score is null then 'missing_score'
+       when item_id % 11 = 0 then 'not_integer'
+       when lead_score not between 1 and 10 then 'out_of_range' end as invalid_reason,
+  lead_company, lead_city, lead_country, lead_description, lead_who, lead_what, lead_when, lead_reason
+from item_scores""", ("item_scores",))
+def p15_reply_ingest(c):
+    """Parse and validate model replies (score 1..10, integers only)."""
+    from leadlens.operators import classify as C
+
+    out = C.parse_replies(_replies(c))
+    return out.select("item_id", "model", "prompt_version", "lead_score", "invalid_reason",
+                      *[f"lead_{f}" for f in C.REPLY_FIELDS])
+
+
+@register("p17_repair_text")
+def p17_repair_text(c):
+    """Code-page repair of titles and text (Python only on trigger rows)."""
+    from leadlens.functions.textfix import repair_text
+
+    i = c.items
+    t, x = repair_text("title"), repair_text("clean_text")
+    return i.select("item_id", t.alias("title"), x.alias("clean_text"),
+                    (~F.col("title").eqNullSafe(t) | ~F.col("clean_text").eqNullSafe(x)).alias("changed"))
+
+
+@register("p18_exact_duplicates", """
+with d as (select item_id, md5(lower(trim(regexp_replace(clean_text, '\\s+', ' ', 'g')))) as text_md5,
+             coalesce(published_at, created_at) as t from items where clean_text is not null),
+g as (select *, count(*) over (partition by text_md5) as copies, min(item_id) over (partition by text_md5) as cluster_id,
+        row_number() over (partition by text_md5 order by t asc nulls last, item_id) as rn from d)
+select item_id, cluster_id, copies, rn = 1 as is_cluster_canonical, text_md5 from g where copies > 1""", ("items",))
+def p18_exact_duplicates(c):
+    """P18 (exact part): copies of the same normalised text."""
+    from leadlens.operators import cluster as K
+
+    return K.exact_duplicate_clusters(c.items)
+
+
+@register("p18_story_clusters")
+def p18_story_clusters(c):
+    """Exact + MinHash-band story clusters (iterative; checked against brute force in tests)."""
+    from leadlens.operators import cluster as K
+
+    return K.story_clusters(c.items).select("item_id", "source_id", "cluster_id", "is_cluster_canonical")
