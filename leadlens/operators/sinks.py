@@ -25,7 +25,17 @@ def append_labels(changes: DataFrame, path: str, as_of) -> None:
      .write.mode("append").parquet(path))
 
 
-def write_csv(df: DataFrame, path: str, bom: bool = False, single_file: bool = False) -> None:
+# Text written exactly: microsecond timestamps, no whitespace trimming.
+CSV_OPTIONS = {"header": True, "escape": '"', "encoding": "UTF-8",
+               "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+               "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+               "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+# Snapshots must tell NULL from '' (CSV can't by itself): NULL is written as \N.
+SNAPSHOT_NULL = "\\N"
+
+
+def write_csv(df: DataFrame, path: str, bom: bool = False, single_file: bool = False,
+              null_value: str | None = None) -> None:
     """CSV with header.  ``bom`` puts U+FEFF before the first header name.
 
     ``single_file`` coalesces to one task, for downloads of a filtered set
@@ -36,8 +46,10 @@ def write_csv(df: DataFrame, path: str, bom: bool = False, single_file: bool = F
         df = df.withColumnRenamed(first, BOM + first)
     if single_file:
         df = df.coalesce(1)
-    (df.write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", False)
-     .option("encoding", "UTF-8").csv(path))
+    w = df.write.mode("overwrite").options(**CSV_OPTIONS)
+    if null_value is not None:
+        w = w.option("nullValue", null_value)
+    w.csv(path)
 
 
 def export_file_name(pv: str, min_score: int, epoch: int | None = None) -> str:
@@ -73,7 +85,7 @@ def write_leads_table(crm: DataFrame, path: str) -> None:
 def gold_snapshot(items: DataFrame, lead_labels: DataFrame, sources: DataFrame, folder: str) -> None:
     """K5: items, labels and sources to CSV with header (round-trips with sources.io.read_table_csv)."""
     for name, df in (("items", items), ("lead_labels", lead_labels), ("sources", sources)):
-        write_csv(df, f"{folder}/{name}")
+        write_csv(df, f"{folder}/{name}", null_value=SNAPSHOT_NULL)
 
 
 def export_scores(item_scores: DataFrame, path: str) -> None:

@@ -280,7 +280,8 @@ def p17_repair_text(c):
 
 @register("p18_exact_duplicates", """
 with d as (select item_id, md5(lower(trim(regexp_replace(clean_text, '\\s+', ' ', 'g')))) as text_md5,
-             coalesce(published_at, created_at) as t from items where clean_text is not null),
+             coalesce(published_at, created_at) as t from items
+           where length(lower(trim(regexp_replace(clean_text, '\\s+', ' ', 'g')))) > 0),
 g as (select *, count(*) over (partition by text_md5) as copies, min(item_id) over (partition by text_md5) as cluster_id,
         row_number() over (partition by text_md5 order by t asc nulls last, item_id) as rn from d)
 select item_id, cluster_id, copies, rn = 1 as is_cluster_canonical, text_md5 from g where copies > 1""", ("items",))

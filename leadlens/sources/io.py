@@ -33,13 +33,17 @@ def table_exists(spark: SparkSession, name: str) -> bool:
     return spark.catalog.tableExists(name)
 
 
-def read_table_csv(spark: SparkSession, path: str, name: str) -> DataFrame:
+def read_table_csv(spark: SparkSession, path: str, name: str, null_value: str = "\\N") -> DataFrame:
     """A table exported as CSV with header, read back with its explicit schema.
 
-    Article text holds newlines and quotes, hence multiLine and '"' escapes.
+    Article text holds newlines and quotes, hence multiLine and '"' escapes;
+    whitespace is kept and NULL is the ``\\N`` marker of our snapshots
+    (pass ``null_value=""`` for files where an empty field means NULL).
     """
-    return (spark.read.schema(SCHEMAS[name]).option("header", True).option("multiLine", True)
-            .option("escape", '"').option("mode", "FAILFAST").csv(path))
+    from leadlens.operators.sinks import CSV_OPTIONS
+
+    return (spark.read.schema(SCHEMAS[name]).options(**CSV_OPTIONS).option("multiLine", True)
+            .option("nullValue", null_value).option("mode", "FAILFAST").csv(path))
 
 
 def restore_gold(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
