@@ -160,19 +160,36 @@ def ready_for_scoring(items: DataFrame, min_len: int = MIN_TEXT) -> DataFrame:
 
 
 # ---- P14 ---------------------------------------------------------------------------------
+WORD_SPLIT = r"[^\p{L}\p{N}_]+"
+
+
+def _is_word(w: str) -> bool:
+    return all(ch.isalnum() or ch == "_" for ch in w)
+
+
 def keyword_matches(text, words=KEYWORDS) -> Column:
-    """Keywords found as whole words (one static pattern per keyword)."""
+    """Keywords found as whole words, in list order.
+
+    Single words are looked up in the text's token array (one split per
+    text, hash-set intersection) instead of one regex scan per keyword;
+    phrases fall back to a whole-word regex.
+    """
     low = F.lower(_c(text))
-    hits = [F.when(low.rlike(keyword_pattern([w])), F.lit(w)) for w in words]
+    tokens = F.split(low, WORD_SPLIT)
+    if all(_is_word(w) for w in words):
+        return F.array_intersect(F.array(*[F.lit(w) for w in words]), tokens)
+    hits = [F.when(F.array_contains(tokens, w), F.lit(w)) if _is_word(w)
+            else F.when(low.rlike(keyword_pattern([w])), F.lit(w)) for w in words]
     return F.filter(F.array(*hits), lambda x: x.isNotNull())
 
 
 def prefilter(items: DataFrame, text: str = "clean_text", words=KEYWORDS) -> DataFrame:
     """Keyword pre-filter; rejects get score 0 and classifier_model 'pre-filter'."""
-    low = F.lower(F.col(text))
-    passed = F.coalesce(low.rlike(keyword_pattern(words)), F.lit(False))
-    return (items.withColumn("prefilter_pass", passed)
-            .withColumn("matched_keywords", keyword_matches(text, words))
+    matched = keyword_matches(text, words)
+    out = items.withColumn("matched_keywords", F.coalesce(matched, F.array().cast("array<string>")))
+    passed = F.size("matched_keywords") > 0
+    return (out.withColumn("prefilter_pass", passed)
+            .select(*items.columns, "prefilter_pass", "matched_keywords")
             .withColumn("lead_score", F.when(~F.col("prefilter_pass"), F.lit(0)).otherwise(F.col("lead_score")))
             .withColumn("classifier_model",
                         F.when(~F.col("prefilter_pass"), F.lit("pre-filter")).otherwise(F.col("classifier_model"))))
