@@ -84,13 +84,17 @@ def members_of_leads(base: DataFrame, items: DataFrame) -> DataFrame:
             .drop("member_time"))
 
 
-def lead_display(base: DataFrame, as_of=None) -> DataFrame:
-    """The per-row display fields of a lead card, computed in the JVM."""
+def lead_display(base: DataFrame, items: DataFrame, as_of=None) -> DataFrame:
+    """The per-row display fields of a lead card, computed in the JVM.
+
+    ``as_of`` defaults to the newest items.created_at (a scalar subquery on
+    one column of items, not a second evaluation of the lead set).
+    """
     from leadlens.functions.country import flag_expr
     from leadlens.operators.analytics import as_of_col
 
     cards = B.lead_card(base)
-    t = as_of_col(base, "created_at", as_of)
+    t = as_of_col(items, "created_at", as_of)
     company = X.display_company("company")
     country = X.blank_placeholder("country")
     project = X.blank_placeholder("what")
