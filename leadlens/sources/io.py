@@ -77,5 +77,5 @@ def gold_import(rows: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
 
 def landing_payloads(spark: SparkSession, folder: str, kind: str) -> DataFrame:
     """Raw fetched payloads from a landing folder, one row per file."""
-    df = spark.read.option("wholetext", True).text(folder)
+    df = spark.read.text(folder, wholetext=True)
     return df.select(F.input_file_name().alias("path"), F.lit(kind).alias("kind"), F.col("value").alias("body"))
