@@ -38,6 +38,16 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def ntz_micros(t) -> Column:
+    """Microseconds since 1970-01-01 of a TIMESTAMP_NTZ, independent of the session zone
+    (a cast to TIMESTAMP would go through the zone and fold DST gaps)."""
+    t = col(t)
+    days = F.datediff(F.to_date(t), F.lit("1970-01-01").cast("date")).cast("long")
+    secs = F.date_part(F.lit("SECOND"), t)
+    return (days * 86_400_000_000 + F.hour(t).cast("long") * 3_600_000_000
+            + F.minute(t).cast("long") * 60_000_000 + (secs * 1_000_000).cast("long"))
+
+
 # X3a
 def activity_band(score) -> Column:
     s = col(score)

@@ -70,7 +70,7 @@ def latest_label(lead_labels: DataFrame) -> DataFrame:
     """
     t = F.col("labeled_at")
     key = F.struct(t.isNotNull().alias("has_t"),
-                   (-F.unix_micros(t.cast("timestamp"))).alias("neg_t"),
+                   (-X.ntz_micros(t)).alias("neg_t"),
                    F.col("label").alias("label"))
     return (lead_labels.groupBy("item_id")
             .agg(F.min(key).alias("k"))

@@ -14,6 +14,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from leadlens.plans.fixture_sql import with_tables
+from leadlens.session import ensure_checkpoint_dir
 from leadlens.sources.tables import Catalog
 
 
@@ -41,6 +42,9 @@ def spark_callable(name: str) -> Callable[[SparkSession, str], DataFrame]:
     q = REGISTRY[name]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        # day buckets of TIMESTAMP casts (streaming forms, display ages) assume UTC
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        ensure_checkpoint_dir(spark)
         return q.build(Catalog(spark, sf_dir))
     run.__name__ = name
     run.__doc__ = q.doc

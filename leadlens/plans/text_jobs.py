@@ -104,7 +104,7 @@ def s_resolve(h0: str, b: str) -> str:
             f"when regexp_matches({h}, {q(D.HTTP)}) then {h} end")
 
 
-SQL_LINKS = f"""links as (select page_id, pos, link from (
+SQL_LINKS = f"""links as (select page_id, cast(pos as integer) as pos, link from (
   select page_id, {s_resolve('href', 'url')} as link, pos from (
     select page_id, url, unnest(range(len(l))) as pos, unnest(l) as href
     from (select page_id, url, regexp_extract_all(html, {q(D.HREF)}, 1) as l from pages) a) b) c
@@ -138,8 +138,9 @@ def p5_url_dedupe(c):
 
 
 def _sql_fetch(n: int) -> str:
-    return f"""select * from (select *, row_number() over (partition by source_id
-  order by discovered_at asc nulls last, url_id) as rank from url_state where status = 'new') t where rank <= {n}"""
+    return f"""select * from (select *, cast(row_number() over (partition by source_id
+  order by discovered_at asc nulls last, url_id) as integer) as rank from url_state where status = 'new') t
+  where rank <= {n}"""
 
 
 @register("p6_fetch_queue", _sql_fetch(30), ("url_state",))
@@ -204,7 +205,7 @@ def p12_garbage_flags(c):
 
 
 @register("p13_ready_for_scoring", f"""
-select item_id, length(clean_text) as n_chars from items
+select item_id, cast(length(clean_text) as integer) as n_chars from items
 where clean_text is not null and length(clean_text) > {T.MIN_TEXT} and lead_score is null""", ("items",))
 def p13_ready_for_scoring(c):
     """P13 + X7: items ready for the model."""
