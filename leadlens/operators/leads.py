@@ -65,15 +65,19 @@ def review_status_counts(review: DataFrame) -> DataFrame:
 
 
 def changed_labels(shown: DataFrame, edited: DataFrame) -> DataFrame:
-    """M6: rows whose edited status differs from the shown one, matched by item_id.
+    """M6: items whose edited status differs from the shown one, matched by item_id.
 
+    Review rows are score rows, so an item shown for several models appears
+    several times; both sides are reduced to distinct (item_id, status)
+    first, giving one label row per changed item and new status.
     Returns (item_id, label, labeled_by='gui') ready for the K1 append.
     """
-    e = edited.select("item_id", F.col("status").alias("new_status"))
-    s = shown.select("item_id", F.col("status").alias("old_status"))
+    e = edited.select("item_id", F.col("status").alias("new_status")).distinct()
+    s = shown.select("item_id", F.col("status").alias("old_status")).distinct()
     return (e.join(s, "item_id")
             .where(~F.col("new_status").eqNullSafe(F.col("old_status")))
-            .select("item_id", F.col("new_status").alias("label"), F.lit("gui").alias("labeled_by")))
+            .select("item_id", F.col("new_status").alias("label"), F.lit("gui").alias("labeled_by"))
+            .distinct())
 
 
 def members_of_leads(base: DataFrame, items: DataFrame) -> DataFrame:

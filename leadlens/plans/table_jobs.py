@@ -82,9 +82,10 @@ def m4_url_upsert(c):
 # ---- M6 ---------------------------------------------------------------------------------
 @register("m6_changed_labels", f"""with {sql_base(REVIEW_MIN)},
 shown as ({SQL_REVIEW} from base order by score desc, item_id, model limit 100),
-edited as (select item_id, case when item_id % 3 = 0 then 'confirmed' else status end as status from shown)
-select e.item_id, e.status as label, 'gui' as labeled_by
-from edited e join shown s on s.item_id = e.item_id where e.status is distinct from s.status""", (I, S, LL))
+edited as (select distinct item_id, case when item_id % 3 = 0 then 'confirmed' else status end as status from shown),
+shown_d as (select distinct item_id, status from shown)
+select distinct e.item_id, e.status as label, 'gui' as labeled_by
+from edited e join shown_d s on s.item_id = e.item_id where e.status is distinct from s.status""", (I, S, LL))
 def m6_changed_labels(c):
     """M6: review edits (every third item confirmed) that differ from the shown status."""
     shown = L.review_queue(c.item_scores, c.items, c.lead_labels, PV, REVIEW_MIN, "all")
