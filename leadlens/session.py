@@ -17,8 +17,23 @@ _DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # Sizing for large inputs: 256 MB scan splits, shuffle partitions coalesced by
+    # AQE towards 128 MB, partitions over 256 MB (and 5x the median) split in joins.
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    # Selective join sides prune the big side before its shuffle.
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    # Broadcast only below a checked size (AQE measures the real size at run time).
+    "spark.sql.autoBroadcastJoinThreshold": "32m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "32m",
 }
 
+# On a cluster, start with many shuffle partitions and let AQE coalesce them:
+# enough that a 100 TB shuffle stays near the advisory size per task.
+CLUSTER_SHUFFLE_PARTITIONS = 20000
+
 
 def build_session(master: str | None = None, app: str = "leadlens",
                   shuffle_partitions: int | None = None,
@@ -34,6 +49,8 @@ def build_session(master: str | None = None, app: str = "leadlens",
         b = b.config(k, v)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    elif not master:
+        b = b.config("spark.sql.shuffle.partitions", str(CLUSTER_SHUFFLE_PARTITIONS))
     for k, v in (extra or {}).items():
         b = b.config(k, v)
     spark = b.getOrCreate()
