@@ -47,6 +47,28 @@ def count_where(df: DataFrame, pred: Column | None = None) -> Column:
     return df.agg(agg).scalar()
 
 
+def table_row(df: DataFrame, **aggs: Column) -> Column:
+    """All aggregates over one table as a single struct-valued scalar subquery.
+
+    J6 in its preferred form: one scan (and one conditional-aggregate pass)
+    per table, whatever the number of counters read from it.
+    """
+    return df.agg(F.struct(*[a.alias(k) for k, a in aggs.items()]).alias("r")).scalar()
+
+
+def rows_to_one(spark, *fields: tuple[str, Column, str]) -> DataFrame:
+    """Flatten (output name, struct subquery, field) triples into a one-row frame."""
+    subs: dict[int, tuple[str, Column]] = {}
+    for _, sub, _f in fields:
+        subs.setdefault(id(sub), (f"_t{len(subs)}", sub))
+    base = spark.range(1).select(*[c.alias(n) for n, c in subs.values()])
+    return base.select(*[F.col(f"{subs[id(sub)][0]}.{f}").alias(name) for name, sub, f in fields])
+
+
+def _n(pred: Column | None = None) -> Column:
+    return F.count(F.lit(1)) if pred is None else F.count_if(pred)
+
+
 def _pv(df: DataFrame, pv: str) -> DataFrame:
     return df.where(F.col("prompt_version") == pv)
 
@@ -70,11 +92,10 @@ def prompt_versions(item_scores: DataFrame) -> DataFrame:
 def hero(items: DataFrame, item_scores: DataFrame, pv: str) -> DataFrame:
     """A1: sources, articles, leads (>=5), strong leads (>=7) — score rows, all models."""
     s = _pv(item_scores, pv)
-    return one_row(items.sparkSession,
-                   sources=items.agg(F.countDistinct("source_id")).scalar(),
-                   articles=count_where(items),
-                   leads=count_where(s, F.col("lead_score") >= 5),
-                   strong_leads=count_where(s, F.col("lead_score") >= 7))
+    i = table_row(items, sources=F.countDistinct("source_id"), articles=_n())
+    sc = table_row(s, leads=_n(F.col("lead_score") >= 5), strong_leads=_n(F.col("lead_score") >= 7))
+    return rows_to_one(items.sparkSession, ("sources", i, "sources"), ("articles", i, "articles"),
+                       ("leads", sc, "leads"), ("strong_leads", sc, "strong_leads"))
 
 
 def lead_counters(items: DataFrame, item_scores: DataFrame, pv: str) -> DataFrame:
@@ -82,21 +103,19 @@ def lead_counters(items: DataFrame, item_scores: DataFrame, pv: str) -> DataFram
     s = _pv(item_scores, pv)
     pending = (F.col("clean_text").isNotNull() & (F.length("clean_text") > 100)
                & F.col("lead_score").isNull())
-    return one_row(items.sparkSession,
-                   articles=count_where(items),
-                   leads=count_where(s, F.col("lead_score") >= 5),
-                   strong_leads=count_where(s, F.col("lead_score") >= 7),
-                   pending=count_where(items, pending))
+    i = table_row(items, articles=_n(), pending=_n(pending))
+    sc = table_row(s, leads=_n(F.col("lead_score") >= 5), strong_leads=_n(F.col("lead_score") >= 7))
+    return rows_to_one(items.sparkSession, ("articles", i, "articles"), ("leads", sc, "leads"),
+                       ("strong_leads", sc, "strong_leads"), ("pending", i, "pending"))
 
 
 def analytics_hero(items: DataFrame, item_scores: DataFrame, pv: str) -> DataFrame:
     """Sources, articles, classified (score rows incl. NULL), leads."""
     s = _pv(item_scores, pv)
-    return one_row(items.sparkSession,
-                   sources=items.agg(F.countDistinct("source_id")).scalar(),
-                   articles=count_where(items),
-                   classified=count_where(s),
-                   leads=count_where(s, F.col("lead_score") >= 5))
+    i = table_row(items, sources=F.countDistinct("source_id"), articles=_n())
+    sc = table_row(s, classified=_n(), leads=_n(F.col("lead_score") >= 5))
+    return rows_to_one(items.sparkSession, ("sources", i, "sources"), ("articles", i, "articles"),
+                       ("classified", sc, "classified"), ("leads", sc, "leads"))
 
 
 FUNNEL_STAGES = ["URLs Discovered", "Articles Extracted", "Relevance Filter", "AI Scored",
@@ -106,11 +125,11 @@ FUNNEL_STAGES = ["URLs Discovered", "Articles Extracted", "Relevance Filter", "A
 def funnel(url_state: DataFrame, items: DataFrame, item_scores: DataFrame, pv: str) -> DataFrame:
     """A8 + W4: six stages as rows (stage_no, stage, n, pct_of_first)."""
     s = _pv(item_scores, pv)
-    counts = [count_where(url_state), count_where(items),
-              count_where(items, F.col("prefilter_pass") == F.lit(True)),
-              count_where(s), count_where(s, F.col("lead_score") >= 5),
-              count_where(s, F.col("lead_score") >= 7)]
-    wide = one_row(items.sparkSession, **{f"c{i}": c for i, c in enumerate(counts)})
+    u = table_row(url_state, n=_n())
+    i = table_row(items, n=_n(), passed=_n(F.col("prefilter_pass") == F.lit(True)))
+    sc = table_row(s, n=_n(), leads=_n(F.col("lead_score") >= 5), strong=_n(F.col("lead_score") >= 7))
+    wide = rows_to_one(items.sparkSession, ("c0", u, "n"), ("c1", i, "n"), ("c2", i, "passed"),
+                       ("c3", sc, "n"), ("c4", sc, "leads"), ("c5", sc, "strong"))
     rows = F.array(*[F.struct(F.lit(i + 1).alias("stage_no"), F.lit(name).alias("stage"),
                               F.col(f"c{i}").alias("n"))
                      for i, name in enumerate(FUNNEL_STAGES)])
@@ -291,12 +310,12 @@ def kpi_strip(items: DataFrame, item_scores: DataFrame, pv: str, as_of=None) ->
     elite = F.col("lead_score") >= 9
     recent = elite & (ca >= days_before(t, 7))
     previous = elite & (ca < days_before(t, 7)) & (ca >= days_before(t, 14))
-    avg = s.where(F.col("lead_score").isNotNull()).agg(X.round_avg("lead_score", 1)).scalar()
+    sc = table_row(s, elite_7d=_n(recent), elite_prev7=_n(previous), avg_score=X.round_avg("lead_score", 1))
     leads = s.where(F.col("lead_score") >= 5).select("item_id")
-    countries = (items.where(X.present("lead_country")).join(leads, "item_id", "left_semi")
-                 .agg(F.countDistinct("lead_country")).scalar())
-    row = one_row(items.sparkSession, elite_7d=count_where(s, recent), elite_prev7=count_where(s, previous),
-                  avg_score=avg, countries=countries)
+    ct = table_row(items.where(X.present("lead_country")).join(leads, "item_id", "left_semi"),
+                   countries=F.countDistinct("lead_country"))
+    row = rows_to_one(items.sparkSession, ("elite_7d", sc, "elite_7d"), ("elite_prev7", sc, "elite_prev7"),
+                      ("avg_score", sc, "avg_score"), ("countries", ct, "countries"))
     return row.select("elite_7d", "elite_prev7", (F.col("elite_7d") - F.col("elite_prev7")).alias("delta"),
                       X.delta_text("elite_7d", "elite_prev7").alias("delta_text"),
                       "avg_score", "countries",
