@@ -159,6 +159,17 @@ def age_text(t, as_of, is_date: bool = False) -> Column:
             .otherwise(F.concat(F.floor(days / 365).cast("string"), F.lit("y ago"))))
 
 
+def age_text_of_string(s, as_of) -> Column:
+    """X13 for text input: ISO text is parsed (a 'Z' or '+hh:mm' suffix is cut
+    off); empty or NULL gives ''; text that does not parse comes back unchanged."""
+    s = col(s)
+    head = F.split(F.replace(s, F.lit("Z"), F.lit("+00:00")), r"\+").getItem(0)
+    t = F.try_to_timestamp(head).cast("timestamp_ntz")
+    return (F.when(s.isNull() | (s == ""), F.lit(""))
+            .when(t.isNull(), s)
+            .otherwise(age_text(t, as_of)))
+
+
 # X15 / W3  period-over-period text; Python round() is half-even -> bround.
 def delta_text(cur, prev) -> Column:
     cur, prev = col(cur), col(prev)

@@ -37,11 +37,6 @@ def days_before(as_of: Column, n: int) -> Column:
     return as_of - F.make_dt_interval(F.lit(n))
 
 
-def one_row(spark, **cols: Column) -> DataFrame:
-    """A one-row frame of named scalar expressions (usually scalar subqueries)."""
-    return spark.range(1).select(*[c.alias(k) for k, c in cols.items()])
-
-
 def count_where(df: DataFrame, pred: Column | None = None) -> Column:
     agg = F.count(F.lit(1)) if pred is None else F.count_if(pred)
     return df.agg(agg).scalar()
@@ -94,8 +89,9 @@ def hero(items: DataFrame, item_scores: DataFrame, pv: str) -> DataFrame:
     s = _pv(item_scores, pv)
     i = table_row(items, sources=F.countDistinct("source_id"), articles=_n())
     sc = table_row(s, leads=_n(F.col("lead_score") >= 5), strong_leads=_n(F.col("lead_score") >= 7))
-    return rows_to_one(items.sparkSession, ("sources", i, "sources"), ("articles", i, "articles"),
-                       ("leads", sc, "leads"), ("strong_leads", sc, "strong_leads"))
+    row = rows_to_one(items.sparkSession, ("sources", i, "sources"), ("articles", i, "articles"),
+                      ("leads", sc, "leads"), ("strong_leads", sc, "strong_leads"))
+    return row.withColumn("articles_text", X.thousands("articles"))
 
 
 def lead_counters(items: DataFrame, item_scores: DataFrame, pv: str) -> DataFrame:

@@ -349,3 +349,16 @@ def test_round_avg_is_exact_half_up(spark):
     got0 = {r["g"]: r["a"] for r in df.groupBy("g").agg(X.round_avg("v", 0).alias("a")).collect()}
     assert got0 == {1: 2.0, 2: 3.0, 3: 7.0}   # 1.5 -> 2, 6.5 -> 7 (half away from zero)
     assert not any(math.isnan(v) for v in got.values())
+
+
+def test_age_of_text_input(spark):
+    now = T0
+    df = spark.createDataFrame([("2024-01-10T10:00:00Z",), ("2024-01-03",), ("yesterday",), ("",), (None,),
+                                ("2024-01-09T12:00:00+02:00",)], "s string")
+    got = [r["a"] for r in df.select(X.age_text_of_string("s", F.lit(now).cast("timestamp_ntz")).alias("a")).collect()]
+    assert got == ["2h ago", "1w ago", "yesterday", "", "", "1d ago"]
+
+
+def test_thousands(spark):
+    df = spark.createDataFrame([(12345,), (999,), (1234567,)], "n long")
+    assert [r["t"] for r in df.select(X.thousands("n").alias("t")).collect()] == ["12,345", "999", "1,234,567"]
