@@ -240,7 +240,10 @@ class Catalog:
         skip row groups for key-range filters.
         """
         base = path.rstrip("/")
-        (self.item_scores.repartition("prompt_version", "item_id").sortWithinPartitions("item_id")
+        # hash on (version, item) spreads the write over all tasks; sorting by version first
+        # lets each task write its directories one file at a time
+        (self.item_scores.repartition("prompt_version", "item_id")
+         .sortWithinPartitions("prompt_version", "item_id")
          .write.mode("overwrite").partitionBy("prompt_version").parquet(f"{base}/item_scores"))
         for name, key in (("items", "item_id"), ("lead_labels", "item_id"), ("url_state", "url_id"),
                           ("sources", "source_id"), ("pipeline_runs", "run_id")):
