@@ -98,17 +98,35 @@ def paragraph_text(html) -> Column:
 
 
 # ---- P9 ---------------------------------------------------------------------------------
+# Block boundaries and links for the main-content ranking.
+BLOCK_SPLIT = r"(?i)</p>|</div>|</section>|</li>|</h[1-6]>|<br\s*/?>|</td>|</tr>|</blockquote>"
+LINK = r"(?is)<a\b[^>]*>(.*?)</a>"
+BLOCK_SHARE = 10  # keep blocks scoring at least 1/BLOCK_SHARE of the best block
+
+
 def main_text(html) -> Column:
     """A simplified readability stand-in.
 
-    Scope to the first ``<article>``, else ``<main>``, else ``<body>``;
-    drop nav/footer/aside/form blocks and ad divs; return the remaining
-    text with whitespace collapsed.
+    Scope to the first ``<article>``, else ``<main>``, else ``<body>``; drop
+    nav/footer/aside/form blocks and ad divs; split into blocks at block-level
+    closing tags; score each block by text length x (1 - link density), i.e.
+    text length minus link-text length; keep the blocks scoring at least a
+    tenth of the best one, in document order, one per line.
     """
     h = strip_noise(html)
     scope = F.coalesce(_nonempty(F.regexp_extract(h, ARTICLE, 1)), _nonempty(F.regexp_extract(h, MAIN, 1)),
                        _nonempty(F.regexp_extract(h, BODY, 1)), h)
-    return text_of(F.regexp_replace(scope, BOILERPLATE, " "))
+    cleaned = F.regexp_replace(scope, BOILERPLATE, " ")
+
+    def block(b):
+        t = text_of(b)
+        links = text_of(F.array_join(F.regexp_extract_all(b, F.lit(LINK), 1), " "))
+        return F.struct(t.alias("t"), (F.length(t) - F.length(links)).alias("s"))
+
+    blocks = F.transform(F.split(cleaned, BLOCK_SPLIT), block)
+    best = F.array_max(F.transform(blocks, lambda x: x["s"]))
+    kept = F.filter(blocks, lambda x: (x["s"] > 0) & (x["s"] * BLOCK_SHARE >= best))
+    return F.array_join(F.transform(kept, lambda x: x["t"]), "\n")
 
 
 # ---- P10 / P11 ---------------------------------------------------------------------------

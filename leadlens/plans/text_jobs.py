@@ -48,7 +48,12 @@ def s_main_text(h: str) -> str:
     scope = (f"coalesce({s_nonempty(f'regexp_extract({hh}, {q(T.ARTICLE)}, 1)')}, "
              f"{s_nonempty(f'regexp_extract({hh}, {q(T.MAIN)}, 1)')}, "
              f"{s_nonempty(f'regexp_extract({hh}, {q(T.BODY)}, 1)')}, {hh})")
-    return s_text_of(f"regexp_replace({scope}, {q(T.BOILERPLATE)}, ' ', 'g')")
+    cleaned = f"regexp_replace({scope}, {q(T.BOILERPLATE)}, ' ', 'g')"
+    links = s_text_of(f"array_to_string(regexp_extract_all(b, {q(T.LINK)}, 1), ' ')")
+    blocks = (f"list_transform(regexp_split_to_array({cleaned}, {q(T.BLOCK_SPLIT)}), "
+              f"lambda b: {{'t': {s_text_of('b')}, 's': length({s_text_of('b')}) - length({links})}})")
+    return (f"(select array_to_string(list_transform(list_filter(bl, lambda x: x.s > 0 and x.s * {T.BLOCK_SHARE} >= "
+            f"list_max(list_transform(bl, lambda y: y.s))), lambda z: z.t), chr(10)) from (select {blocks} as bl))")
 
 
 def s_json_ld_field(h: str, field: str) -> str:

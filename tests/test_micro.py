@@ -362,3 +362,14 @@ def test_age_of_text_input(spark):
 def test_thousands(spark):
     df = spark.createDataFrame([(12345,), (999,), (1234567,)], "n long")
     assert [r["t"] for r in df.select(X.thousands("n").alias("t")).collect()] == ["12,345", "999", "1,234,567"]
+
+
+def test_main_text_ranks_blocks_by_link_density(spark):
+    body = "Real article sentence. " * 10
+    html = ('<html><body><nav><a href="/">Home</a></nav><div class="ad">Buy now</div><article>'
+            '<div><a href="/x">Home</a> | <a href="/y">News</a></div>'
+            f'<p>{body}</p><p>Short.</p>'
+            '<div>Read more: <a href="/z">a very long related headline link text here</a></div>'
+            '</article><footer>(c) site</footer></body></html>')
+    df = spark.createDataFrame([(1, html)], "id int, html string")
+    assert df.select(T.main_text("html").alias("t")).first()["t"] == body.strip()
