@@ -22,8 +22,11 @@ S, I, LL, U = "item_scores", "items", "lead_labels", "url_state"
 
 # ---- M1 ---------------------------------------------------------------------------------
 def _rescore(c):
-    """A second gemma3:4b run over every third item, one day later, scores shifted by one."""
-    s = c.item_scores.where((F.col("model") == "gemma3:4b") & (F.col("item_id") % 3 == 0))
+    """A second gemma3:4b run over the articles it scored in the last 7 days of the data,
+    one day later, scores shifted by one."""
+    s = c.item_scores
+    as_of = s.agg(F.max("classified_at")).scalar()
+    s = s.where((F.col("model") == "gemma3:4b") & (F.col("classified_at") >= as_of - F.make_dt_interval(F.lit(7))))
     return (s.withColumn("lead_score", ((F.col("lead_score") + 1) % 11).cast("int"))
              .withColumn("classified_at", F.col("classified_at") + F.make_dt_interval(F.lit(1))))
 
@@ -31,7 +34,8 @@ def _rescore(c):
 SQL_RESCORE = """select item_id, model, prompt_version, cast((lead_score + 1) % 11 as integer) as lead_score,
   lead_company, lead_city, lead_country, lead_who, lead_what, lead_when, lead_reason, lead_description,
   classified_at + interval 1 day as classified_at
-from item_scores where model = 'gemma3:4b' and item_id % 3 = 0"""
+from item_scores where model = 'gemma3:4b'
+  and classified_at >= (select max(classified_at) from item_scores) - interval 7 day"""
 
 
 @register("m1_upsert_scores", f"""
@@ -82,14 +86,14 @@ def m4_url_upsert(c):
 # ---- M6 ---------------------------------------------------------------------------------
 @register("m6_changed_labels", f"""with {sql_base(REVIEW_MIN)},
 shown as ({SQL_REVIEW} from base order by score desc, item_id, model limit 100),
-edited as (select distinct item_id, case when item_id % 3 = 0 then 'confirmed' else status end as status from shown),
+edited as (select distinct item_id, case when score >= 8 then 'confirmed' else status end as status from shown),
 shown_d as (select distinct item_id, status from shown)
 select distinct e.item_id, e.status as label, 'gui' as labeled_by
 from edited e join shown_d s on s.item_id = e.item_id where e.status is distinct from s.status""", (I, S, LL))
 def m6_changed_labels(c):
-    """M6: review edits (every third item confirmed) that differ from the shown status."""
+    """M6: review edits (every row scoring >= 8 confirmed) that differ from the shown status."""
     shown = L.review_queue(c.item_scores, c.items, c.lead_labels, PV, REVIEW_MIN, "all")
-    edited = shown.withColumn("status", F.when(F.col("item_id") % 3 == 0, F.lit("confirmed"))
+    edited = shown.withColumn("status", F.when(F.col("score") >= 8, F.lit("confirmed"))
                               .otherwise(F.col("status")))
     return L.changed_labels(shown, edited)
 

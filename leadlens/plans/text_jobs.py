@@ -242,14 +242,14 @@ def p14_keyword_prefilter(c):
 
 # ---- model replies, charset repair, story clustering ----------------------------------------
 def _replies(c):
-    """Model replies round-tripped from stored scores: JSON in chatter; every 7th item
-    sends the score as a JSON string, every 11th as a decimal string."""
+    """Model replies round-tripped from stored scores: JSON in chatter; llama3.2 sends the
+    score as a JSON string, qwen2.5 under prompt B as a decimal string."""
     from leadlens.operators import classify as C
 
     s = c.item_scores
-    iid = F.col("item_id")
-    score = (F.when(iid % 11 == 0, F.concat(F.col("lead_score").cast("string"), F.lit(".5")))
-             .when(iid % 7 == 0, F.col("lead_score").cast("string")))
+    m, pv = F.col("model"), F.col("prompt_version")
+    score = (F.when((m == "qwen2.5:3b") & (pv == "B"), F.concat(F.col("lead_score").cast("string"), F.lit(".5")))
+             .when(m == "llama3.2:3b", F.col("lead_score").cast("string")))
     fields = {f: F.col(f"lead_{f}") for f in C.REPLY_FIELDS}
     raw = F.when(score.isNotNull(), C.reply_text(score, fields)).otherwise(C.reply_text(F.col("lead_score"), fields))
     return s.select("item_id", "model", "prompt_version", raw.alias("raw"))
@@ -257,10 +257,10 @@ def _replies(c):
 
 @register("p15_reply_ingest", """
 select item_id, model, prompt_version,
-  case when item_id % 11 = 0 and lead_score is not null then null
+  case when model = 'qwen2.5:3b' and prompt_version = 'B' and lead_score is not null then null
        when lead_score between 1 and 10 then lead_score end as lead_score,
   case when lead_score is null then 'missing_score'
-       when item_id % 11 = 0 then 'not_integer'
+       when model = 'qwen2.5:3b' and prompt_version = 'B' then 'not_integer'
        when lead_score not between 1 and 10 then 'out_of_range' end as invalid_reason,
   lead_company, lead_city, lead_country, lead_description, lead_who, lead_what, lead_when, lead_reason
 from item_scores""", ("item_scores",))
