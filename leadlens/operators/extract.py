@@ -139,7 +139,12 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     h = _c(html)
     cand = [("json_ld", json_ld_field(h, "articleBody")), ("paragraphs", paragraph_text(h)),
             ("main", main_text(h))]
-    df = pages.select("*", *[c.alias(f"_x_{n}") for n, c in cand])
+    # each method runs only when the earlier ones came up short (CASE branches are lazy)
+    df = pages
+    failed = F.lit(True)
+    for n, c in cand:
+        df = df.withColumn(f"_x_{n}", F.when(failed, c))
+        failed = failed & ~F.coalesce(F.length(F.col(f"_x_{n}")) > MIN_TEXT, F.lit(False))
     long_enough = [(n, F.length(F.col(f"_x_{n}")) > MIN_TEXT) for n, _ in cand]
     text = F.coalesce(*[F.when(ok, F.col(f"_x_{n}")) for n, ok in long_enough])
     method = F.coalesce(*[F.when(ok, F.lit(n)) for n, ok in long_enough])
