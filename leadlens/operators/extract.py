@@ -104,6 +104,35 @@ LINK = r"(?is)<a\b[^>]*>(.*?)</a>"
 BLOCK_SHARE = 10  # keep blocks scoring at least 1/BLOCK_SHARE of the best block
 
 
+def main_blocks(html) -> Column:
+    """P9, step 1: scoped, cleaned blocks as array<struct<t: text, s: score>>.
+
+    score = text length x (1 - link density) = text length - link-text length.
+    Each block's text is computed once.
+    """
+    h = strip_noise(html)
+    scope = F.coalesce(_nonempty(F.regexp_extract(h, ARTICLE, 1)), _nonempty(F.regexp_extract(h, MAIN, 1)),
+                       _nonempty(F.regexp_extract(h, BODY, 1)), h)
+    cleaned = F.regexp_replace(scope, BOILERPLATE, " ")
+    raw = F.transform(F.split(cleaned, BLOCK_SPLIT), lambda b: F.struct(
+        text_of(b).alias("t"), text_of(F.array_join(F.regexp_extract_all(b, F.lit(LINK), 1), " ")).alias("l")))
+    return F.transform(raw, lambda x: F.struct(x["t"].alias("t"), (F.length(x["t"]) - F.length(x["l"])).alias("s")))
+
+
+def main_from_blocks(blocks) -> Column:
+    """P9, step 2: keep blocks scoring > 0 and at least 1/10 of the best, one per line.
+
+    The best score enters the per-block test as an array (array_repeat), so
+    no lambda re-evaluates the whole block list per element.
+    """
+    blocks = _c(blocks)
+    scores = F.transform(blocks, lambda x: x["s"])
+    best = F.array_repeat(F.array_max(scores), F.size(scores))
+    keep = F.zip_with(scores, best, lambda sc, b: (sc > 0) & (sc * BLOCK_SHARE >= b))
+    texts = F.zip_with(F.transform(blocks, lambda x: x["t"]), keep, lambda t, k: F.when(k, t))
+    return F.array_join(texts, "\n")
+
+
 def main_text(html) -> Column:
     """A simplified readability stand-in.
 
@@ -111,22 +140,17 @@ def main_text(html) -> Column:
     nav/footer/aside/form blocks and ad divs; split into blocks at block-level
     closing tags; score each block by text length x (1 - link density), i.e.
     text length minus link-text length; keep the blocks scoring at least a
-    tenth of the best one, in document order, one per line.
+    tenth of the best one, in document order, one per line.  On a DataFrame
+    prefer ``with_main_text``, which computes the blocks in their own step.
     """
-    h = strip_noise(html)
-    scope = F.coalesce(_nonempty(F.regexp_extract(h, ARTICLE, 1)), _nonempty(F.regexp_extract(h, MAIN, 1)),
-                       _nonempty(F.regexp_extract(h, BODY, 1)), h)
-    cleaned = F.regexp_replace(scope, BOILERPLATE, " ")
+    return main_from_blocks(main_blocks(html))
 
-    def block(b):
-        t = text_of(b)
-        links = text_of(F.array_join(F.regexp_extract_all(b, F.lit(LINK), 1), " "))
-        return F.struct(t.alias("t"), (F.length(t) - F.length(links)).alias("s"))
 
-    blocks = F.transform(F.split(cleaned, BLOCK_SPLIT), block)
-    best = F.array_max(F.transform(blocks, lambda x: x["s"]))
-    kept = F.filter(blocks, lambda x: (x["s"] > 0) & (x["s"] * BLOCK_SHARE >= best))
-    return F.array_join(F.transform(kept, lambda x: x["t"]), "\n")
+def with_main_text(df: DataFrame, html: str = "html", out: str = "main_text", when: Column | None = None) -> DataFrame:
+    """P9 as two projections (blocks once per row, then selection); optional guard."""
+    b = main_blocks(html)
+    df = df.withColumn("_main_blocks", b if when is None else F.when(when, b))
+    return df.withColumn(out, main_from_blocks("_main_blocks")).drop("_main_blocks")
 
 
 # ---- P10 / P11 ---------------------------------------------------------------------------
@@ -137,13 +161,15 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     NULL) and title (P11: h1, else <title>, else JSON-LD headline).
     """
     h = _c(html)
-    cand = [("json_ld", json_ld_field(h, "articleBody")), ("paragraphs", paragraph_text(h)),
-            ("main", main_text(h))]
+    cand = [("json_ld", json_ld_field(h, "articleBody")), ("paragraphs", paragraph_text(h)), ("main", None)]
     # each method runs only when the earlier ones came up short (CASE branches are lazy)
     df = pages
     failed = F.lit(True)
     for n, c in cand:
-        df = df.withColumn(f"_x_{n}", F.when(failed, c))
+        if n == "main":
+            df = with_main_text(df, html, f"_x_{n}", when=failed)
+        else:
+            df = df.withColumn(f"_x_{n}", F.when(failed, c))
         failed = failed & ~F.coalesce(F.length(F.col(f"_x_{n}")) > MIN_TEXT, F.lit(False))
     long_enough = [(n, F.length(F.col(f"_x_{n}")) > MIN_TEXT) for n, _ in cand]
     text = F.coalesce(*[F.when(ok, F.col(f"_x_{n}")) for n, ok in long_enough])

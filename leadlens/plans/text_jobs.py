@@ -179,7 +179,7 @@ def p8_paragraph_text(c):
 @register("p9_main_text", f"select page_id, {s_main_text('html')} as text from pages")
 def p9_main_text(c):
     """Main-content heuristic."""
-    return c.pages.select("page_id", T.main_text("html").alias("text"))
+    return T.with_main_text(c.pages.select("page_id", "html"), "html", "text").select("page_id", "text")
 
 
 _text, _method = s_extract("html")
