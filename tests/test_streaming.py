@@ -58,3 +58,21 @@ def test_score_upsert_stream_equals_batch(spark, cat_small, tmp):
     got = ST.current_scores(spark, f"{tmp}/table", s.schema)
     want = M.upsert_scores(s, second)
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_activity_stream_drops_late_rows(spark, cat_small, tmp):
+    """Rows older than the watermark arriving in a later batch do not change closed windows."""
+    s = cat_small.item_scores.where("prompt_version = 'A' and lead_score is not null")
+    max_t = s.agg(F.max("classified_at")).first()[0]
+    first_day = s.agg(F.min("classified_at")).first()[0]
+    s.write.parquet(f"{tmp}/in/batch=0")
+    q = ST.start_activity(spark, f"{tmp}/in", s.schema, "A", f"{tmp}/out", f"{tmp}/ck", watermark="1 day")
+    q.awaitTermination()
+    before = {(r["day"], r["band"]): r["n"] for r in spark.read.parquet(f"{tmp}/out").collect()}
+    late = s.limit(5).withColumn("classified_at", F.lit(first_day).cast("timestamp_ntz"))
+    late.write.parquet(f"{tmp}/in/batch=1")
+    q = ST.start_activity(spark, f"{tmp}/in", s.schema, "A", f"{tmp}/out", f"{tmp}/ck", watermark="1 day")
+    q.awaitTermination()
+    after = {(r["day"], r["band"]): r["n"] for r in spark.read.parquet(f"{tmp}/out").collect()}
+    assert before and after == before
+    assert max_t > first_day
