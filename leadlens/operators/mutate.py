@@ -29,6 +29,17 @@ def upsert_scores(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return best.select(*[F.col(c) if c in SCORE_KEY else F.col(f"_w.{c}").alias(c) for c in cols])
 
 
+def latest_scores(log: DataFrame, order_col: str = "batch_id") -> DataFrame:
+    """M1 over an append-only score log: per key the latest classified_at wins
+    (NULL times lose), equal times go to the later ``order_col`` (batch)."""
+    cols = [c for c in log.columns if c != order_col]
+    others = [c for c in cols if c not in SCORE_KEY]
+    order = F.struct(F.col("classified_at").isNotNull().alias("_has_t"), F.col("classified_at").alias("_t"),
+                     F.col(order_col).alias("_src"), *[F.col(c).alias(c) for c in others])
+    best = log.groupBy(*SCORE_KEY).agg(F.max(order).alias("_w"))
+    return best.select(*[F.col(c) if c in SCORE_KEY else F.col(f"_w.{c}").alias(c) for c in cols])
+
+
 def clear_item_scores(items: DataFrame) -> DataFrame:
     """M2: item-level score fields -> NULL (those present in the table)."""
     sch = {f.name: f.dataType for f in items.schema.fields}

@@ -65,42 +65,38 @@ def start_url_dedupe(spark: SparkSession, folder: str, schema, out: str, checkpo
 # ---- T3 -----------------------------------------------------------------------------------
 def start_score_upsert(spark: SparkSession, folder: str, schema, table_path: str, checkpoint: str,
                        available_now: bool = True) -> StreamingQuery:
-    """Each micro-batch of new scores is merged into the score table with M1.
+    """Score upsert (M1) as an append-only log, merged on read.
 
-    The table is versioned as ``{table_path}/v=<batch_id>``; a batch reads
-    the newest earlier version, merges, and writes its own version, so a
-    re-run batch (after a failure) rewrites the same version idempotently.
+    Each micro-batch writes only its own rows, to ``{table_path}/batch_id=<id>``
+    (overwrite, so a batch re-run after a failure is idempotent): the cost of
+    a batch is the batch, never the table.  ``current_scores`` applies
+    latest-wins over the log (a partial aggregate per key, later batch wins
+    ties); ``compact`` writes that result as a snapshot to read instead.
     """
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        prev = _latest_version(spark, table_path, batch_id)
-        current = spark.read.schema(schema).parquet(prev) if prev else spark.createDataFrame([], schema)
-        merged = M.upsert_scores(current, batch.select(*schema.fieldNames()))
-        merged.write.mode("overwrite").parquet(f"{table_path}/v={batch_id:012d}")
+    def append(batch: DataFrame, batch_id: int) -> None:
+        (batch.select(*schema.fieldNames()).write.mode("overwrite")
+         .parquet(f"{table_path}/batch_id={batch_id:012d}"))
 
-    w = (_read(spark, folder, schema).writeStream.foreachBatch(merge)
+    w = (_read(spark, folder, schema).writeStream.foreachBatch(append)
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
 
 
-def _latest_version(spark: SparkSession, table_path: str, before: int) -> str | None:
-    """Newest committed version folder below ``before`` (listing only, no data read)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(table_path)
-    fs = path.getFileSystem(conf)
-    if not fs.exists(path):
-        return None
-    best = None
-    for st in fs.listStatus(path):
-        name = st.getPath().getName()
-        if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            v = int(name[2:])
-            if v < before and (best is None or v > best):
-                best = v
-    return f"{table_path}/v={best:012d}" if best is not None else None
-
-
-def current_scores(spark: SparkSession, table_path: str, schema) -> DataFrame | None:
-    p = _latest_version(spark, table_path, 1 << 62)
-    return spark.read.schema(schema).parquet(p) if p else None
+def score_log(spark: SparkSession, table_path: str, schema) -> DataFrame:
+    """All logged score rows with their batch id (partition column)."""
+    from pyspark.sql import types as T
+
+    full = T.StructType(schema.fields + [T.StructField("batch_id", T.LongType())])
+    return spark.read.schema(full).parquet(table_path)
+
+
+def current_scores(spark: SparkSession, table_path: str, schema) -> DataFrame:
+    """The score table as of the last committed batch (latest wins per key)."""
+    return M.latest_scores(score_log(spark, table_path, schema))
+
+
+def compact(spark: SparkSession, table_path: str, schema, out: str) -> DataFrame:
+    """Write the merged table once (e.g. daily) so readers skip the log merge."""
+    current_scores(spark, table_path, schema).write.mode("overwrite").parquet(out)
+    return spark.read.schema(schema).parquet(out)
