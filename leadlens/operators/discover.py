@@ -19,6 +19,8 @@ HREF = r'href="([^"]+)"'
 URL_PARTS = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]+)([^?#]*)(\?[^#]*)?(#.*)?$"
 HAS_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 HTTP = r"^https?://"
+# XML's predefined entities, decoded in this order (ampersand last).
+XML_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&amp;", "&")]
 # Query parameters dropped by normalisation: utm_* and ref.
 DROP_PARAM_PREFIX = "utm_"
 DROP_PARAMS = ["ref"]
@@ -29,18 +31,36 @@ def _c(c) -> Column:
 
 
 # ---- P1 / P2 / P3 ------------------------------------------------------------------
+def xml_escape(c) -> Column:
+    """Text as XML character data: ``&``, ``<``, ``>`` escaped (ampersand first)."""
+    out = _c(c)
+    for ch, ent in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        out = F.replace(out, F.lit(ch), F.lit(ent))
+    return out
+
+
+def xml_unescape(c) -> Column:
+    out = _c(c)
+    for ent, ch in XML_ENTITIES:
+        out = F.replace(out, F.lit(ent), F.lit(ch))
+    return out
+
+
+def _payload_links(payloads: DataFrame, body: str, pattern: str) -> DataFrame:
+    return (payloads.select("*", F.posexplode(F.regexp_extract_all(_c(body), F.lit(pattern), 1))
+                            .alias("pos", "raw"))
+            .drop(body).where(F.col("raw") != "")
+            .withColumn("url", xml_unescape("raw")).drop("raw"))
+
+
 def rss_links(payloads: DataFrame, body: str = "body") -> DataFrame:
-    """``<item> … <link>`` URLs of an RSS feed; tolerant of cut-off feeds."""
-    return (payloads.select("*", F.posexplode(F.regexp_extract_all(_c(body), F.lit(RSS_ITEM_LINK), 1))
-                            .alias("pos", "url"))
-            .drop(body).where(F.col("url") != ""))
+    """``<item> … <link>`` URLs of an RSS feed, entities decoded; tolerant of cut-off feeds."""
+    return _payload_links(payloads, body, RSS_ITEM_LINK)
 
 
 def sitemap_links(payloads: DataFrame, body: str = "body") -> DataFrame:
-    """``<loc>`` URLs of a sitemap (namespace-agnostic)."""
-    return (payloads.select("*", F.posexplode(F.regexp_extract_all(_c(body), F.lit(SITEMAP_LOC), 1))
-                            .alias("pos", "url"))
-            .drop(body).where(F.col("url") != ""))
+    """``<loc>`` URLs of a sitemap (namespace-agnostic), entities decoded."""
+    return _payload_links(payloads, body, SITEMAP_LOC)
 
 
 def resolve(href, base_url) -> Column:

@@ -117,6 +117,30 @@ SQL_LINKS = f"""links as (select page_id, cast(pos as integer) as pos, link from
 
 
 # ---- discovery --------------------------------------------------------------------------
+# The twins of P1/P2 state what the feeds list (the entries the feed documents were built
+# from, in id order per block), so they check the build, the escaping and the parse together.
+@register("p1_rss_links", """
+select i.source_id, cast(floor(i.item_id / 1000) as bigint) as feed_no,
+  cast(row_number() over (partition by i.source_id, floor(i.item_id / 1000) order by i.item_id) - 1 as integer) as pos,
+  i.url
+from items i join sources s on s.source_id = i.source_id
+where s.kind = 'rss'""", ("items", "sources"))
+def p1_rss_links(c):
+    """Article links of every RSS feed document."""
+    return D.rss_links(c.feeds.where(F.col("kind") == "rss")).select("source_id", "feed_no", "pos", "url")
+
+
+@register("p2_sitemap_links", """
+select u.source_id, cast(floor(u.url_id / 1000) as bigint) as feed_no,
+  cast(row_number() over (partition by u.source_id, floor(u.url_id / 1000) order by u.url_id) - 1 as integer) as pos,
+  u.url
+from url_state u join sources s on s.source_id = u.source_id
+where s.kind = 'sitemap'""", ("url_state", "sources"))
+def p2_sitemap_links(c):
+    """URLs of every sitemap document."""
+    return D.sitemap_links(c.feeds.where(F.col("kind") == "sitemap")).select("source_id", "feed_no", "pos", "url")
+
+
 @register("p3_html_links", f"with {SQL_LINKS} select * from links")
 def p3_html_links(c):
     """Links of every page, resolved, http(s) only."""

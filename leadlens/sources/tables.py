@@ -24,7 +24,12 @@ DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "
                  "conversations")
 
 REFERENCE_TABLES = ("items", "item_scores", "lead_labels", "url_state", "sources",
-                    "pipeline_runs")
+                    "pipeline_runs", "feeds")
+
+# Entries per derived feed document: ids are split into blocks of this many, so a
+# payload stays small however many entries its source has.
+FEED_BLOCK = 1000
+SITEMAP_NS = "http://www.sitemaps.org/schemas/sitemap/0.9"
 
 # Fixed values of the fixture rules (FIXTURES.md §3).
 MODELS = [("gemma3:4b", 0), ("llama3.2:3b", 1), ("mistral:7b", 2), ("qwen2.5:3b", 3)]
@@ -230,6 +235,44 @@ class Catalog:
             F.when(n == 0, F.lit(None).cast("double")).otherwise(F.col("value") / n).alias("avg_s_per_article"),
             F.when(eid % 9 == 0, F.lit("note")).otherwise(F.lit(None).cast("string")).alias("notes")))
 
+    @cached_property
+    def feeds(self) -> DataFrame:
+        """S8 landing payloads derived from the tables: (source_id, kind, feed_no, body).
+
+        Every rss source publishes its articles (items) as RSS documents and
+        every sitemap source its known URLs (url_state) as sitemaps, one
+        document per block of ``FEED_BLOCK`` consecutive ids, entries in id
+        order and XML-escaped.  The block bounds each document (and the
+        group built for it) whatever the source's share of the rows.
+        """
+        got = self._derived("feeds")
+        if got is not None:
+            return got
+        from leadlens.operators.discover import xml_escape
+
+        kinds = self.sources.select("source_id", "kind")
+        rss = (self.items.join(kinds.where(F.col("kind") == "rss"), "source_id")
+               .select("source_id", "kind", F.col("item_id").alias("entry_id"),
+                       F.concat(F.lit("<item><title>"), xml_escape(F.coalesce("title", F.lit(""))),
+                                F.lit("</title><link>"), xml_escape("url"), F.lit("</link></item>")).alias("entry")))
+        lastmod = F.concat(F.lit("<lastmod>"), F.date_format("discovered_at", "yyyy-MM-dd"), F.lit("</lastmod>"))
+        sm = (self.url_state.join(kinds.where(F.col("kind") == "sitemap"), "source_id")
+              .select("source_id", "kind", F.col("url_id").alias("entry_id"),
+                      F.concat(F.lit("<url><loc>"), xml_escape("url"), F.lit("</loc>"),
+                               F.coalesce(lastmod, F.lit("")), F.lit("</url>")).alias("entry")))
+        blocks = (rss.unionByName(sm)
+                  .withColumn("feed_no", F.floor(F.col("entry_id") / FEED_BLOCK).cast("long"))
+                  .groupBy("source_id", "kind", "feed_no")
+                  .agg(F.array_sort(F.collect_list(F.struct("entry_id", "entry"))).alias("e")))
+        decl = F.lit('<?xml version="1.0" encoding="UTF-8"?>')
+        head = F.when(F.col("kind") == "rss",
+                      F.concat(decl, F.lit('<rss version="2.0"><channel><title>'), F.col("source_id"),
+                               F.lit("</title>"))
+                      ).otherwise(F.concat(decl, F.lit(f'<urlset xmlns="{SITEMAP_NS}">')))
+        tail = F.when(F.col("kind") == "rss", F.lit("</channel></rss>")).otherwise(F.lit("</urlset>"))
+        body = F.concat(head, F.array_join(F.transform("e", lambda x: x["entry"]), ""), tail)
+        return blocks.select("source_id", "kind", "feed_no", body.alias("body"))
+
     # ---- layout at scale ---------------------------------------------------
     def materialize(self, path: str) -> "Catalog":
         """Write the reference tables once and return a catalog over them.
@@ -246,7 +289,7 @@ class Catalog:
          .sortWithinPartitions("prompt_version", "item_id")
          .write.mode("overwrite").partitionBy("prompt_version").parquet(f"{base}/item_scores"))
         for name, key in (("items", "item_id"), ("lead_labels", "item_id"), ("url_state", "url_id"),
-                          ("sources", "source_id"), ("pipeline_runs", "run_id")):
+                          ("sources", "source_id"), ("pipeline_runs", "run_id"), ("feeds", "source_id")):
             df = getattr(self, name)
             df.sortWithinPartitions(key).write.mode("overwrite").parquet(f"{base}/{name}")
         return Catalog(self.spark, self.sf_dir, derived_dir=base)
