@@ -104,19 +104,27 @@ LINK = r"(?is)<a\b[^>]*>(.*?)</a>"
 BLOCK_SHARE = 10  # keep blocks scoring at least 1/BLOCK_SHARE of the best block
 
 
+def _scoped(h) -> Column:
+    """Noise-stripped html -> the first article/main/body, boilerplate blocks blanked."""
+    h = _c(h)
+    scope = F.coalesce(_nonempty(F.regexp_extract(h, ARTICLE, 1)), _nonempty(F.regexp_extract(h, MAIN, 1)),
+                       _nonempty(F.regexp_extract(h, BODY, 1)), h)
+    return F.regexp_replace(scope, BOILERPLATE, " ")
+
+
+def _blocks(cleaned) -> Column:
+    """Scoped html -> array<struct<t: text, s: score>>, each block's text computed once."""
+    raw = F.transform(F.split(_c(cleaned), BLOCK_SPLIT), lambda b: F.struct(
+        text_of(b).alias("t"), text_of(F.array_join(F.regexp_extract_all(b, F.lit(LINK), 1), " ")).alias("l")))
+    return F.transform(raw, lambda x: F.struct(x["t"].alias("t"), (F.length(x["t"]) - F.length(x["l"])).alias("s")))
+
+
 def main_blocks(html) -> Column:
     """P9, step 1: scoped, cleaned blocks as array<struct<t: text, s: score>>.
 
     score = text length x (1 - link density) = text length - link-text length.
-    Each block's text is computed once.
     """
-    h = strip_noise(html)
-    scope = F.coalesce(_nonempty(F.regexp_extract(h, ARTICLE, 1)), _nonempty(F.regexp_extract(h, MAIN, 1)),
-                       _nonempty(F.regexp_extract(h, BODY, 1)), h)
-    cleaned = F.regexp_replace(scope, BOILERPLATE, " ")
-    raw = F.transform(F.split(cleaned, BLOCK_SPLIT), lambda b: F.struct(
-        text_of(b).alias("t"), text_of(F.array_join(F.regexp_extract_all(b, F.lit(LINK), 1), " ")).alias("l")))
-    return F.transform(raw, lambda x: F.struct(x["t"].alias("t"), (F.length(x["t"]) - F.length(x["l"])).alias("s")))
+    return _blocks(_scoped(strip_noise(html)))
 
 
 def main_from_blocks(blocks) -> Column:
@@ -147,10 +155,12 @@ def main_text(html) -> Column:
 
 
 def with_main_text(df: DataFrame, html: str = "html", out: str = "main_text", when: Column | None = None) -> DataFrame:
-    """P9 as two projections (blocks once per row, then selection); optional guard."""
-    b = main_blocks(html)
-    df = df.withColumn("_main_blocks", b if when is None else F.when(when, b))
-    return df.withColumn(out, main_from_blocks("_main_blocks")).drop("_main_blocks")
+    """P9 in stages: noise stripped once (the scope tests read it four times), then
+    blocks once per row, then selection; rows failing the optional guard get NULL."""
+    h = strip_noise(html)
+    df = df.withColumn("_main_h", h if when is None else F.when(when, h))
+    df = df.withColumn("_main_blocks", _blocks(_scoped("_main_h")))
+    return df.withColumn(out, main_from_blocks("_main_blocks")).drop("_main_h", "_main_blocks")
 
 
 # ---- P10 / P11 ---------------------------------------------------------------------------
