@@ -47,8 +47,10 @@ def clear_item_scores(items: DataFrame) -> DataFrame:
 
 
 def truncate_scores(item_scores: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """M3: an empty score table of the same schema, and items with cleared fields."""
-    return item_scores.limit(0), clear_item_scores(items)
+    """M3: an empty score table of the same schema, and items with cleared fields.
+
+    The always-false filter keeps the schema and plans as an empty relation (no scan)."""
+    return item_scores.where(F.lit(False)), clear_item_scores(items)
 
 
 def dense_ids(df: DataFrame, order_col: str, start, id_col: str = "id") -> DataFrame:

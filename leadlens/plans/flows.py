@@ -110,7 +110,7 @@ def run_pipeline(spark: SparkSession, pages: DataFrame, url_state: DataFrame, wo
     try:
         existing = spark.read.parquet(f"{w}/item_scores")
     except Exception:  # noqa: BLE001 - first run: no score table yet
-        existing = run.limit(0)
+        existing = run.where(F.lit(False))  # empty, same schema
     M.upsert_scores(existing.select(*run.columns), run).write.mode("overwrite").parquet(f"{w}/item_scores_next")
     stats = S.record_run(spark, parsed.select(F.col("lead_score").isNotNull().alias("ok"),
                                               F.lit(False).alias("skipped")),
