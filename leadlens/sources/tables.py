@@ -278,7 +278,7 @@ class Catalog:
         """Write the reference tables once and return a catalog over them.
 
         item_scores is partitioned by prompt_version (nearly every query
-        filters on it, so the scan prunes directories) and every table is
+        filters on it, so the scan prunes directories), feeds by kind, and every table is
         sorted by its key inside each file so Parquet min/max statistics
         skip row groups for key-range filters.
         """
@@ -288,8 +288,11 @@ class Catalog:
         (self.item_scores.repartition("prompt_version", "item_id")
          .sortWithinPartitions("prompt_version", "item_id")
          .write.mode("overwrite").partitionBy("prompt_version").parquet(f"{base}/item_scores"))
+        # feeds by kind: the rss and sitemap readers each prune to their own directory
+        (self.feeds.repartition("kind", "source_id").sortWithinPartitions("kind", "source_id", "feed_no")
+         .write.mode("overwrite").partitionBy("kind").parquet(f"{base}/feeds"))
         for name, key in (("items", "item_id"), ("lead_labels", "item_id"), ("url_state", "url_id"),
-                          ("sources", "source_id"), ("pipeline_runs", "run_id"), ("feeds", "source_id")):
+                          ("sources", "source_id"), ("pipeline_runs", "run_id")):
             df = getattr(self, name)
             df.sortWithinPartitions(key).write.mode("overwrite").parquet(f"{base}/{name}")
         return Catalog(self.spark, self.sf_dir, derived_dir=base)

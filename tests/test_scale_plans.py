@@ -63,6 +63,12 @@ def test_materialized_scans_prune(spark, tmp):
     p = plan_of(A.score_histogram(cat.item_scores, "A"))
     assert "PartitionFilters: [isnotnull(prompt_version" in p and "(prompt_version" in p
     assert "ReadSchema: struct<lead_score:int>" in p
+    from pyspark.sql import functions as F
+
+    from leadlens.operators import discover as D
+
+    p = plan_of(D.rss_links(cat.feeds.where(F.col("kind") == "rss")))
+    assert "PartitionFilters: [isnotnull(kind" in p and "(kind" in p
 
 
 # ---- skew: one source with a third of all items, one cluster with a third, a hot item -----------
