@@ -7,7 +7,8 @@ training texts; those of the shorter contexts are their sums. A context is a can
 at least the share ``P_MIN`` of all positions, which bounds the tree at any corpus size (1 / P_MIN
 contexts of a length), and is kept if its next-symbol distribution diverges from that of its suffix:
 the likelihood ratio statistic 2 n KL must exceed ``PENALTY`` for each of its symbols. The suffixes
-of a kept context are kept. Distributions are smoothed towards the suffix's own by ``PRIOR`` counts.
+of a kept context are kept. Distributions are smoothed by absolute discounting: ``DISCOUNT`` comes off
+each seen count, and what that frees goes by the suffix's distribution.
 A position is scored by the longest kept suffix of what comes before it.
 
 The base needs the corpus count of every word. Words that hold the share ``HOT`` of all tokens, at
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from leadlens.llm.common import ship_file, slices, utf8_rows, written
 
-DEPTH, P_MIN, PENALTY, PRIOR, HOT = 5, 2e-6, 8.0, 4.0, 1e-6
+DEPTH, P_MIN, PENALTY, DISCOUNT, HOT = 5, 2e-6, 4.0, 0.75, 1e-6
 END = 10  # no word holds a line feed, so it closes texts
 #: Distinct strings and words that a task holds before it passes them on.
 HELD_STRINGS, HELD_WORDS = 3_000_000, 300_000
@@ -134,10 +135,12 @@ class Tree:
                 continue
             mask = np.uint64((1 << (8 * k)) - 1)
             parent = prob[-1][np.searchsorted(data[-1][0], key & mask)]  # a suffix occurs as often at least
-            p = (n + PRIOR * parent) / (total[of] + PRIOR)
-            statistic = np.add.reduceat(2 * n * np.log(n / total[of] / parent), first) if len(key) else np.zeros(0)
             symbols = np.diff(np.r_[first, len(key)])
-            data.append((key, ctx[first], statistic > PENALTY * symbols, PRIOR / (total + PRIOR)))
+            # absolute discounting: what is taken off the seen symbols goes by the suffix's distribution
+            back = DISCOUNT * symbols / total
+            p = (n - DISCOUNT) / total[of] + back[of] * parent
+            statistic = np.add.reduceat(2 * n * np.log(n / total[of] / parent), first) if len(key) else np.zeros(0)
+            data.append((key, ctx[first], statistic > PENALTY * symbols, back))
             prob.append(p)
         for k in range(len(data) - 1, 1, -1):  # a kept context keeps its suffixes
             mask = np.uint64((1 << (8 * (k - 1))) - 1)
