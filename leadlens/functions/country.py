@@ -1,8 +1,8 @@
-"""X14 country flag lookup as a small broadcast join table."""
+"""X14 country flag lookup as a literal map."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Country alias (lower case, English and German) -> flag,
@@ -43,20 +43,6 @@ COUNTRY_FLAGS = [
 DEFAULT_FLAG = "🌍"
 
 
-def flag_table(spark: SparkSession) -> DataFrame:
-    """The alias table; 61 rows, fixed size, safe to broadcast."""
-    return spark.createDataFrame(COUNTRY_FLAGS, "country_key string, flag string")
-
-
-def with_flag(df: DataFrame, country_col: str, out: str = "flag") -> DataFrame:
-    """Left-join the flag on lower(trim(country)); the table is tiny and fixed."""
-    key = F.lower(F.trim(F.col(country_col)))
-    flags = F.broadcast(flag_table(df.sparkSession))
-    j = df.withColumn("__ckey", key).join(flags, F.col("__ckey") == flags.country_key, "left")
-    return j.withColumn(out, F.coalesce(F.col("flag") if out != "flag" else F.col("flag"), F.lit(DEFAULT_FLAG))) \
-            .drop("__ckey", "country_key", *(["flag"] if out != "flag" else []))
-
-
 def flag_expr(country) -> Column:
     """Same lookup as a literal CASE map, for use inside a projection."""
     m = F.create_map(*[F.lit(x) for kv in COUNTRY_FLAGS for x in kv])

@@ -1,54 +1,61 @@
 """Repair text that was decoded with the wrong code page.
 
-``├`` and ``┼`` are code page 437/850 readings of UTF-8 lead bytes;
-``Ã``/``Â`` are Latin-1 readings.  The charset is chosen by the trigger
-character, never by trial across all charsets (trying cp850 on a Latin-1
-case turns 'fÃ¼r' into 'fǬr').  Text that does not re-decode stays as it is.
-
-Spark has no code-page-437 codec for ``encode`` (IBM437 needs a legacy
-flag), so this is the one Python expression of the library: a pandas UDF
-that only receives candidate rows (others arrive as NULL, cheap in Arrow).
+``├`` and ``┼`` are code page 437/850 readings of UTF-8 lead bytes; ``Ã``/``Â`` are Latin-1
+readings.  The charset is chosen by the trigger character, never by trial across all charsets
+(trying cp850 on a Latin-1 case turns 'fÃ¼r' into 'fǬr').
+
+Built-in functions only: a run of the code page's upper half is translated to the Latin-1
+characters of the same bytes, encoded to those bytes, and read as UTF-8 where that is valid.  Each
+run is repaired by itself, so a genuine dash or euro sign elsewhere in the text blocks nothing.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Trigger characters and the code pages tried for them, in order.
 BOX_TRIGGERS = "├┼"
 LATIN1_TRIGGERS = "ÃÂ"
 BOX_CODECS = ["cp437", "cp850"]
 LATIN1_CODECS = ["latin-1"]
-TRIGGER_PATTERN = "[" + BOX_TRIGGERS + LATIN1_TRIGGERS + "]"
+LATIN1_HIGH = "".join(map(chr, range(0x80, 0x100)))
+
+
+def upper_half(codec: str) -> str:
+    """The characters of a code page's bytes 0x80 to 0xFF, in order."""
+    return bytes(range(0x80, 0x100)).decode(codec)
 
 
-def repair_one(t: str | None) -> str | None:
-    if t is None:
-        return None
-    if any(ch in t for ch in BOX_TRIGGERS):
-        codecs = BOX_CODECS
-    elif any(ch in t for ch in LATIN1_TRIGGERS):
-        codecs = LATIN1_CODECS
-    else:
-        return t
-    for cs in codecs:
-        try:
-            return t.encode(cs).decode("utf-8")
-        except (UnicodeEncodeError, UnicodeDecodeError):
-            continue
-    return t
+def _class(chars: str) -> str:
+    return "".join(f"\\x{{{ord(c):x}}}" for c in chars)
 
 
-@F.pandas_udf(T.StringType())
-def _repair(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: repair_one(t) if isinstance(t, str) else None)
+def _repair_runs(c: Column, codec: str) -> Column:
+    """Each run of the code page's upper half as UTF-8, where its bytes are UTF-8."""
+    high = upper_half(codec)
+    inside = _class(high)
+    pieces = F.regexp_extract_all(c, F.lit(f"(?s)([{inside}]+|[^{inside}]+)"), 1)
+
+    def one(p: Column) -> Column:
+        raw = F.encode(F.translate(p, high, LATIN1_HIGH), "ISO-8859-1")
+        ok = p.rlike(f"^[{inside}]") & F.is_valid_utf8(raw.cast("string"))
+        return F.when(ok, raw.cast("string")).otherwise(p)
+
+    return F.array_join(F.transform(pieces, one), "")
 
 
 def repair_text(c) -> Column:
-    """Repaired text; rows without a trigger character skip Python work."""
+    """Repaired text; text without a trigger character stays as it is.
+
+    A text with several kinds of triggers is repaired for each kind; a run that is no UTF-8 in the
+    first code page is tried in the next.
+    """
     c = F.col(c) if isinstance(c, str) else c
-    candidate = F.when(c.rlike(TRIGGER_PATTERN), c)
-    return F.coalesce(_repair(candidate), c)
+    out = c
+    for triggers, codecs in ((BOX_TRIGGERS, BOX_CODECS), (LATIN1_TRIGGERS, LATIN1_CODECS)):
+        fixed = out
+        for codec in codecs:
+            fixed = F.when(fixed.rlike(f"[{triggers}]"), _repair_runs(fixed, codec)).otherwise(fixed)
+        out = fixed
+    return out

@@ -21,6 +21,8 @@ REPLY_SCHEMA = "score string, " + ", ".join(f"`{f}` string" for f in REPLY_FIELD
 JSON_OBJECT = r"(?s)\{.*\}"
 INTEGER = r"^-?[0-9]+$"
 SCORE_MIN, SCORE_MAX = 1, 10
+#: Tasks that share the items of a limited scoring run.
+SCORING_TASKS = 256
 SCORE_OUT_SCHEMA = ("item_id long, model string, prompt_version string, reply string")
 
 
@@ -72,7 +74,8 @@ def score_with(items: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame],
     """
     src = items.select("item_id", "title", "clean_text")
     if limit is not None:
-        src = src.orderBy("item_id").limit(limit)
+        # the limit leaves one partition: spread its rows again, so scoring runs in many tasks
+        src = src.orderBy("item_id").limit(limit).repartition(max(1, min(limit, SCORING_TASKS)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

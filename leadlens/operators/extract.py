@@ -13,7 +13,11 @@ from pyspark.sql import functions as F
 
 # ---- fixed patterns ---------------------------------------------------------------------
 NOISE = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
-PARAGRAPH = r"(?is)<p(?:\s[^>]*)?>(.*?)</p>"
+# A paragraph runs from its start tag to its end tag, the next paragraph, a block's edge or the end
+# of the text: the end tag is optional in HTML, and cut-off pages have none.
+PARAGRAPH_START = r"(?i)<p(?:\s[^>]*)?>"
+PARAGRAPH_END = (r"(?i)</p\s*>|</?(?:address|article|aside|blockquote|body|details|div|dl|fieldset|figure|footer|form|h[1-6]|"
+                 r"header|hr|html|main|nav|ol|pre|section|table|ul)(?:\s[^>]*)?/?>")
 TAG = r"<[^>]+>"
 SPACES = r"\s+"
 JSON_LD = r'(?is)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>'
@@ -91,9 +95,10 @@ def json_ld_field(html, field: str) -> Column:
 
 # ---- P8 ---------------------------------------------------------------------------------
 def paragraph_text(html) -> Column:
-    """Text of every ``<p>`` outside script/style/comments, one per line."""
-    paras = F.regexp_extract_all(strip_noise(html), F.lit(PARAGRAPH), 1)
-    texts = F.transform(paras, lambda p: text_of(p))
+    """Text of every ``<p>`` outside script/style/comments, one per line, closed or not."""
+    parts = F.split(strip_noise(html), PARAGRAPH_START)
+    starts = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))  # what comes before the first is no paragraph
+    texts = F.transform(starts, lambda p: text_of(F.get(F.split(p, PARAGRAPH_END, 2), F.lit(0))))
     return F.array_join(F.filter(texts, lambda t: t != ""), "\n")
 
 

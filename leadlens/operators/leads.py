@@ -46,11 +46,16 @@ def export_table(base: DataFrame) -> DataFrame:
     return B.export_rows(base).orderBy(*B.lead_order()).select(*B.TABLE_COLUMNS)
 
 
+def review_rows(item_scores: DataFrame, items: DataFrame, lead_labels: DataFrame, pv: str,
+                min_score: int = 5) -> DataFrame:
+    """F11 over the whole lead set: what the review queue shows 100 rows of."""
+    return B.review_rows(B.lead_base(item_scores, items, lead_labels, pv, min_score))
+
+
 def review_queue(item_scores: DataFrame, items: DataFrame, lead_labels: DataFrame, pv: str,
                  min_score: int = 5, status: str = "new", limit: int = 100) -> DataFrame:
     """L5 + F4 + F11: review rows, score desc, first 100 ('all' disables the status filter)."""
-    base = B.lead_base(item_scores, items, lead_labels, pv, min_score)
-    rows = B.review_rows(base)
+    rows = review_rows(item_scores, items, lead_labels, pv, min_score)
     if status != "all":
         rows = rows.where(F.col("status") == status)
     return (rows.orderBy(F.col("score").desc(), F.col("item_id").asc(), F.col("model").asc())

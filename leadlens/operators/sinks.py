@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -57,8 +58,9 @@ def export_file_name(pv: str, min_score: int, epoch: int | None = None) -> str:
     return f"leads_p{pv}_score{min_score}_{int(time.time()) if epoch is None else epoch}.csv"
 
 
-def export_leads_csv(base: DataFrame, path: str, single_file: bool = True) -> None:
-    """K2: the full filtered set, export columns, UTF-8 with BOM."""
+def export_leads_csv(base: DataFrame, path: str, single_file: bool = False) -> None:
+    """K2: the full filtered set, export columns, UTF-8 with BOM; ordered part files, or one file
+    for a small download."""
     from leadlens.operators.leads import export_frame
 
     write_csv(export_frame(base), path, bom=True, single_file=single_file)
@@ -99,17 +101,22 @@ def export_benchmark(bench: DataFrame, path: str) -> None:
 
 
 def record_run(spark: SparkSession, processed: DataFrame, runs_path: str, script: str, started_at,
-               ok_col: str = "ok", skipped_col: str = "skipped", notes: str | None = None) -> dict:
-    """K9: run ``processed`` to its sink-less end, observe counts, append one stats row.
+               ok_col: str = "ok", skipped_col: str = "skipped", notes: str | None = None,
+               write: Callable[[DataFrame], None] | None = None) -> dict:
+    """K9: run ``processed`` into its sink, observe counts on the way, append one stats row.
 
-    ``processed`` has boolean columns ``ok`` and ``skipped``; counts are
-    collected with ``DataFrame.observe`` during the same pass.
+    ``processed`` has boolean columns ``ok`` and ``skipped``; ``write`` writes it (without one it
+    runs to no sink). Counts are collected with ``DataFrame.observe`` by that write, so they are of
+    the rows that were stored and nothing runs twice.
     """
     obs = Observation(f"run_{script}")
     t0 = time.time()
-    processed.observe(obs, F.count(F.lit(1)).alias("n"),
-                      F.count_if(F.col(ok_col)).alias("ok"),
-                      F.count_if(F.col(skipped_col)).alias("skipped")).write.format("noop").mode("overwrite").save()
+    observed = processed.observe(obs, F.count(F.lit(1)).alias("n"), F.count_if(F.col(ok_col)).alias("ok"),
+                                 F.count_if(F.col(skipped_col)).alias("skipped"))
+    if write is None:
+        observed.write.format("noop").mode("overwrite").save()
+    else:
+        write(observed)
     duration = time.time() - t0
     m = obs.get
     n, ok, skipped = int(m["n"]), int(m["ok"]), int(m["skipped"])

@@ -2,7 +2,7 @@
 
 * ``browse``: one lazy lead set; count, page and export are actions on it,
   so it is persisted once (memory and disk) while they run.
-* ``review_and_export``: review rows + edits -> changed labels (M6) ->
+* ``review_and_export``: all leads + edits -> changed labels (M6) ->
   append (K1) -> newest label wins on read -> confirmed leads to the CRM
   frame (K4) and the leads table (K8).
 * ``run_pipeline``: discover -> fetch queue -> extract -> garbage ->
@@ -41,7 +41,7 @@ class BrowseResult:
 
 def browse(item_scores: DataFrame, items: DataFrame, lead_labels: DataFrame, pv: str, min_score=7,
            search: str | None = None, page: int = 1, size: int = 10, export_dir: str | None = None,
-           epoch: int | None = None) -> BrowseResult:
+           epoch: int | None = None, single_file: bool = False) -> BrowseResult:
     """§3.1: count -> clamp page -> page rows -> optional CSV export of the whole set."""
     base = L.browse(item_scores, items, lead_labels, pv, min_score, search).persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -51,7 +51,7 @@ def browse(item_scores: DataFrame, items: DataFrame, lead_labels: DataFrame, pv:
         path = None
         if export_dir:
             path = f"{export_dir.rstrip('/')}/{S.export_file_name(pv, B.min_score_for(min_score), epoch)}"
-            S.export_leads_csv(base, path, single_file=True)
+            S.export_leads_csv(base, path, single_file=single_file)
         return BrowseResult(total, page, pages, first, last, rows, path)
     finally:
         base.unpersist()
@@ -63,11 +63,12 @@ def review_and_export(item_scores: DataFrame, items: DataFrame, lead_labels_path
     """§3.3: apply review edits (item_id, status) as appended labels, then export confirmed leads."""
     spark = item_scores.sparkSession
     labels = spark.read.parquet(lead_labels_path)
-    shown = L.review_queue(item_scores, items, labels, pv, min_score, "all")
-    edited = shown.select("item_id", "status").join(
-        edits.select("item_id", F.col("status").alias("_e")), "item_id", "left") \
-        .select("item_id", F.coalesce("_e", "status").alias("status"))
-    changes = L.changed_labels(shown, edited).persist(StorageLevel.MEMORY_AND_DISK)
+    # the queue shows 100 rows; edits count for every lead of the set, so none is matched against a page
+    leads = L.review_rows(item_scores, items, labels, pv, min_score).select("item_id", "status")
+    unknown = edits.join(leads, "item_id", "left_anti").select("item_id").distinct().limit(5).collect()
+    if unknown:
+        raise ValueError(f"edits of items that are no leads: {[r['item_id'] for r in unknown]}")
+    changes = L.changed_labels(leads, edits).persist(StorageLevel.MEMORY_AND_DISK)
     n = changes.count()
     S.append_labels(changes, lead_labels_path, as_of)
     changes.unpersist()
@@ -78,15 +79,24 @@ def review_and_export(item_scores: DataFrame, items: DataFrame, lead_labels_path
 
 def run_pipeline(spark: SparkSession, pages: DataFrame, url_state: DataFrame, work: str, scorer,
                  model: str, prompt_version: str, as_of, per_source: int = 30,
-                 score_limit: int | None = 50) -> dict[str, DataFrame]:
-    """§3.2: one run of every stage; each stage's output is a written table (lineage is cut)."""
+                 score_limit: int | None = None) -> dict[str, DataFrame]:
+    """§3.2: one run of every stage; each stage's output is a written table (lineage is cut).
+
+    Runs share ``work``: scores are a log of runs, read with newest-wins (M1), so runs of several
+    models coexist and a rerun replaces only its own rows. ``score_limit`` bounds the items scored
+    per run; how many it left over is in the run row's notes.
+    """
     w = work.rstrip("/")
     started = as_of if isinstance(as_of, dt.datetime) else dt.datetime.fromisoformat(str(as_of))
     # discover: links of fetched pages, upserted into url_state by normalised hash
-    links = D.html_links(pages).select(F.col("link").alias("url"), F.lit("discovered").alias("source_id"))
-    M.upsert_urls(url_state, links, as_of).write.mode("overwrite").parquet(f"{w}/url_state")
+    links = page_links(pages, url_state)
+    found = M.upsert_urls(url_state, links, as_of)
+    # the pages at hand were fetched (M7); the fetch itself is outside Spark
+    held = D.with_url_key(pages.select("url")).select("url_hash").distinct()
+    outcomes = (D.with_url_key(found).join(held, "url_hash", "left_semi")
+                .select("url_id", F.lit("fetched").alias("status")))
+    M.apply_fetch_outcomes(found, outcomes).write.mode("overwrite").parquet(f"{w}/url_state")
     state = spark.read.parquet(f"{w}/url_state")
-    # fetch queue (the HTTP fetch itself is outside Spark)
     D.fetch_queue(state, per_source).write.mode("overwrite").parquet(f"{w}/fetch_queue")
     # extract + garbage + keyword filter on the pages we hold
     ex = T.extract(pages).select(F.col("page_id").alias("item_id"), "url", "title", "clean_text", "extract_method")
@@ -99,21 +109,36 @@ def run_pipeline(spark: SparkSession, pages: DataFrame, url_state: DataFrame, wo
         allowMissingColumns=True)
     filtered.write.mode("overwrite").parquet(f"{w}/items")
     items = spark.read.parquet(f"{w}/items")
-    # classify: scorer hook over ready items, replies parsed and validated
+    # classify: scorer hook over ready items, replies parsed and validated; the observed write is the
+    # one evaluation of the scorer
     ready = T.ready_for_scoring(items.where(F.col("prefilter_pass")))
+    left = 0 if score_limit is None else max(0, ready.count() - score_limit)
     replies = C.score_with(ready, scorer, model, prompt_version, limit=score_limit)
-    parsed = C.parse_replies(replies, "reply")
-    new_scores = parsed.select("item_id", "model", "prompt_version", "lead_score", *B.SCORE_FIELDS,
-                               F.lit(as_of).cast("timestamp_ntz").alias("classified_at"))
-    new_scores.write.mode("overwrite").parquet(f"{w}/scores_run")
-    run = spark.read.parquet(f"{w}/scores_run")
-    try:
-        existing = spark.read.parquet(f"{w}/item_scores")
-    except Exception:  # noqa: BLE001 - first run: no score table yet
-        existing = run.where(F.lit(False))  # empty, same schema
-    M.upsert_scores(existing.select(*run.columns), run).write.mode("overwrite").parquet(f"{w}/item_scores_next")
-    stats = S.record_run(spark, parsed.select(F.col("lead_score").isNotNull().alias("ok"),
-                                              F.lit(False).alias("skipped")),
-                         f"{w}/pipeline_runs", "classify", started)
-    return {"url_state": state, "items": items, "scores": spark.read.parquet(f"{w}/item_scores_next"),
-            "stats": stats}
+    parsed = (C.parse_replies(replies, "reply").withColumn("ok", F.col("lead_score").isNotNull())
+              .withColumn("skipped", F.lit(False)))
+    log = f"{w}/item_scores"
+    batch = started.strftime("%Y%m%dT%H%M%S%f")
+
+    def append(df: DataFrame) -> None:
+        (df.select("item_id", "model", "prompt_version", "lead_score", *B.SCORE_FIELDS,
+                   F.lit(as_of).cast("timestamp_ntz").alias("classified_at"))
+         .write.mode("append").parquet(f"{log}/batch_id={batch}"))
+
+    stats = S.record_run(spark, parsed, f"{w}/pipeline_runs", "classify", started, write=append,
+                         notes=f"{left} ready items left over" if left else None)
+    scores = M.latest_scores(spark.read.option("basePath", log).schema(SCORE_LOG).parquet(log))
+    return {"url_state": state, "items": items, "scores": scores, "stats": stats}
+
+
+SCORE_LOG = ("item_id long, model string, prompt_version string, lead_score int, "
+             + ", ".join(f"{f} string" for f in B.SCORE_FIELDS) + ", classified_at timestamp_ntz, batch_id string")
+
+
+def page_links(pages: DataFrame, url_state: DataFrame) -> DataFrame:
+    """(url, source_id) of every link on the pages: a link belongs to the source of its page, which
+    url_state knows by the page's url; a page it does not know is a source by its host."""
+    known = (D.with_url_key(url_state).groupBy("url_hash").agg(F.min("source_id").alias("source_id")))
+    at = D.with_url_key(pages.select("page_id", "url")).join(known, "url_hash", "left")
+    host = F.lower(F.regexp_extract("url", D.URL_PARTS, 2))
+    at = at.select("page_id", F.coalesce("source_id", host).alias("source_id"))
+    return D.html_links(pages).join(at, "page_id").select(F.col("link").alias("url"), "source_id")

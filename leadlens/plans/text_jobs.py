@@ -38,7 +38,14 @@ def s_nonempty(x: str) -> str:
 
 
 def s_paragraph_text(h: str) -> str:
-    paras = f"regexp_extract_all({s_strip_noise(h)}, {q(T.PARAGRAPH)}, 1)"
+    """Another way than the operator's: every tag that begins or ends a paragraph becomes a control
+    character, and paragraphs are read between those."""
+    blocks = ("address|article|aside|blockquote|body|details|div|dl|fieldset|figure|footer|form|h1|h2|h3|h4|h5|h6|header|hr|"
+              "html|main|nav|ol|pre|section|table|ul")
+    marked = f"regexp_replace({s_strip_noise(h)}, '(?i)<p(\\s[^>]*)?>', chr(2), 'g')"
+    marked = f"regexp_replace({marked}, '(?i)</p\\s*>', chr(3), 'g')"
+    marked = f"regexp_replace({marked}, '(?i)</?({blocks})(\\s[^>]*)?/?>', chr(3), 'g')"
+    paras = f"regexp_extract_all({marked}, '\\x02([^\\x02\\x03]*)', 1)"
     texts = f"list_transform({paras}, lambda p: {s_text_of('p')})"
     return f"array_to_string(list_filter({texts}, lambda t: t <> ''), chr(10))"
 
@@ -297,15 +304,22 @@ def p15_reply_ingest(c):
                       *[f"lead_{f}" for f in C.REPLY_FIELDS])
 
 
-@register("p17_repair_text")
+# every third text is garbled by reading its UTF-8 bytes as Latin-1, every other third as code page 437
+@register("p17_repair_text", """
+select doc_id, text as repaired, doc_id % 3 < 2 and text is distinct from
+  regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') as was_garbled
+from documents where not regexp_matches(text, '[\u251c\u253c\u00c3\u00c2]')""")
 def p17_repair_text(c):
-    """Code-page repair of titles and text (Python only on trigger rows)."""
-    from leadlens.functions.textfix import repair_text
-
-    i = c.items
-    t, x = repair_text("title"), repair_text("clean_text")
-    return i.select("item_id", t.alias("title"), x.alias("clean_text"),
-                    (~F.col("title").eqNullSafe(t) | ~F.col("clean_text").eqNullSafe(x)).alias("changed"))
+    """Texts garbled by rule are repaired to what they were (built-ins only)."""
+    from leadlens.functions.textfix import BOX_TRIGGERS, LATIN1_HIGH, LATIN1_TRIGGERS, repair_text, upper_half
+
+    docs = c.documents.where(~F.col("text").rlike(f"[{BOX_TRIGGERS}{LATIN1_TRIGGERS}]"))
+    latin = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
+    garbled = (F.when(F.col("doc_id") % 3 == 0, latin)
+               .when(F.col("doc_id") % 3 == 1, F.translate(latin, LATIN1_HIGH, upper_half("cp437"))).otherwise(F.col("text")))
+    out = docs.select("doc_id", garbled.alias("garbled"), "text")
+    return out.select("doc_id", repair_text("garbled").alias("repaired"),
+                      (~F.col("garbled").eqNullSafe(F.col("text"))).alias("was_garbled"))
 
 
 @register("p18_exact_duplicates", """

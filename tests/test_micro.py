@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from leadlens.functions import expr as X
 from leadlens.functions.country import flag_expr
-from leadlens.functions.textfix import repair_one, repair_text
+from leadlens.functions.textfix import repair_text
 from leadlens.operators import analytics as A
 from leadlens.operators import base as B
 from leadlens.operators import classify as C
@@ -57,20 +57,12 @@ def test_activity_summary_empty(spark):
 
 
 # ---- W3 / X15 ------------------------------------------------------------------------
-def _py_delta(cur, prev):
-    delta = cur - prev
-    if prev > 0:
-        pct = round(100 * delta / prev, 0)
-        return f"{'+' if delta >= 0 else ''}{int(pct)}% vs prev 7d"
-    return f"{'+' if delta >= 0 else ''}{delta} vs prev 7d"
-
-
 def test_delta_text(spark):
-    cases = [(0, 0), (5, 0), (0, 4), (5, 8), (1, 8), (3, 2), (10, 4)]
-    df = spark.createDataFrame(cases, "cur long, prev long")
-    got = rows(df.select("cur", "prev", X.delta_text("cur", "prev").alias("t")), "cur", "prev", "t")
-    for cur, prev, t in got:
-        assert t == _py_delta(cur, prev), (cur, prev, t)
+    expected = [(0, 0, "+0 vs prev 7d"), (5, 0, "+5 vs prev 7d"), (0, 4, "-100% vs prev 7d"), (5, 8, "-38% vs prev 7d"),
+                (1, 8, "-88% vs prev 7d"), (3, 2, "+50% vs prev 7d"), (10, 4, "+150% vs prev 7d"), (9, 8, "+12% vs prev 7d")]
+    df = spark.createDataFrame(expected, "cur long, prev long, want string")
+    for r in df.withColumn("t", X.delta_text("cur", "prev")).collect():
+        assert r["t"] == r["want"]
 
 
 # ---- F3 --------------------------------------------------------------------------------
@@ -223,6 +215,15 @@ def test_json_ld_extraction(spark):
     assert ex[4] == (None, None)
 
 
+def test_paragraphs_without_end_tags(spark):
+    pages = [("<body><p>One<p class='x'>Two</p><div>no</div><p>Three", "One\nTwo\nThree"),
+             ("<p>Ends at <b>a</b> block<ul><li>item</li></ul><p>Next", "Ends at a block\nNext"),
+             ("<p>cut <script>x</script>off</body></html>", "cut off"), ("<pre>none</pre>", ""), ("<param>no<p>yes", "yes")]
+    df = spark.createDataFrame(pages, "html string, want string")
+    for r in df.withColumn("t", T.paragraph_text("html")).collect():
+        assert r["t"] == r["want"], r["html"]
+
+
 def test_paragraphs_skip_scripts_and_decode_entities(spark):
     html = ('<html><head><script>var t="</p>";</script><style>p{x:1}</style></head><body>'
             '<!-- <p>ad</p> --><p class="a">Fish &amp; <b>chips</b></p><p>  </p><p>Second&nbsp;para</p>'
@@ -267,11 +268,13 @@ def test_keyword_prefilter(spark):
 
 # ---- P17 ------------------------------------------------------------------------------------
 def test_charset_repair(spark):
-    df = spark.createDataFrame([(1, "f├╝r"), (2, "fÃ¼r"), (3, "Box ├── tree"), (4, None), (5, "ok")],
-                               "id long, t string")
-    got = dict(rows(df.select("id", repair_text("t").alias("r")), "id", "r"))
-    assert got == {1: "für", 2: "für", 3: "Box ├── tree", 4: None, 5: "ok"}
-    assert repair_one("fÃ¼r") == "für"
+    want = {"f├╝r": "für", "fÃ¼r": "für", "Box ├── tree": "Box ├── tree", None: None, "ok": "ok", "": "",
+            "f├╝r 5 € – net": "für 5 € – net", "Ã¼ and Ã\u0084": "ü and Ä", "Ã alone": "Ã alone", "€ only": "€ only",
+            "gr├╝n ├── gr├╝n": "grün ├── grün", "two\nlines f├╝r": "two\nlines für"}
+    df = spark.createDataFrame([(t,) for t in want], "t string")
+    out = df.select("t", repair_text("t").alias("r"))
+    assert dict(rows(out, "t", "r")) == want
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
 
 
 # ---- M1 -------------------------------------------------------------------------------------
@@ -288,45 +291,17 @@ def test_score_upsert_latest_wins_and_idempotent(spark):
 
 
 # ---- X12 / X13 / X11 / X16 / X14 ----------------------------------------------------------------
-def _py_money(v):
-    if v >= 1_000_000_000:
-        return f"€{v / 1_000_000_000:.1f}B"
-    if v >= 1_000_000:
-        return f"€{v / 1_000_000:.0f}M"
-    if v >= 1_000:
-        return f"€{v / 1_000:.0f}K"
-    return f"€{int(v):,}"
-
-
-def _py_age(dt_, now):
-    seconds = int((now - dt_).total_seconds())
-    if seconds < 3600:
-        return f"{max(1, seconds // 60)}m ago"
-    if seconds < 86400:
-        return f"{seconds // 3600}h ago"
-    days = seconds // 86400
-    if days < 7:
-        return f"{days}d ago"
-    if days < 30:
-        return f"{days // 7}w ago"
-    if days < 365:
-        return f"{days // 30}mo ago"
-    return f"{days // 365}y ago"
-
-
 def test_money_and_age_text(spark):
-    values = [999, 1000, 1499, 1500.0, 2500.0, 1_500_000, 2_500_000, 1_234_567, 1e9, 2.25e9, 12_345_678_900]
-    df = spark.createDataFrame([(float(v),) for v in values], "v double")
-    got = [r["m"] for r in df.select(X.money_text("v").alias("m")).collect()]
-    assert got == [_py_money(float(v)) for v in values]
-
-    now = T0
-    offsets = [-3600, 59, 60, 3599, 3600, 86399, 6 * 86400, 7 * 86400, 29 * 86400, 30 * 86400,
-               364 * 86400, 365 * 86400, 800 * 86400]
-    ts = [now - dt.timedelta(seconds=s) for s in offsets]
-    df = spark.createDataFrame([(t,) for t in ts], "t timestamp_ntz")
-    got = [r["a"] for r in df.select(X.age_text("t", F.lit(now).cast("timestamp_ntz")).alias("a")).collect()]
-    assert got == [_py_age(t, now) for t in ts]
+    money = {999.0: "€999", 1000.0: "€1K", 1499.0: "€1K", 1500.0: "€2K", 2500.0: "€2K", 1_500_000.0: "€2M", 2_500_000.0: "€2M",
+             1_234_567.0: "€1M", 1e9: "€1.0B", 2.25e9: "€2.2B", 12_345_678_900.0: "€12.3B", 0.0: "€0"}
+    df = spark.createDataFrame([(v,) for v in money], "v double")
+    assert dict(rows(df.select("v", X.money_text("v").alias("m")), "v", "m")) == money
+
+    day = 86400
+    age = {-3600: "1m ago", 59: "1m ago", 60: "1m ago", 3599: "59m ago", 3600: "1h ago", day - 1: "23h ago", 6 * day: "6d ago",
+           7 * day: "1w ago", 29 * day: "4w ago", 30 * day: "1mo ago", 364 * day: "12mo ago", 365 * day: "1y ago", 800 * day: "2y ago"}
+    df = spark.createDataFrame([(s, T0 - dt.timedelta(seconds=s)) for s in age], "s long, t timestamp_ntz")
+    assert dict(rows(df.select("s", X.age_text("t", F.lit(T0).cast("timestamp_ntz")).alias("a")), "s", "a")) == age
 
 
 def test_card_helpers(spark):
