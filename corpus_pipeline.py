@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadlens.llm import bag_minhash, bpe_trie, divergence, line_dedup, mixing
-from leadlens.llm.common import prepare
+from leadlens.llm.common import fresh, prepare
 from leadlens.llm.queries import vocabulary
 from leadlens.session import work_dir
 
@@ -44,8 +44,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: each document as often as the mix takes it."""
     prepare(spark)
     times = mixing.mix(docs).where("times > 0").groupBy("doc_id").agg(F.max("times").alias("times"))
-    out = docs.alias("d").join(times.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")))
-    return out.select("d.*", F.explode(F.sequence(F.lit(1), F.col("t.times"))).alias("__pass")).drop("__pass")
+    times = times.select(F.col("doc_id").alias("id"), F.sequence(F.lit(1), F.col("times")).alias("passes"))
+    turn = fresh(docs, "turn")
+    out = docs.alias("d").join(times.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.id")))
+    return out.select("d.*", F.explode("t.passes").alias(turn)).drop(turn)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +57,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    ids = ids.withColumnRenamed("doc_id", "__kept")
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__kept"]), "left_semi")
+    return docs.alias("d").join(ids.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near_copies", near_copies), ("mix", mix), ("encode", encode)]

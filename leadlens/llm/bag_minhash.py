@@ -17,7 +17,7 @@ components is lost. Equal texts are one class from the start.
 
 Nulls and odd rows: texts are compared by their lower-cased words. A text of one to four words is one
 shingle. Null texts and texts without words are nobody's duplicates and are each a class of their
-own. Repeated rows with one id are one document. Results carry the least id of each class.
+own; so is a null id, whose class is null. Repeated rows with one id are one document. Results carry the least id of each class.
 """
 
 from __future__ import annotations
@@ -194,7 +194,8 @@ def labelled(members: DataFrame, links: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id, class_size) of every document: the least id of the documents that chains
     of near-duplicates join to it."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    every = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = every.where("doc_id is not null")
     keyed = written(band_keys(rows), "bands")
     same = keyed.groupBy("words").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"),
                                       F.first("keys").alias("keys"))
@@ -221,6 +222,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     of = (keyed.select("doc_id", "words").join(same.select("words", "rep"), "words")
           .join(label, "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("class_id")).distinct())
     size = of.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
-    alone = rows.select("doc_id").distinct().join(of.select("doc_id"), "doc_id", "left_anti").select(
+    # texts without words, and rows without an id
+    alone = every.select("doc_id").distinct().join(of.select("doc_id"), "doc_id", "left_anti").select(
         "doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
     return of.join(size, "class_id").select("doc_id", "class_id", "class_size").unionByName(alone)

@@ -127,6 +127,14 @@ def splitmix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem = f"_{stem}"
+    return stem
+
+
 def n_words(text) -> "F.Column":
     """Number of words of a text column; null has none."""
     return F.coalesce(F.size(F.array_remove(F.split(text, SPACE), "")), F.lit(0)).cast("long")

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadlens.llm.common import SPACE, written
+from leadlens.llm.common import SPACE, fresh, written
 
 SIMILARITY, MIN_WORDS = 0.8, 3
 COUNTERS = 1 << 16
@@ -151,13 +151,13 @@ def maybe(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with later copies of lines taken out of the text, and ``n_lines``, ``n_removed`` (long)
     in place of columns so named."""
-    rows = docs.withColumn("__row", F.xxhash64(F.col(id_col), F.col(text_col)))
-    plain = rows.select(F.col(id_col).alias("doc_id"), F.col("__row").alias("row"), F.col(text_col).alias("text"))
-    gone = written(removed_lines(plain).groupBy(F.col("row").alias("__row")).agg(F.collect_set("line").alias("__gone")), "gone")
-    joined = rows.join(gone, "__row", "left")
+    row, gone = fresh(docs, "row"), fresh(docs, "gone")
+    rows = docs.withColumn(row, F.xxhash64(F.col(id_col), F.col(text_col)))
+    plain = rows.select(F.col(id_col).alias("doc_id"), F.col(row).alias("row"), F.col(text_col).alias("text"))
+    dropped = written(removed_lines(plain).groupBy(F.col("row").alias(row)).agg(F.collect_set("line").alias(gone)), "gone")
     lines = F.split(F.col(text_col), "\n")
-    stay = F.filter(lines, lambda x, i: ~F.array_contains(F.col("__gone"), i))
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(stay, "\n"))
-    return (joined.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
-            .withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
-            .withColumn(text_col, text).drop("__row", "__gone"))
+    stay = F.filter(lines, lambda x, i: ~F.array_contains(F.col(gone), i))
+    text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(stay, "\n"))
+    return (rows.join(dropped, row, "left").withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
+            .withColumn("n_removed", F.coalesce(F.size(gone), F.lit(0)).cast("long"))
+            .withColumn(text_col, text).drop(row, gone))

@@ -13,7 +13,8 @@ to ranges of ids; the first of each range is also sent to the range before, as i
 Nulls and odd rows: a null text is an empty one, whose fingerprint is "". Two empty fingerprints are
 alike (1), an empty one and another are not (0). The last phrase of a text counts even where it was
 seen before. Rows that share an id come in the order of their texts' hashes; a null id comes last.
-An only document is its own next. Texts are parsed whole; further columns are not read.
+An only document is its own next. Ids are whole numbers for ``with_next``, of any type for
+``fingerprints``. Texts are parsed whole; further columns are not read.
 """
 
 from __future__ import annotations
@@ -118,7 +119,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     cuts = rows.agg(F.percentile_approx(F.col("doc_id").cast("double"), [i / n for i in range(1, n)], 10000)).first()[0] or []
     cuts = F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast("array<double>")
     # ranges count downwards, as the order does; null ids come after all
-    at = F.coalesce(F.size(F.filter(cuts, lambda c: c >= F.col("doc_id").cast("double"))), F.lit(n)).cast("int")
+    at = F.when(F.col("doc_id").isNull(), n).otherwise(F.size(F.filter(cuts, lambda c: c >= F.col("doc_id").cast("double"))))
     rows = rows.withColumn("range", at)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), (-F.col("doc_id").cast("decimal(38,0)")).alias("down"), "key"))
     heads = rows.groupBy("range").agg(first.alias("h")).orderBy("range").collect()  # one row a range

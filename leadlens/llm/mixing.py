@@ -10,7 +10,8 @@ run up in one small table, and only inside a slot are items in order. The same i
 source by slots of its shuffle key, so a source with a third of all rows is many slots.
 
 Nulls and odd rows: a null or empty text has size 0, and such a document is taken with 0 words. A
-null source is a source of its own, last. Repeated rows are items of their own. An empty table
+null source is a source of its own, last. Repeated rows are items of their own, equal in all but
+their place in the queue. An empty table
 gives an empty result. Further columns are not read.
 """
 
@@ -56,8 +57,9 @@ def targets(sizes: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, mo
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weights: tuple = (3, 1, 2), share: float = 1.5, passes: int = 2) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of every document; ``taken`` counts repeats."""
-    rows = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-                               n_words(F.col(text_col)).alias("size")), "mix_sizes")
+    # numbered once and written: rows that repeat stay apart
+    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"),
+                               F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size")), "mix_sizes")
     goal = targets(rows, weights, share, float(passes))
     key = F.xxhash64(F.lit(SEED), F.col("doc_id"))
     rows = rows.withColumn("key", key).withColumn("slot", F.pmod("key", F.lit(QUEUE_SLOTS)).cast("int"))
@@ -66,18 +68,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sums = sums.withColumn("before", F.coalesce(F.sum("words").over(
         Window.partitionBy("source").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     heads = _with_goal(sums, goal)
-    inside = Window.partitionBy("source", "slot").orderBy("key", "doc_id", "size").rowsBetween(
+    inside = Window.partitionBy("source", "slot").orderBy("key", "doc_id", "size", "row").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     named = heads.select(F.col("source").alias("source_"), F.col("slot").alias("slot_"), "before", "source_size", "target")
     items = (rows.withColumn("upto", F.sum("size").over(inside))
              .join(named, F.col("source").eqNullSafe(F.col("source_")) & (F.col("slot") == F.col("slot_")))
-             .select("doc_id", "source", "key", "size", "source_size", "target",
+             .select("row", "doc_id", "source", "key", "size", "source_size", "target",
                      (F.col("before") + F.col("upto")).alias("upto")))
     items = items.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
     finish = F.when(F.col("target") > 0, (F.col("pass") * F.col("source_size") + F.col("upto")) / F.col("target"))
     items = items.withColumn("finish", F.coalesce(finish, F.lit(0.0)))
-    # finish times of items that can be taken lie near 0 to 1
-    items = items.withColumn("at", F.least(F.floor(F.col("finish") * TIME_SLOTS / 2), F.lit(TIME_SLOTS - 1)).cast("int"))
+    # slots of all finish times from 0 on, finest where the budget can cut, around 1
+    items = items.withColumn("at", F.floor(F.col("finish") / (1 + F.col("finish")) * TIME_SLOTS).cast("int"))
     items = written(items, "mix_items")
     times = items.groupBy("at").agg(F.sum("size").alias("words"))
     times = times.withColumn("earlier", F.coalesce(F.sum("words").over(
@@ -89,12 +91,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         .when(F.col("earlier") >= F.col("budget"), 0).alias("all"), "budget")
     items = items.join(times, "at")
     cut = items.where(F.col("all").isNull())
-    order = Window.partitionBy("at").orderBy("finish", "key", "source", "doc_id", "pass", "size").rowsBetween(
+    order = Window.partitionBy("at").orderBy("finish", "key", "source", "doc_id", "pass", "size", "row").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     cut = cut.withColumn("all", (F.col("earlier") + F.sum("size").over(order) <= F.col("budget")).cast("int"))
     both = items.where(F.col("all").isNotNull()).unionByName(cut)
-    # a document's row in the first pass tells it from a repeated row
-    return (both.groupBy("doc_id", "source", "upto", "size", "source_size", "target")
+    return (both.groupBy("row", "doc_id", "size", "source_size", "target")
             .agg(F.sum(F.col("size") * F.col("all")).cast("long").alias("taken"), F.sum("all").cast("int").alias("times"))
             .select("doc_id", "size", "source_size", "target", "taken", "times"))
 

@@ -11,7 +11,7 @@ are calibrated on held-out findings by a logistic fit, and the threshold is the
 held-out recall stays at ``RECALL`` or more, but not under ``LEAST``.
 
 Labelled findings come from a bounded sample of ``SAMPLE`` documents, those with the least hash of
-their id; every document is scanned. Nulls and odd rows: a null or empty text has no spans. Texts are
+their id (ids that repeat are all taken), and of ``ROWS`` snippets of a kind; every document is scanned. Nulls and odd rows: a null or empty text has no spans. Texts are
 scanned whole. Repeated rows give repeated results. With no findings in the sample, the network
 learns from drawn keys alone. Further columns are not read.
 """
@@ -19,13 +19,14 @@ learns from drawn keys alone. Further columns are not read.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadlens.llm.common import slices
@@ -178,15 +179,24 @@ KEY_SETS = ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789",
             "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
 
 
-def training_rows(texts: list[str], rows: int = ROWS, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Coded rows and labels from sample texts."""
+def snippets(text: str, words: int = 40) -> list[tuple[str, int, int, int]]:
+    """(label, text around, start, end) of a text's findings (1), other candidates (0) and first
+    words (2), with what the network can see of them."""
+    spans = patterns(text)
+    marked = [(1, s, e) for s, _, e in spans] + [(0, s, e) for s, e in candidates(text, spans)]
+    marked += [(2, m.start(), m.end()) for m in itertools.islice(re.finditer(r"[^\s]{6,}", text), words)]
+    out = []
+    for label, s, e in marked:
+        run = text[s:min(e, s + 2 * INSIDE)]
+        left = text[max(0, s - AROUND):s]
+        out.append((label, left + run + text[e:e + AROUND], len(left), len(left) + len(run)))
+    return out
+
+
+def training_rows(labelled: list[tuple[int, str, int, int]], rows: int = ROWS, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Coded rows and labels from snippets."""
     r = random.Random(seed)
-    found, other, words = [], [], []
-    for t in texts:
-        spans = patterns(t)
-        found += [(t, s, e) for s, k, e in spans]
-        other += [(t, s, e) for s, e in candidates(t, spans)]
-        words += [(t, m.start(), m.end()) for m in list(re.finditer(r"[^\s]{6,}", t))[:40]]
+    found, other, words = ([x[1:] for x in labelled if x[0] == k] for k in (1, 0, 2))
     r.shuffle(found)
     r.shuffle(other)
     r.shuffle(words)
@@ -226,13 +236,21 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     """A network fitted on the bounded sample."""
     key = F.xxhash64(F.col(id_col).cast("string"))
     ids = [r[0] for r in docs.select(key.alias("k")).orderBy("k").limit(sample).collect()]
-    rows = []
-    if ids:
-        # texts with a finding or a digit teach something; the bound holds for their characters too
-        text = F.col(text_col)
-        rows = (docs.where(key <= F.lit(max(ids))).where(text.rlike("[0-9]"))
-                .select(F.substr(text, F.lit(1), F.lit(20000)).alias("t"), key.alias("k")).orderBy("k", "t").limit(sample // 4).collect())
-    return Network().fit(*training_rows([r["t"] for r in rows]))
+    if not ids:
+        return Network().fit(*training_rows([]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text", 4 << 20):
+            rows = [x for t in b.column("text").to_pylist() for x in snippets(t or "")]
+            cols = list(zip(*rows)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.string(), pa.int32(), pa.int32()))],
+                                             names=["label", "around", "start", "end"])
+
+    found = (docs.where(key <= F.lit(max(ids))).select(F.col(text_col).alias("text"))
+             .mapInArrow(run, "label int, around string, start int, end int"))
+    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("around", "start"), "around", "start", "end"))
+    rows = found.withColumn("rank", rank).where(F.col("rank") <= ROWS).drop("rank").collect()
+    return Network().fit(*training_rows(sorted(tuple(r) for r in rows)))
 
 
 RESULT = "n_assign long, n_access long, n_hex long, n_network long, base_sha256 string, spans string"
