@@ -46,51 +46,49 @@ def prefix_size(n: Column) -> Column:
     return n - F.ceil(n * F.lit(SIMILARITY) - F.lit(1e-9)).cast("int") + 1
 
 
-def counters(words: DataFrame) -> DataFrame:
-    """One row with the array of all counters, as logarithms of their counts, from word hashes."""
+def rarities(words: DataFrame) -> bytes:
+    """A byte a counter, the logarithm of its count, from word hashes: as many as there are counters."""
     at = F.pmod("word", F.lit(COUNTERS)).cast("int")
     seen = words.groupBy(at.alias("at")).agg(F.count(F.lit(1)).alias("n"))
-    every = words.sparkSession.range(COUNTERS).select(F.col("id").cast("int").alias("at"), F.lit(0).cast("long").alias("n"))
-    filled = seen.unionByName(every).groupBy("at").agg(F.sum("n").alias("n"))
-    return filled.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "n"))),
-                                  lambda s: F.floor(F.log2(s["n"] + 1)).cast("long")).alias("rarity"))
+    table = bytearray(b"\x01" * COUNTERS)
+    for r in seen.select("at", F.floor(F.log2("n")).cast("int").alias("r")).collect():
+        table[r["at"]] = 1 + r["r"]
+    return bytes(table)
 
 
 def line_sets(docs: DataFrame) -> DataFrame:
     """(doc_id, row, line, h1, h2, n, prefix) of every line that is long enough."""
     lines = docs.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("line", "content"))
     words = lines.select(F.explode(F.split("content", SPACE)).alias("w")).select(F.xxhash64("w").alias("word"))
-    rarity = written(counters(words), "rarity")  # one row of COUNTERS numbers
+    table = F.lit(rarities(words))
     sets = lines.select("doc_id", "row", "line", _words(F.col("content")).alias("words")).where(F.size("words") >= MIN_WORDS)
-    # a word's key: its rarity above its hash
-    key = F.transform("words", lambda w: F.shiftleft(F.get("rarity", F.pmod(w, F.lit(COUNTERS)).cast("int")), HASH_BITS)
-                      .bitwiseOR(F.shiftrightunsigned(w, 64 - HASH_BITS)))
-    keyed = sets.join(F.broadcast(rarity)).select("doc_id", "row", "line", F.sort_array(key).alias("keys"))
+
+    def key(w: Column) -> Column:
+        """A word's key: its rarity above its hash."""
+        rarity = F.ascii(F.substring(table, F.pmod(w, F.lit(COUNTERS)).cast("int") + 1, F.lit(1)).cast("string"))
+        return F.shiftleft(rarity.cast("long"), HASH_BITS).bitwiseOR(F.shiftrightunsigned(w, 64 - HASH_BITS))
+
+    keyed = sets.select("doc_id", "row", "line", F.sort_array(F.transform("words", key)).alias("keys"))
     n = F.size("keys")
     return keyed.select("doc_id", "row", "line", F.xxhash64("keys").alias("h1"), F.hash("keys").alias("h2"), n.alias("n"),
                         F.slice("keys", F.lit(1), prefix_size(n)).alias("prefix"))
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
-    """(row, line) of every line to drop, from (doc_id, row, text)."""
-    table = written(line_sets(docs), "lines")
+def kept_lines(docs: DataFrame) -> DataFrame:
+    """(row, line) of the lines of enough words that stay, from (doc_id, row, text)."""
     at = F.struct("doc_id", "row", "line")
-    sets = table.groupBy("h1", "h2", "n").agg(F.min(F.struct(at.alias("at"), "prefix")).alias("s"))
-    # numbered in the order of first occurrence, so that later sets have greater numbers
-    sets = (sets.select("h1", "h2", "n", "s.at.doc_id", "s.at.row", "s.at.line", "s.prefix")
+    sets = line_sets(docs).groupBy("h1", "h2", "n").agg(F.min(F.struct(at.alias("at"), "prefix")).alias("s"))
+    # the first occurrence of each set, numbered in order, so that later sets have greater numbers
+    sets = (sets.select("n", "s.at.doc_id", "s.at.row", "s.at.line", "s.prefix")
             .repartitionByRange("doc_id", "row", "line").sortWithinPartitions("doc_id", "row", "line")
             .withColumn("set", F.monotonically_increasing_id()))
     sets = written(sets, "line_sets")
-    prefix = (sets.select("set", "n", F.posexplode("prefix").alias("place", "key")).repartition("key"))
+    prefix = sets.select("set", "n", F.posexplode("prefix").alias("place", "key")).repartition("key")
     pairs = written(earliest_pairs(prefix), "line_pairs")
     settled = written(matches(pairs, sets, docs), "line_settled")
     rest = written(all_pairs(prefix, settled, pairs), "line_pairs")
     near = settled.unionByName(matches(rest, sets, docs)).select("set").distinct()
-    near = sets.join(near, "set", "left_semi").select("row", "line")
-    copies = (table.select("h1", "h2", "n", "row", "line")
-              .join(sets.select("h1", "h2", "n", F.col("row").alias("r0"), F.col("line").alias("l0")), ["h1", "h2", "n"])
-              .where("row <> r0 or line <> l0").select("row", "line"))
-    return copies.unionByName(near)
+    return sets.select("set", "row", "line").join(near, "set", "left_anti").select("row", "line")
 
 
 def possible(n: Column, m: Column, p: Column, q: Column) -> Column:
@@ -123,7 +121,7 @@ def matches(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     asked = pairs.select(F.explode(F.array("set", "other")).alias("set")).distinct()
     asked = sets.select("set", "row", "line").join(asked, "set", "left_semi")
     lines = asked.groupBy("row").agg(F.collect_list(F.struct("set", "line")).alias("lines"))
-    content = (maybe(docs, lines, "row").join(lines, "row")
+    content = (docs.select("row", "text").join(lines, "row")
                .select(F.explode("lines").alias("l"), F.split("text", "\n").alias("all"))
                .select("l.set", _words(F.get("all", F.col("l.line"))).alias("words")))
     content = written(content, "line_contents")
@@ -134,30 +132,16 @@ def matches(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
             .where(both >= either * F.lit(SIMILARITY) - F.lit(1e-9)).select("set", "other"))
 
 
-def maybe(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """The rows of ``df`` that can join ``keys``, by a bit map of fixed size over hashes of the key.
-
-    With more keys than bits nearly all rows pass, and the join does all of the work.
-    """
-    bit = F.pmod(F.xxhash64(key), F.lit(COUNTERS * 32))
-    cell, mask = F.shiftright(bit, 5).cast("int"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64({key}), 32L) as int))")
-    cells = keys.select(cell.alias("cell"), mask.alias("mask")).groupBy("cell").agg(F.bit_or("mask").alias("mask"))
-    every = df.sparkSession.range(COUNTERS).select(F.col("id").cast("int").alias("cell"), F.lit(0).cast("long").alias("mask"))
-    cells = cells.unionByName(every).groupBy("cell").agg(F.bit_or("mask").alias("mask"))
-    cells = written(cells.agg(F.array_sort(F.collect_list(F.struct("cell", "mask")))["mask"].alias("__map")), "map")
-    return df.join(F.broadcast(cells)).where(F.get("__map", cell).bitwiseAND(mask) != 0).drop("__map")
-
-
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with later copies of lines taken out of the text, and ``n_lines``, ``n_removed`` (long)
     in place of columns so named."""
-    row, gone = fresh(docs, "row"), fresh(docs, "gone")
+    row, keep = fresh(docs, "row"), fresh(docs, "keep")
     rows = docs.withColumn(row, F.xxhash64(F.col(id_col), F.col(text_col)))
     plain = rows.select(F.col(id_col).alias("doc_id"), F.col(row).alias("row"), F.col(text_col).alias("text"))
-    dropped = written(removed_lines(plain).groupBy(F.col("row").alias(row)).agg(F.collect_set("line").alias(gone)), "gone")
+    kept = written(kept_lines(plain).groupBy(F.col("row").alias(row)).agg(F.collect_set("line").alias(keep)), "kept_lines")
     lines = F.split(F.col(text_col), "\n")
-    stay = F.filter(lines, lambda x, i: ~F.array_contains(F.col(gone), i))
-    text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(stay, "\n"))
-    return (rows.join(dropped, row, "left").withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
-            .withColumn("n_removed", F.coalesce(F.size(gone), F.lit(0)).cast("long"))
-            .withColumn(text_col, text).drop(row, gone))
+    stay = F.filter(lines, lambda x, i: (F.size(_words(x)) < MIN_WORDS) | F.coalesce(F.array_contains(F.col(keep), i), F.lit(False)))
+    out = rows.join(kept, row, "left").withColumn(keep, stay)
+    return (out.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
+            .withColumn("n_removed", F.coalesce(F.size(lines) - F.size(keep), F.lit(0)).cast("long"))
+            .withColumn(text_col, F.when(F.col("n_removed") == 0, F.col(text_col)).otherwise(F.array_join(keep, "\n"))).drop(row, keep))
