@@ -114,6 +114,7 @@ def analytics_hero(items: DataFrame, item_scores: DataFrame, pv: str) -> DataFra
                        ("classified", sc, "classified"), ("leads", sc, "leads"))
 
 
+# The funnel's stage names, in order.
 FUNNEL_STAGES = ["URLs Discovered", "Articles Extracted", "Relevance Filter", "AI Scored",
                  "Leads Found", "Strong Leads"]
 
@@ -192,7 +193,7 @@ def source_performance(items: DataFrame, item_scores: DataFrame, pv: str) -> Dat
 
 
 def _yield(p: DataFrame) -> Column:
-    # pandas: (leads / articles.replace(0, 1) * 100).round(1) -> rint(x * 10) / 10
+    # leads per hundred articles, to one decimal, halves to even; a source without articles counts as one
     arts = F.when(F.col("articles") == 0, F.lit(1)).otherwise(F.col("articles"))
     return F.rint(F.col("leads") / arts * 100 * 10) / 10
 

@@ -8,7 +8,7 @@ in ``oracle.py``; the Spark side builds the same tables in
 ITEMS = """
 select d.doc_id as item_id, d.source as source_id,
   concat('https://', d.source, '.example.com/a/', d.doc_id) as url,
-  case when d.doc_id % 23 = 0 then null else substr(split_part(d.text, chr(10), 1), 1, 80) end as title,
+  case when d.doc_id % 23 = 0 then null else split_part(d.text, chr(10), 1) end as title,
   d.text as clean_text, d.lang as language, e.ts as created_at,
   case when d.doc_id % 4 = 0 then null else p.ts end as published_at,
   case d.doc_id % 7 when 0 then null when 1 then '' when 2 then 'chemicals' when 3 then 'automotive'

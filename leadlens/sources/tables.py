@@ -104,7 +104,7 @@ class Catalog:
             F.col("source").alias("source_id"),
             F.concat(F.lit("https://"), F.col("source"), F.lit(".example.com/a/"), doc).alias("url"),
             F.when(doc % 23 == 0, F.lit(None).cast("string"))
-             .otherwise(F.substring(F.split_part(F.col("text"), F.lit("\n"), F.lit(1)), 1, 80)).alias("title"),
+             .otherwise(F.split_part(F.col("text"), F.lit("\n"), F.lit(1))).alias("title"),
             F.col("text").alias("clean_text"),
             F.col("lang").alias("language"),
             F.col("e_ts").alias("created_at"),
@@ -288,8 +288,9 @@ class Catalog:
         (self.item_scores.repartition("prompt_version", "item_id")
          .sortWithinPartitions("prompt_version", "item_id")
          .write.mode("overwrite").partitionBy("prompt_version").parquet(f"{base}/item_scores"))
-        # feeds by kind: the rss and sitemap readers each prune to their own directory
-        (self.feeds.repartition("kind", "source_id").sortWithinPartitions("kind", "source_id", "feed_no")
+        # feeds by kind: the rss and sitemap readers each prune to their own directory; a source's
+        # documents are dealt out by their numbers, so a large source is many tasks
+        (self.feeds.repartition("kind", "source_id", "feed_no").sortWithinPartitions("kind", "source_id", "feed_no")
          .write.mode("overwrite").partitionBy("kind").parquet(f"{base}/feeds"))
         for name, key in (("items", "item_id"), ("lead_labels", "item_id"), ("url_state", "url_id"),
                           ("sources", "source_id"), ("pipeline_runs", "run_id")):

@@ -26,12 +26,17 @@ def _read(spark: SparkSession, folder: str, schema, fmt: str = "parquet", max_fi
 
 
 # ---- T1 -----------------------------------------------------------------------------------
-def url_dedupe_stream(discovered: DataFrame, watermark: str = "1 day") -> DataFrame:
-    """First sighting of each normalised URL within the watermark (M4/P5 streaming)."""
+def url_dedupe_stream(discovered: DataFrame, watermark: str = "1 day", url_state: DataFrame | None = None) -> DataFrame:
+    """First sighting of each normalised URL (M4/P5 streaming).
+
+    The stream's state drops repeats within the watermark; URLs that ``url_state`` knows already are
+    dropped by an anti join with it, so one seen again after the watermark is not new again.
+    """
     d = D.with_url_key(discovered).withColumn("event_time", F.col("discovered_at").cast("timestamp"))
-    return (d.where(F.col("url_hash").isNotNull())
-            .withWatermark("event_time", watermark)
-            .dropDuplicatesWithinWatermark(["url_hash"]))
+    d = d.where(F.col("url_hash").isNotNull())
+    if url_state is not None:
+        d = d.join(D.with_url_key(url_state).select("url_hash").distinct(), "url_hash", "left_anti")
+    return d.withWatermark("event_time", watermark).dropDuplicatesWithinWatermark(["url_hash"])
 
 
 # ---- T2 -----------------------------------------------------------------------------------
@@ -55,8 +60,10 @@ def start_activity(spark: SparkSession, scores_folder: str, schema, pv: str, out
 
 
 def start_url_dedupe(spark: SparkSession, folder: str, schema, out: str, checkpoint: str,
-                     watermark: str = "1 day", available_now: bool = True) -> StreamingQuery:
-    q = url_dedupe_stream(_read(spark, folder, schema), watermark)
+                     watermark: str = "1 day", available_now: bool = True, url_state: DataFrame | None = None,
+                     max_files: int | None = None) -> StreamingQuery:
+    """Run T1 into Parquet; ``max_files`` bounds the files of a micro-batch when there is a backlog."""
+    q = url_dedupe_stream(_read(spark, folder, schema, max_files=max_files), watermark, url_state)
     w = q.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start(out)
@@ -64,20 +71,21 @@ def start_url_dedupe(spark: SparkSession, folder: str, schema, out: str, checkpo
 
 # ---- T3 -----------------------------------------------------------------------------------
 def start_score_upsert(spark: SparkSession, folder: str, schema, table_path: str, checkpoint: str,
-                       available_now: bool = True) -> StreamingQuery:
+                       available_now: bool = True, max_files: int | None = None) -> StreamingQuery:
     """Score upsert (M1) as an append-only log, merged on read.
 
     Each micro-batch writes only its own rows, to ``{table_path}/batch_id=<id>``
     (overwrite, so a batch re-run after a failure is idempotent): the cost of
     a batch is the batch, never the table.  ``current_scores`` applies
     latest-wins over the log (a partial aggregate per key, later batch wins
-    ties); ``compact`` writes that result as a snapshot to read instead.
+    ties); ``compact`` writes that result as a snapshot, after which readers
+    take the snapshot and the batches since.
     """
     def append(batch: DataFrame, batch_id: int) -> None:
         (batch.select(*schema.fieldNames()).write.mode("overwrite")
          .parquet(f"{table_path}/batch_id={batch_id:012d}"))
 
-    w = (_read(spark, folder, schema).writeStream.foreachBatch(append)
+    w = (_read(spark, folder, schema, max_files=max_files).writeStream.foreachBatch(append)
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
@@ -91,12 +99,25 @@ def score_log(spark: SparkSession, table_path: str, schema) -> DataFrame:
     return spark.read.schema(full).parquet(table_path)
 
 
-def current_scores(spark: SparkSession, table_path: str, schema) -> DataFrame:
-    """The score table as of the last committed batch (latest wins per key)."""
-    return M.latest_scores(score_log(spark, table_path, schema))
+def current_scores(spark: SparkSession, table_path: str, schema, snapshot: str | None = None) -> DataFrame:
+    """The score table as of the last committed batch (latest wins per key): the whole log, or a
+    snapshot of ``compact`` and the batches after it (pruned by their folder names)."""
+    log = score_log(spark, table_path, schema)
+    if snapshot is None:
+        return M.latest_scores(log)
+    old = spark.read.schema(log.schema).parquet(snapshot)
+    upto = old.agg(F.max("batch_id")).first()[0]  # one number decides which folders are read
+    if upto is not None:
+        log = log.where(F.col("batch_id") > F.lit(upto))
+    return M.latest_scores(old.unionByName(log))
+
 
+def compact(spark: SparkSession, table_path: str, schema, out: str, snapshot: str | None = None) -> DataFrame:
+    """Write the merged table to a new folder ``out`` (e.g. daily), from an earlier snapshot if there is one.
 
-def compact(spark: SparkSession, table_path: str, schema, out: str) -> DataFrame:
-    """Write the merged table once (e.g. daily) so readers skip the log merge."""
-    current_scores(spark, table_path, schema).write.mode("overwrite").parquet(out)
+    Each row keeps the last batch as its ``batch_id``, which says up to where the snapshot reaches."""
+    log = score_log(spark, table_path, schema)
+    upto = log.agg(F.max("batch_id")).first()[0]
+    merged = current_scores(spark, table_path, schema, snapshot)
+    merged.withColumn("batch_id", F.lit(upto).cast("long")).write.mode("errorifexists").parquet(out)
     return spark.read.schema(schema).parquet(out)

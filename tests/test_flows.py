@@ -2,8 +2,10 @@
 
 import datetime as dt
 import glob
+import uuid
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from leadlens.operators import leads as L
@@ -50,3 +52,50 @@ def test_pipeline_flow(spark, cat_small, tmp):
     assert scores.where("lead_score is null or lead_score not between 1 and 10").count() == 0
     runs = spark.read.parquet(f"{tmp}/pipeline_runs").collect()
     assert len(runs) == 1 and runs[0]["articles_processed"] == scores.count()
+
+
+def _scorer(calls):
+    def scorer(pdf):
+        for i in pdf["item_id"]:
+            open(f"{calls}/{i}-{uuid.uuid4().hex}", "w").close()
+        return pd.DataFrame({"item_id": pdf["item_id"], "reply": ['{"score": %d}' % (1 + i % 10) for i in pdf["item_id"]]})
+    return scorer
+
+
+def test_runs_share_their_scores(spark, cat_small, tmp):
+    """Two models, two runs: both stay, the scorer sees each item once a run, every source has its own cap."""
+    import os
+
+    calls = f"{tmp}/calls"
+    os.mkdir(calls)
+    pages = cat_small.pages.withColumn("html", F.regexp_replace("html", "<p>", "<p>New rail terminal and freight siding. "))
+    first = flows.run_pipeline(spark, pages, cat_small.url_state, f"{tmp}/w", _scorer(calls), "toy", "Z", dt.datetime(2024, 2, 1))
+    n = first["scores"].count()
+    assert n == len(os.listdir(calls)) == spark.read.parquet(f"{tmp}/w/pipeline_runs").first()["articles_processed"] > 0
+    second = flows.run_pipeline(spark, pages, cat_small.url_state, f"{tmp}/w", _scorer(calls), "toy2", "Z", dt.datetime(2024, 2, 2),
+                                score_limit=5)
+    by = {r["model"]: r["count"] for r in second["scores"].groupBy("model").count().collect()}
+    assert by == {"toy": n, "toy2": 5} and len(os.listdir(calls)) == n + 5
+    notes = [r["notes"] for r in spark.read.parquet(f"{tmp}/w/pipeline_runs").collect()]
+    assert sorted(map(str, notes)) == sorted(["None", f"{n - 5} ready items left over"])
+    state = second["url_state"]
+    assert state.where("source_id = 'discovered'").count() == 0
+    new = {r["source_id"]: r["count"] for r in state.where("status = 'new'").groupBy("source_id").count().collect()}
+    queue = {r["source_id"]: r["count"] for r in spark.read.parquet(f"{tmp}/w/fetch_queue").groupBy("source_id").count().collect()}
+    assert queue == {s: min(k, 30) for s, k in new.items()}
+    assert state.where("status = 'fetched'").count() > 0
+
+
+def test_review_applies_every_edit(spark, cat_small, tmp):
+    cat_small.lead_labels.write.parquet(f"{tmp}/labels")
+    leads = L.review_rows(cat_small.item_scores, cat_small.items, cat_small.lead_labels, "A", 3)
+    status = {r["item_id"]: r["status"] for r in leads.select("item_id", "status").distinct().collect()}
+    edits = {i: "contacted" if s != "contacted" else "rejected" for i, s in status.items()}
+    assert len(edits) > 100
+    df = spark.createDataFrame(list(edits.items()), "item_id long, status string")
+    args = (cat_small.item_scores, cat_small.items, f"{tmp}/labels", "A")
+    n, _ = flows.review_and_export(*args, df, dt.datetime(2031, 1, 1), f"{tmp}/leads", min_score=3)
+    assert n == len(edits)
+    unknown = spark.createDataFrame([(-5, "contacted")], "item_id long, status string")
+    with pytest.raises(ValueError, match="-5"):
+        flows.review_and_export(*args, unknown, dt.datetime(2031, 1, 1), f"{tmp}/leads", min_score=3)

@@ -44,6 +44,22 @@ def test_url_dedupe_stream_equals_batch(spark, cat_small, tmp):
     assert got.select("url_hash").exceptAll(want).count() == 0
 
 
+def test_url_dedupe_stream_knows_old_urls(spark, cat_small, tmp):
+    """URLs of the table are not new again, however short the watermark is."""
+    links = D.html_links(cat_small.pages).select(F.col("link").alias("url"))
+    known = cat_small.url_state.select("url").limit(40)
+    disc = links.unionByName(known).withColumn("discovered_at", F.lit(dt.datetime(2024, 3, 1)).cast("timestamp_ntz"))
+    _land(disc, f"{tmp}/in", 2)
+    q = ST.start_url_dedupe(spark, f"{tmp}/in", disc.schema, f"{tmp}/out", f"{tmp}/ck", watermark="1 minute",
+                            url_state=cat_small.url_state, max_files=1)
+    q.awaitTermination()
+    old = D.with_url_key(cat_small.url_state).select("url_hash")
+    want = D.with_url_key(links).where("url_hash is not null").select("url_hash").distinct().join(old, "url_hash", "left_anti")
+    got = spark.read.parquet(f"{tmp}/out").select("url_hash")
+    assert got.join(old, "url_hash").count() == 0
+    assert got.distinct().exceptAll(want).count() == 0 and want.exceptAll(got.distinct()).count() == 0
+
+
 def test_score_upsert_stream_equals_batch(spark, cat_small, tmp):
     s = cat_small.item_scores
     second = (s.where("model = 'gemma3:4b' and item_id % 3 = 0")
@@ -58,6 +74,17 @@ def test_score_upsert_stream_equals_batch(spark, cat_small, tmp):
     got = ST.current_scores(spark, f"{tmp}/table", s.schema)
     want = M.upsert_scores(s, second)
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    # a snapshot and the batches after it read the same as the whole log
+    ST.compact(spark, f"{tmp}/table", s.schema, f"{tmp}/snap1")
+    third = second.withColumn("classified_at", F.col("classified_at") + F.expr("INTERVAL 2 DAYS")).where("item_id % 2 = 1")
+    third.write.parquet(f"{tmp}/in/batch=2")
+    q = ST.start_score_upsert(spark, f"{tmp}/in", s.schema, f"{tmp}/table", f"{tmp}/ck")
+    q.awaitTermination()
+    whole = ST.current_scores(spark, f"{tmp}/table", s.schema)
+    late = ST.current_scores(spark, f"{tmp}/table", s.schema, f"{tmp}/snap1")
+    assert late.exceptAll(whole).count() == 0 and whole.exceptAll(late).count() == 0
+    again = ST.compact(spark, f"{tmp}/table", s.schema, f"{tmp}/snap2", f"{tmp}/snap1")
+    assert again.exceptAll(whole).count() == 0 and again.count() == whole.count()
 
 
 def test_activity_stream_drops_late_rows(spark, cat_small, tmp):
