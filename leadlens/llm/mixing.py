@@ -22,8 +22,7 @@ from pyspark.sql import functions as F
 
 from leadlens.llm.common import n_words, written
 
-#: Slots of a source's shuffled queue, and of the whole schedule.
-QUEUE_SLOTS = 4096
+#: Slots of the whole schedule; a source's shuffled queue has 4,096 (three hex digits).
 TIME_SLOTS = 16384
 SEED = 20240607
 
@@ -61,8 +60,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = written(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"),
                                F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size")), "mix_sizes")
     goal = targets(rows, weights, share, float(passes))
-    key = F.xxhash64(F.lit(SEED), F.col("doc_id"))
-    rows = rows.withColumn("key", key).withColumn("slot", F.pmod("key", F.lit(QUEUE_SLOTS)).cast("int"))
+    # the shuffled order: by md5, which any engine can repeat; its first digits are the slot
+    key = F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    rows = rows.withColumn("key", key).withColumn("slot", F.substring("key", 1, 3))
     # words of the source in earlier slots
     sums = rows.groupBy("source", "slot").agg(F.sum("size").alias("words"))
     sums = sums.withColumn("before", F.coalesce(F.sum("words").over(
@@ -84,7 +84,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     times = items.groupBy("at").agg(F.sum("size").alias("words"))
     times = times.withColumn("earlier", F.coalesce(F.sum("words").over(
         Window.partitionBy(F.lit(0)).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    budget = goal.agg(F.sum("target")).scalar()
+    budget = goal.agg(F.round(F.sum("target"), 3)).scalar()
     # slots that fit are taken whole; the one that the budget cuts is summed item by item
     times = times.withColumn("budget", budget).select(
         "at", "earlier", F.when(F.col("earlier") + F.col("words") <= F.col("budget"), 1)

@@ -66,8 +66,7 @@ def op7_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality verdict of every document against references gathered from all documents."""
     docs = documents(spark, sf_dir)
     return divergence.judge(docs, divergence.references(docs)).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
-        "char_distance", "word_distance")
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op8_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
