@@ -83,37 +83,63 @@ def kept_lines(docs: DataFrame) -> DataFrame:
             .repartitionByRange("doc_id", "row", "line").sortWithinPartitions("doc_id", "row", "line")
             .withColumn("set", F.monotonically_increasing_id()))
     sets = written(sets, "line_sets")
-    prefix = sets.select("set", "n", F.posexplode("prefix").alias("place", "key")).repartition("key")
-    pairs = written(earliest_pairs(prefix), "line_pairs")
+    pairs = written(earliest_pairs(sets), "line_pairs")
     settled = written(matches(pairs, sets, docs), "line_settled")
-    rest = written(all_pairs(prefix, settled, pairs), "line_pairs")
-    near = settled.unionByName(matches(rest, sets, docs)).select("set").distinct()
-    return sets.select("set", "row", "line").join(near, "set", "left_anti").select("row", "line")
+    rest = written(all_pairs(sets, settled, pairs), "line_pairs")
+    near = settled.select("set")
+    if not rest.isEmpty():
+        near = near.unionByName(matches(rest, sets, docs).select("set"))
+    return sets.select("set", "row", "line").join(near.distinct(), "set", "left_anti").select("row", "line")
 
 
-def possible(n: Column, m: Column, p: Column, q: Column) -> Column:
-    """Length and positional filters of sets of n and m words that share the words at places p and q."""
-    need = F.ceil((n + m) * F.lit(SIMILARITY / (1 + SIMILARITY)) - F.lit(1e-9))
-    return (F.least(n, m) >= F.greatest(n, m) * F.lit(SIMILARITY) - F.lit(1e-9)) & (F.least(n - p, m - q) >= need)
+def least_overlap(n: Column, m: Column) -> Column:
+    """The least overlap of sets of n and m words that are alike enough."""
+    return F.ceil((n + m) * F.lit(SIMILARITY / (1 + SIMILARITY)) - F.lit(1e-9))
 
 
-def earliest_pairs(prefix: DataFrame) -> DataFrame:
-    """(set, other): each set with the earliest under one of its prefix words."""
-    least = (prefix.groupBy("key").agg(F.min("set").alias("other"), F.count(F.lit(1)).alias("k"))
-             .where("k > 1").select("key", "other"))
-    first = prefix.select("key", F.col("set").alias("other"), F.col("n").alias("m"), F.col("place").alias("q"))
-    least = least.join(first, ["key", "other"])
-    return (prefix.join(least, "key").where("other < set")
-            .where(possible(F.col("n"), F.col("m"), F.col("place"), F.col("q"))).select("set", "other").distinct())
+def of_size(n: Column, m: Column) -> Column:
+    """Length filter of sets of n and m words."""
+    return F.least(n, m) >= F.greatest(n, m) * F.lit(SIMILARITY) - F.lit(1e-9)
 
 
-def all_pairs(prefix: DataFrame, settled: DataFrame, tested: DataFrame) -> DataFrame:
+def possible(shared: DataFrame) -> DataFrame:
+    """The pairs (set, other) that can be alike enough, from a row (set, n, other, m, p, q) for each
+    prefix word that they share, at places p and q.
+
+    Nothing before the first shared word is shared, and of the prefix that ends first all shared words
+    are known: what else is shared must lie in the rest of its set.
+    """
+    n, m = F.col("n"), F.col("m")
+    pairs = shared.groupBy("set", "n", "other", "m").agg(F.count(F.lit(1)).alias("k"), F.min("p").alias("p"), F.min("q").alias("q"))
+    return pairs.where((F.least(n - F.col("p"), m - F.col("q")) >= least_overlap(n, m))
+                       & (F.col("k") + F.greatest(n - prefix_size(n), m - prefix_size(m)) >= least_overlap(n, m))).select("set", "other")
+
+
+def by_key(sets: DataFrame, *more: str) -> DataFrame:
+    """A row for each prefix word of each set, dealt by the word."""
+    return sets.select("set", "n", *more, F.posexplode("prefix").alias("place", "key")).repartition("key")
+
+
+def earliest_pairs(sets: DataFrame) -> DataFrame:
+    """(set, other): each set with the earliest under one of its prefix words, if these words alone
+    show enough overlap; what is missed here is found by ``all_pairs``."""
+    prefix = by_key(sets)
+    least = (prefix.groupBy("key").agg(F.min(F.struct("set", "n", "place")).alias("e"), F.count(F.lit(1)).alias("k"))
+             .where("k > 1").select("key", "e"))
+    return possible(prefix.join(least, "key").where("e.set < set").where(of_size(F.col("n"), F.col("e.n")))
+                    .select("set", "n", F.col("e.set").alias("other"), F.col("e.n").alias("m"), F.col("place").alias("p"),
+                            F.col("e.place").alias("q")))
+
+
+def all_pairs(sets: DataFrame, settled: DataFrame, tested: DataFrame) -> DataFrame:
     """(set, other): each set that is not settled with all earlier ones under its prefix words."""
-    open_ = prefix.join(settled.select("set").distinct(), "set", "left_anti")
+    done = settled.select("set").distinct().withColumn("done", F.lit(True))
+    prefix = by_key(sets.join(done, "set", "left").withColumn("open", F.col("done").isNull()), "open")
     other = prefix.select("key", F.col("set").alias("other"), F.col("n").alias("m"), F.col("place").alias("q"))
-    return (open_.join(other, "key").where("other < set")
-            .where(possible(F.col("n"), F.col("m"), F.col("place"), F.col("q")))
-            .select("set", "other").distinct().join(tested, ["set", "other"], "left_anti"))
+    # one condition over both sides, so that both read one exchange
+    late = F.coalesce(F.when(F.col("open"), F.col("other") < F.col("set")), F.col("other").isNull())
+    shared = prefix.withColumnRenamed("place", "p").join(other, "key").where(late).where(of_size(F.col("n"), F.col("m")))
+    return possible(shared).join(tested, ["set", "other"], "left_anti")
 
 
 def matches(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
