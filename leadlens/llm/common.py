@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import io
 import os
@@ -87,11 +88,18 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: cuts the lineage."""
+    """Write ``df`` as Parquet into the shared folder and read it back: cuts the lineage.
+
+    What was shuffled to make it is of no more use. Spark deletes shuffle files when the driver
+    collects the plans that made them, which an idle driver does late; so it is asked to.
+    """
     spark = df.sparkSession
     path = work_dir(spark, f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return back
 
 
 def utf8_rows(batch: pa.RecordBatch, text: str) -> list[bytes]:

@@ -17,7 +17,7 @@ with the earliest set under each of its prefix words alone; what matches there i
 not settled so are joined with all earlier ones.
 
 Nulls and odd rows: a null text has no lines and stays null. Lines of fewer than ``MIN_WORDS``
-distinct words, empty ones among them, are left alone. A document keeps its other lines, joined as
+words, empty ones among them, are left alone. A document keeps its other lines, joined as
 before; one that loses all its lines becomes empty. Rows that share an id are ordered by a hash of
 id and text; rows equal in both are one document, which keeps or loses the same lines in each. Any
 length of text or line is read whole.
@@ -36,12 +36,23 @@ COUNTERS = 1 << 16
 HASH_BITS = 56
 
 
+def _split(content: Column) -> Column:
+    """A line's words, among them empty ones; splitting at one plain character is the fast way."""
+    plain = F.when(content.rlike(r"[\x09-\x0D]"), F.regexp_replace(content, r"[\x09-\x0D]", " ")).otherwise(content)
+    return F.split(plain, " ")
+
+
 def _words(content: Column) -> Column:
     """The distinct words of a line as hashes."""
-    words = F.array_distinct(F.transform(F.split(content, SPACE), lambda w: F.xxhash64(w)))
+    words = F.array_distinct(F.transform(_split(content), lambda w: F.xxhash64(w)))
     return F.array_remove(words, F.xxhash64(F.lit("")))
 
 
+def _counts(content: Column) -> Column:
+    """Whether a line has words enough to be compared."""
+    return content.rlike(r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+[\x20\x09-\x0D]+){%d}[^\x20\x09-\x0D]" % (MIN_WORDS - 1))
+
+
 def prefix_size(n: Column) -> Column:
     return n - F.ceil(n * F.lit(SIMILARITY) - F.lit(1e-9)).cast("int") + 1
 
@@ -58,17 +69,17 @@ def rarities(words: DataFrame) -> bytes:
 
 def line_sets(docs: DataFrame) -> DataFrame:
     """(doc_id, row, line, h1, h2, n, prefix) of every line that is long enough."""
-    lines = docs.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("line", "content"))
-    words = lines.select(F.explode(F.split("content", SPACE)).alias("w")).select(F.xxhash64("w").alias("word"))
+    lines = docs.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("line", "content")).where(_counts(F.col("content")))
+    words = lines.select(F.explode(_split(F.col("content"))).alias("w")).select(F.xxhash64("w").alias("word"))
     table = F.lit(rarities(words))
-    sets = lines.select("doc_id", "row", "line", _words(F.col("content")).alias("words")).where(F.size("words") >= MIN_WORDS)
 
     def key(w: Column) -> Column:
         """A word's key: its rarity above its hash."""
         rarity = F.ascii(F.substring(table, F.pmod(w, F.lit(COUNTERS)).cast("int") + 1, F.lit(1)).cast("string"))
         return F.shiftleft(rarity.cast("long"), HASH_BITS).bitwiseOR(F.shiftrightunsigned(w, 64 - HASH_BITS))
 
-    keyed = sets.select("doc_id", "row", "line", F.sort_array(F.transform("words", key)).alias("keys"))
+    keys = F.sort_array(F.array_distinct(F.transform(_split(F.col("content")), lambda w: key(F.xxhash64(w)))))
+    keyed = lines.select("doc_id", "row", "line", F.array_remove(keys, key(F.xxhash64(F.lit("")))).alias("keys"))
     n = F.size("keys")
     return keyed.select("doc_id", "row", "line", F.xxhash64("keys").alias("h1"), F.hash("keys").alias("h2"), n.alias("n"),
                         F.slice("keys", F.lit(1), prefix_size(n)).alias("prefix"))
@@ -97,9 +108,11 @@ def least_overlap(n: Column, m: Column) -> Column:
     return F.ceil((n + m) * F.lit(SIMILARITY / (1 + SIMILARITY)) - F.lit(1e-9))
 
 
-def of_size(n: Column, m: Column) -> Column:
-    """Length filter of sets of n and m words."""
-    return F.least(n, m) >= F.greatest(n, m) * F.lit(SIMILARITY) - F.lit(1e-9)
+def in_reach(n: Column, m: Column, p: Column, q: Column) -> Column:
+    """Length filter, and what every shared word of alike sets meets: at places p and q, it has at most
+    the lesser number of shared words before it, and the lesser rest from it on."""
+    return ((F.least(n, m) >= F.greatest(n, m) * F.lit(SIMILARITY) - F.lit(1e-9))
+            & (F.least(p, q) + F.least(n - p, m - q) >= least_overlap(n, m)))
 
 
 def possible(shared: DataFrame) -> DataFrame:
@@ -116,8 +129,9 @@ def possible(shared: DataFrame) -> DataFrame:
 
 
 def by_key(sets: DataFrame, *more: str) -> DataFrame:
-    """A row for each prefix word of each set, dealt by the word."""
-    return sets.select("set", "n", *more, F.posexplode("prefix").alias("place", "key")).repartition("key")
+    """A row for each prefix word of each set, dealt by the word; all that read it share one exchange."""
+    return (sets.select("set", "n", *more, F.posexplode("prefix").alias("place", "key"))
+            .where("key is not null and set is not null").repartition("key"))
 
 
 def earliest_pairs(sets: DataFrame) -> DataFrame:
@@ -126,19 +140,23 @@ def earliest_pairs(sets: DataFrame) -> DataFrame:
     prefix = by_key(sets)
     least = (prefix.groupBy("key").agg(F.min(F.struct("set", "n", "place")).alias("e"), F.count(F.lit(1)).alias("k"))
              .where("k > 1").select("key", "e"))
-    return possible(prefix.join(least, "key").where("e.set < set").where(of_size(F.col("n"), F.col("e.n")))
-                    .select("set", "n", F.col("e.set").alias("other"), F.col("e.n").alias("m"), F.col("place").alias("p"),
-                            F.col("e.place").alias("q")))
+    shared = prefix.join(least, "key").select("set", "n", F.col("place").alias("p"), F.col("e.set").alias("other"),
+                                              F.col("e.n").alias("m"), F.col("e.place").alias("q"))
+    return possible(shared.where("other < set").where(in_reach(F.col("n"), F.col("m"), F.col("p"), F.col("q"))))
 
 
 def all_pairs(sets: DataFrame, settled: DataFrame, tested: DataFrame) -> DataFrame:
     """(set, other): each set that is not settled with all earlier ones under its prefix words."""
-    done = settled.select("set").distinct().withColumn("done", F.lit(True))
-    prefix = by_key(sets.join(done, "set", "left").withColumn("open", F.col("done").isNull()), "open")
-    other = prefix.select("key", F.col("set").alias("other"), F.col("n").alias("m"), F.col("place").alias("q"))
-    # one condition over both sides, so that both read one exchange
-    late = F.coalesce(F.when(F.col("open"), F.col("other") < F.col("set")), F.col("other").isNull())
-    shared = prefix.withColumnRenamed("place", "p").join(other, "key").where(late).where(of_size(F.col("n"), F.col("m")))
+    done = settled.select("set").distinct().withColumn("done", F.lit(1))
+    # the mark goes with the number, in its last bit, so that both sides of the join read the same rows
+    marked = sets.join(done, "set", "left").withColumn("mark", F.col("set") * 2 + F.coalesce(1 - F.col("done"), F.lit(1)))
+    prefix = by_key(marked.withColumn("set", F.col("mark")))
+    other = prefix.select("key", F.col("set").alias("o"), F.col("n").alias("m"), F.col("place").alias("q"))
+    number, earlier = F.shiftright("set", 1), F.shiftright("o", 1)
+    open_ = number * F.col("set").bitwiseAND(F.lit(1)) > earlier  # false for every settled set
+    shared = (prefix.withColumnRenamed("place", "p").join(other, "key").where(open_)
+              .where(in_reach(F.col("n"), F.col("m"), F.col("p"), F.col("q")))
+              .select(number.alias("set"), "n", "p", earlier.alias("other"), "m", "q"))
     return possible(shared).join(tested, ["set", "other"], "left_anti")
 
 
@@ -166,7 +184,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     plain = rows.select(F.col(id_col).alias("doc_id"), F.col(row).alias("row"), F.col(text_col).alias("text"))
     kept = written(kept_lines(plain).groupBy(F.col("row").alias(row)).agg(F.collect_set("line").alias(keep)), "kept_lines")
     lines = F.split(F.col(text_col), "\n")
-    stay = F.filter(lines, lambda x, i: (F.size(_words(x)) < MIN_WORDS) | F.coalesce(F.array_contains(F.col(keep), i), F.lit(False)))
+    stay = F.filter(lines, lambda x, i: ~_counts(x) | F.coalesce(F.array_contains(F.col(keep), i), F.lit(False)))
     out = rows.join(kept, row, "left").withColumn(keep, stay)
     return (out.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
             .withColumn("n_removed", F.coalesce(F.size(lines) - F.size(keep), F.lit(0)).cast("long"))

@@ -21,8 +21,9 @@ def plain_lines(rows):
         stay = []
         for line in t.split("\n"):
             w = frozenset(line.encode().split())
-            alike = len(w) >= line_dedup.MIN_WORDS and any(len(w & x) >= 0.8 * len(w | x) - 1e-12 for x in sets)
-            if len(w) >= line_dedup.MIN_WORDS and w not in sets:
+            enough = len(line.encode().split()) >= line_dedup.MIN_WORDS
+            alike = enough and any(len(w & x) >= 0.8 * len(w | x) - 1e-12 for x in sets)
+            if enough and w not in sets:
                 sets.append(w)
             if not alike:
                 stay.append(line)
