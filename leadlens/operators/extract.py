@@ -83,14 +83,17 @@ def _nonempty(c: Column) -> Column:
 
 
 # ---- P7 ---------------------------------------------------------------------------------
-def json_ld(html) -> Column:
-    return _nonempty(F.regexp_extract(_c(html), JSON_LD, 1))
+def json_ld_blocks(html) -> Column:
+    """The JSON-LD blocks of a page, in order."""
+    return F.regexp_extract_all(_c(html), F.lit(JSON_LD), 1)
 
 
 def json_ld_field(html, field: str) -> Column:
-    """``field`` of the JSON-LD object (or of the first object of a list); NULL if broken."""
-    js = json_ld(html)
-    return F.coalesce(F.get_json_object(js, f"$.{field}"), F.get_json_object(js, f"$[0].{field}"))
+    """``field`` of the first JSON-LD block that has it, as an object or the first of a list;
+    NULL without one.  Broken blocks are passed over."""
+    found = F.transform(json_ld_blocks(html), lambda js: F.coalesce(
+        F.get_json_object(js, f"$.{field}"), F.get_json_object(js, f"$[0].{field}")))
+    return F.get(F.filter(found, lambda x: x.isNotNull()), F.lit(0))
 
 
 # ---- P8 ---------------------------------------------------------------------------------

@@ -64,9 +64,10 @@ def s_main_text(h: str) -> str:
 
 
 def s_json_ld_field(h: str, field: str) -> str:
-    js = s_nonempty(f"regexp_extract({h}, {q(T.JSON_LD)}, 1)")
-    return (f"case when json_valid({js}) then coalesce(json_extract_string({js}, '$.{field}'), "
-            f"json_extract_string({js}, '$[0].{field}')) end")
+    blocks = f"list_filter(regexp_extract_all({h}, {q(T.JSON_LD)}, 1), lambda j: json_valid(j))"
+    values = (f"list_transform({blocks}, lambda j: coalesce(json_extract_string(j, '$.{field}'), "
+              f"json_extract_string(j, '$[0].{field}')))")
+    return f"list_filter({values}, lambda v: v is not null)[1]"
 
 
 def s_title(h: str) -> str:
@@ -271,6 +272,74 @@ def p14_keyword_prefilter(c):
                     "lead_score", "classifier_model"))
 
 
+# ---- every branch, on texts derived by rule ---------------------------------------------------
+@register("p7_json_ld_branches", """
+select doc_id, case when doc_id % 5 in (0, 1, 4) and trim(text) <> '' then text end as article_body,
+  case when doc_id % 5 in (0, 4) then source when doc_id % 5 = 1 then lang end as headline
+from documents where text not like '%<%'""")
+def p7_json_ld_branches(c):
+    """Documents as JSON-LD: an object, a list, a cut-off block, none, and one after a breadcrumb block."""
+    d = c.documents.where(~F.col("text").contains("<"))
+    kind = F.col("doc_id") % 5
+    one = F.to_json(F.struct(F.col("text").alias("articleBody"), F.when(kind == 1, F.col("lang")).otherwise(F.col("source")).alias("headline")))
+    block = '<script type="application/ld+json">%s</script>'
+    crumbs = block % '{"@type": "BreadcrumbList", "itemListElement": []}'
+
+    def wrap(js):
+        return F.concat(F.lit(block.split("%s")[0]), js, F.lit(block.split("%s")[1]))
+
+    html = (F.when(kind == 0, wrap(one)).when(kind == 1, wrap(F.concat(F.lit("["), one, F.lit("]"))))
+            .when(kind == 2, wrap(F.concat(F.lit('{"articleBody": "'), F.substring("source", 1, 3))))
+            .when(kind == 3, F.lit("<p>no block</p>")).otherwise(F.concat(F.lit(crumbs), wrap(one))))
+    pages = d.select("doc_id", F.concat(F.lit("<html><head>"), html, F.lit("</head></html>")).alias("html"))
+    return pages.select("doc_id", T.json_ld_field("html", "articleBody").alias("article_body"),
+                        T.json_ld_field("html", "headline").alias("headline"))
+
+
+@register("p12_garbage_branches", """
+select item_id, case item_id % 6 when 0 then 'pdf' when 1 then 'captcha' when 2 then 'login' when 3 then 'too_short' when 4 then 'pdf'
+  else case when length(clean_text) <= 100 then 'too_short' end end as reject_reason from items""", ("items",))
+def p12_garbage_branches(c):
+    """Items changed by rule so that each garbage rule is the first that fits somewhere."""
+    k = F.col("item_id") % 6
+    items = (c.items.withColumn("url", F.when(k.isin(0, 4), F.concat("url", F.lit("/report.PDF?x=1"))).otherwise(F.col("url")))
+             .withColumn("clean_text", F.when(k.isin(1, 4), F.concat(F.lit("Please verify you are a human. "), F.col("clean_text")))
+                         .when(k == 2, F.concat(F.lit("Bitte melden Sie sich an. "), F.col("clean_text")))
+                         .when(k == 3, F.substring("clean_text", 1, 100)).otherwise(F.col("clean_text"))))
+    return T.flag_garbage(items).select("item_id", "reject_reason")
+
+
+@register("p14_prefilter_branches", f"""
+with d as (select item_id, classifier_model, lead_score, case item_id % 4 when 0 then 'Neues Anschlussgleis, viel Fracht. ' || clean_text
+  when 1 then clean_text || ' Steel plant' when 2 then 'Freightliner portal steelworks ' || clean_text else clean_text end as clean_text from items)
+select item_id, {_passed} as prefilter_pass, {_matched} as matched_keywords, case when not {_passed} then 0 else lead_score end as lead_score
+from d""", ("items",))
+def p14_prefilter_branches(c):
+    """Keywords put into some items, and words that only begin like keywords into others."""
+    k, t = F.col("item_id") % 4, F.col("clean_text")
+    text = (F.when(k == 0, F.concat(F.lit("Neues Anschlussgleis, viel Fracht. "), t)).when(k == 1, F.concat(t, F.lit(" Steel plant")))
+            .when(k == 2, F.concat(F.lit("Freightliner portal steelworks "), t)).otherwise(t))
+    return T.prefilter(c.items.withColumn("clean_text", text)).select(
+        "item_id", "prefilter_pass", F.array_join("matched_keywords", ",").alias("matched_keywords"), "lead_score")
+
+
+@register("p15_broken_replies", """
+select item_id, model, prompt_version, case item_id % 4 when 0 then 'no_reply' when 1 then 'no_json' when 2 then 'bad_json'
+  else case when lead_score is null then 'missing_score' when lead_score not between 1 and 10 then 'out_of_range' end end as invalid_reason,
+  case when item_id % 4 = 3 and lead_score between 1 and 10 then lead_score end as lead_score
+from item_scores""", ("item_scores",))
+def p15_broken_replies(c):
+    """Replies that are missing, hold no object, or a broken one."""
+    from leadlens.operators import classify as C
+
+    k = F.col("item_id") % 4
+    good = C.reply_text(F.col("lead_score"), {f: F.col(f"lead_{f}") for f in C.REPLY_FIELDS})
+    raw = (F.when(k == 0, F.lit(None).cast("string")).when(k == 1, F.lit("I can not answer that."))
+           .when(k == 2, F.lit('Here: {"score": 7, "company": }')).otherwise(good))
+    out = C.parse_replies(c.item_scores.select("item_id", "model", "prompt_version", raw.alias("raw")))
+    return out.select("item_id", "model", "prompt_version", "invalid_reason", "lead_score")
+
+
 # ---- model replies, charset repair, story clustering ----------------------------------------
 def _replies(c):
     """Model replies round-tripped from stored scores: JSON in chatter; llama3.2 sends the
