@@ -197,8 +197,8 @@ def fit(train: DataFrame) -> tuple[Tree, DataFrame, int, int]:
         if k:
             whole = F.sum("n").over(Window.partitionBy(F.shiftright("key", 8)))
             level = level.withColumn("whole", whole).where(F.col("whole") >= F.lit(total * P_MIN))
-        got = level.select("key", "n").toPandas()
-        counts.append((got["key"].to_numpy(np.int64).astype(np.uint64), got["n"].to_numpy(np.int64)))
+        got = level.select("key", "n").toArrow()  # bounded by P_MIN
+        counts.append((got["key"].to_numpy().astype(np.uint64), got["n"].to_numpy().astype(np.int64)))
     tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     return Tree.build(counts), words, tokens, distinct
 
@@ -227,10 +227,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rest = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds, F.lit(folds))
     tree, words, tokens, distinct = fit(rows.where(rest != held))
-    hot = {bytes(r["word"]): r["n"] for r in words.where(F.col("n") >= F.lit(max(2, tokens * HOT))).toLocalIterator()}
+    hot = words.where(F.col("n") >= F.lit(max(2, tokens * HOT))).select("word", "n").toArrow()
     below = float(tokens + 0.5 * (distinct + 1))
     tree_file = ship_file(spark, tree.dump(), "suffix-tree", ".npz")
-    hot_file = ship_file(spark, pickle.dumps({w: float(np.log10((n + 0.5) / below)) for w, n in hot.items()}), "hot-words", ".bin")
+    known = dict(zip(hot["word"].to_pylist(), np.log10((hot["n"].to_numpy() + 0.5) / below).tolist()))
+    hot_file = ship_file(spark, pickle.dumps(known), "hot-words", ".bin")
+    del hot, known, tree
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known = _load(tree_file, hot_file)
