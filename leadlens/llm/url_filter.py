@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadlens.llm.common import ship_file
+from leadlens.llm.common import ship_file, written
 
 #: The largest list that is sent to the executors as a file.
 MAX_BYTES = 1 << 30
@@ -144,13 +144,13 @@ def judge_by_join(df: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
                   unlisted: str = UNLISTED) -> DataFrame:
     """As ``judge``, with the rules (verdict, host, path) as a table of any length."""
     keyed = rules.select(F.concat("host", "path").alias("rule"), "verdict").withColumn("key", F.xxhash64("rule"))
-    lengths = F.coalesce(rules.agg(F.sort_array(F.collect_set(F.length("path")))).scalar(), F.array().cast("array<int>"))
-    urls = parts(df, id_col, url_col)
+    # the lengths that occur: at most as many as the longest path has characters
+    lengths = F.array(*[F.lit(r[0]) for r in rules.select(F.length("path").alias("n")).distinct().orderBy("n").collect()]).cast("array<int>")
+    urls = written(parts(df, id_col, url_col).withColumn("row", F.monotonically_increasing_id()), "urls")
     names = F.split("host", r"\.")
     tails = F.transform(F.sequence(F.lit(1), F.size(names)), lambda i: F.array_join(F.slice(names, i, F.size(names)), "."))
     pairs = F.flatten(F.transform(tails, lambda t: F.transform(
         F.filter(lengths, lambda n: n <= F.length("path")), lambda n: F.concat(t, F.substr("path", F.lit(1), n)))))
-    urls = urls.withColumn("row", F.monotonically_increasing_id())
     asked = urls.select("row", F.explode(F.when(F.col("host") != "", pairs)).alias("rule"))
     asked = asked.withColumn("key", F.xxhash64("rule"))
     best = (asked.join(keyed, ["key", "rule"])
