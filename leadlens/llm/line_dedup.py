@@ -9,8 +9,8 @@ filter), and the sizes must be within a factor t (length filter). What passes is
 whole sets.
 
 Any one order of words makes the join exact; rarity makes prefixes selective. It is read from a
-table of 65,536 counters over hashes of words (a word counts as often as its counter), which stays
-the same size for any corpus; equal counters are ordered by the word's hash.
+table of 262,144 counters over hashes of words (a word counts as often as its counter), which stays
+the same size for any corpus; of equal counters the longer word counts as rarer, then its hash decides.
 
 A prefix word that thousands of near copies share would pair them all. So each set is first compared
 with the earliest set under each of its prefix words alone; what matches there is settled. Only sets
@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from leadlens.llm.common import SPACE, fresh, written
 
 SIMILARITY, MIN_WORDS = 0.8, 3
-COUNTERS = 1 << 16
-#: Bits of a word's key under its rarity.
-HASH_BITS = 56
+COUNTERS = 1 << 18
+#: Bits of a word's key: its hash, under its length, under its rarity.
+HASH_BITS, LENGTH_BITS = 50, 6
 
 
 def _split(content: Column) -> Column:
@@ -74,12 +74,14 @@ def line_sets(docs: DataFrame) -> DataFrame:
     table = F.lit(rarities(words))
 
     def key(w: Column) -> Column:
-        """A word's key: its rarity above its hash."""
-        rarity = F.ascii(F.substring(table, F.pmod(w, F.lit(COUNTERS)).cast("int") + 1, F.lit(1)).cast("string"))
-        return F.shiftleft(rarity.cast("long"), HASH_BITS).bitwiseOR(F.shiftrightunsigned(w, 64 - HASH_BITS))
-
-    keys = F.sort_array(F.array_distinct(F.transform(_split(F.col("content")), lambda w: key(F.xxhash64(w)))))
-    keyed = lines.select("doc_id", "row", "line", F.array_remove(keys, key(F.xxhash64(F.lit("")))).alias("keys"))
+        """A word's key: its rarity, then its length, longest first, then its hash."""
+        h = F.xxhash64(w)
+        rarity = F.ascii(F.substring(table, F.pmod(h, F.lit(COUNTERS)).cast("int") + 1, F.lit(1)).cast("string"))
+        order = F.shiftleft(rarity.cast("long"), LENGTH_BITS) + F.greatest(F.lit((1 << LENGTH_BITS) - 1) - F.length(w), F.lit(0))
+        return F.shiftleft(order, HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS))
+
+    keys = F.sort_array(F.array_distinct(F.transform(_split(F.col("content")), key)))
+    keyed = lines.select("doc_id", "row", "line", F.array_remove(keys, key(F.lit(""))).alias("keys"))
     n = F.size("keys")
     return keyed.select("doc_id", "row", "line", F.xxhash64("keys").alias("h1"), F.hash("keys").alias("h2"), n.alias("n"),
                         F.slice("keys", F.lit(1), prefix_size(n)).alias("prefix"))
@@ -130,8 +132,9 @@ def possible(shared: DataFrame) -> DataFrame:
 
 def by_key(sets: DataFrame, *more: str) -> DataFrame:
     """A row for each prefix word of each set, dealt by the word; all that read it share one exchange."""
+    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as many tasks however small the rows are
     return (sets.select("set", "n", *more, F.posexplode("prefix").alias("place", "key"))
-            .where("key is not null and set is not null").repartition("key"))
+            .where("key is not null and set is not null").repartition(n, "key"))
 
 
 def earliest_pairs(sets: DataFrame) -> DataFrame:
