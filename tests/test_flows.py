@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from leadlens.operators import leads as L
 from leadlens.plans import flows
+from leadlens.sources.tables import Catalog
+from tests.conftest import SF_MID
 
 
 def test_browse_flow(spark, cat_small, tmp):
@@ -86,14 +88,15 @@ def test_runs_share_their_scores(spark, cat_small, tmp):
     assert state.where("status = 'fetched'").count() > 0
 
 
-def test_review_applies_every_edit(spark, cat_small, tmp):
-    cat_small.lead_labels.write.parquet(f"{tmp}/labels")
-    leads = L.review_rows(cat_small.item_scores, cat_small.items, cat_small.lead_labels, "A", 3)
+def test_review_applies_every_edit(spark, tmp):
+    cat = Catalog(spark, SF_MID)
+    cat.lead_labels.write.parquet(f"{tmp}/labels")
+    leads = L.review_rows(cat.item_scores, cat.items, cat.lead_labels, "A", 3)
     status = {r["item_id"]: r["status"] for r in leads.select("item_id", "status").distinct().collect()}
     edits = {i: "contacted" if s != "contacted" else "rejected" for i, s in status.items()}
     assert len(edits) > 100
     df = spark.createDataFrame(list(edits.items()), "item_id long, status string")
-    args = (cat_small.item_scores, cat_small.items, f"{tmp}/labels", "A")
+    args = (cat.item_scores, cat.items, f"{tmp}/labels", "A")
     n, _ = flows.review_and_export(*args, df, dt.datetime(2031, 1, 1), f"{tmp}/leads", min_score=3)
     assert n == len(edits)
     unknown = spark.createDataFrame([(-5, "contacted")], "item_id long, status string")
