@@ -53,7 +53,7 @@ def shingles(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     A hash has 44 bits beside the document's number, which tell the shingles of one document apart.
     """
     known = _WORD_HASH
-    if len(known) > 400_000:
+    if len(known) > 150_000:
         known.clear()
     flat = [w for ws in words for w in ws]
     for w in set(flat).difference(known):
