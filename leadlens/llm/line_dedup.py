@@ -16,9 +16,12 @@ A prefix word that thousands of near copies share would pair them all. So each s
 with the earliest set under each of its prefix words alone; what matches there is settled. Only sets
 not settled so are joined with all earlier ones.
 
-Nulls and odd rows: a null text has no lines and stays null. Lines of fewer than ``MIN_WORDS``
-words, empty ones among them, are left alone. A document keeps its other lines, joined as
-before; one that loses all its lines becomes empty. Rows that share an id are ordered by a hash of
+Sets of three words and fewer are alike only when equal, so that grouping equal sets settles them
+and they have no prefix. A line without spaces, as in Chinese or Thai, is one word.
+
+Nulls and odd rows: a null text has no lines and stays null. Lines of fewer than ``min_words``
+words are left alone; by default these are the lines without words. A document keeps its other lines,
+joined as before; one that loses all its lines becomes empty. Rows that share an id are ordered by a hash of
 id and text; rows equal in both are one document, which keeps or loses the same lines in each. Any
 length of text or line is read whole.
 """
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 
 from leadlens.llm.common import SPACE, fresh, written
 
-SIMILARITY, MIN_WORDS = 0.8, 3
+SIMILARITY, MIN_WORDS = 0.8, 1
 COUNTERS = 1 << 18
 #: Bits of a word's key: its hash, under its length, under its rarity.
 HASH_BITS, LENGTH_BITS = 50, 6
@@ -48,13 +51,15 @@ def _words(content: Column) -> Column:
     return F.array_remove(words, F.xxhash64(F.lit("")))
 
 
-def _counts(content: Column) -> Column:
+def _counts(content: Column, min_words: int) -> Column:
     """Whether a line has words enough to be compared."""
-    return content.rlike(r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+[\x20\x09-\x0D]+){%d}[^\x20\x09-\x0D]" % (MIN_WORDS - 1))
+    return content.rlike(r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+[\x20\x09-\x0D]+){%d}[^\x20\x09-\x0D]" % (min_words - 1))
 
 
 def prefix_size(n: Column) -> Column:
-    return n - F.ceil(n * F.lit(SIMILARITY) - F.lit(1e-9)).cast("int") + 1
+    """Words of the prefix; none where even one word more or less makes sets unlike."""
+    size = n - F.ceil(n * F.lit(SIMILARITY) - F.lit(1e-9)).cast("int") + 1
+    return F.when(n >= (n + 1) * F.lit(SIMILARITY) - F.lit(1e-9), size).otherwise(0)
 
 
 def rarities(words: DataFrame) -> bytes:
@@ -67,9 +72,9 @@ def rarities(words: DataFrame) -> bytes:
     return bytes(table)
 
 
-def line_sets(docs: DataFrame) -> DataFrame:
+def line_sets(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, row, line, h1, h2, n, prefix) of every line that is long enough."""
-    lines = docs.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("line", "content")).where(_counts(F.col("content")))
+    lines = docs.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("line", "content")).where(_counts(F.col("content"), min_words))
     words = lines.select(F.explode(_split(F.col("content"))).alias("w")).select(F.xxhash64("w").alias("word"))
     table = F.lit(rarities(words))
 
@@ -87,10 +92,10 @@ def line_sets(docs: DataFrame) -> DataFrame:
                         F.slice("keys", F.lit(1), prefix_size(n)).alias("prefix"))
 
 
-def kept_lines(docs: DataFrame) -> DataFrame:
+def kept_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(row, line) of the lines of enough words that stay, from (doc_id, row, text)."""
     at = F.struct("doc_id", "row", "line")
-    sets = line_sets(docs).groupBy("h1", "h2", "n").agg(F.min(F.struct(at.alias("at"), "prefix")).alias("s"))
+    sets = line_sets(docs, min_words).groupBy("h1", "h2", "n").agg(F.min(F.struct(at.alias("at"), "prefix")).alias("s"))
     # the first occurrence of each set, numbered in order, so that later sets have greater numbers
     sets = (sets.select("n", "s.at.doc_id", "s.at.row", "s.at.line", "s.prefix")
             .repartitionByRange("doc_id", "row", "line").sortWithinPartitions("doc_id", "row", "line")
@@ -179,15 +184,15 @@ def matches(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
             .where(both >= either * F.lit(SIMILARITY) - F.lit(1e-9)).select("set", "other"))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with later copies of lines taken out of the text, and ``n_lines``, ``n_removed`` (long)
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` with later copies of lines of ``min_words`` words and more taken out of the text, and ``n_lines``, ``n_removed`` (long)
     in place of columns so named."""
     row, keep = fresh(docs, "row"), fresh(docs, "keep")
     rows = docs.withColumn(row, F.xxhash64(F.col(id_col), F.col(text_col)))
     plain = rows.select(F.col(id_col).alias("doc_id"), F.col(row).alias("row"), F.col(text_col).alias("text"))
-    kept = written(kept_lines(plain).groupBy(F.col("row").alias(row)).agg(F.collect_set("line").alias(keep)), "kept_lines")
+    kept = written(kept_lines(plain, min_words).groupBy(F.col("row").alias(row)).agg(F.collect_set("line").alias(keep)), "kept_lines")
     lines = F.split(F.col(text_col), "\n")
-    stay = F.filter(lines, lambda x, i: ~_counts(x) | F.coalesce(F.array_contains(F.col(keep), i), F.lit(False)))
+    stay = F.filter(lines, lambda x, i: ~_counts(x, min_words) | F.coalesce(F.array_contains(F.col(keep), i), F.lit(False)))
     out = rows.join(kept, row, "left").withColumn(keep, stay)
     return (out.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
             .withColumn("n_removed", F.coalesce(F.size(lines) - F.size(keep), F.lit(0)).cast("long"))

@@ -80,8 +80,8 @@ def op9_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the lines that an earlier line is like."""
-    return line_dedup.dedup(documents(spark, sf_dir)).select("doc_id", "text", "n_lines", "n_removed")
+    """Every document without the lines of three words and more, as its SQL has it, that an earlier line is like."""
+    return line_dedup.dedup(documents(spark, sf_dir), min_words=3).select("doc_id", "text", "n_lines", "n_removed")
 
 
 _ALL = (op1_url_filter, op2_suffix_tree, op3_secret_scan, op4_lz_fingerprint, op5_pack_tokens, op6_bpe_trie,

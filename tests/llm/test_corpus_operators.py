@@ -60,6 +60,17 @@ def test_line_dedup_of_many_near_copies(llm):
     assert sum(x.n_removed for x in got) > 50
 
 
+def test_line_dedup_of_short_lines(llm):
+    long = "\u6f22\u5b57" * 400
+    rows = [(0, f"Read more\nHome\n\n{long}\na b c"), (1, f"Home\nmore Read\nRead\n \n{long}\nb c"),
+            (2, f"{long}x\nRead more now\nHome Home\n\nc b a\na b c d"), (3, "a b c d e\nHome page")]
+    got = {x.doc_id: x.text for x in line_dedup.dedup(llm.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: rows[0][1], 1: "Read\n \nb c", 2: f"{long}x\nRead more now\n\na b c d", 3: "Home page"}
+    # with a least number of words, shorter lines are left alone
+    got = {x.doc_id: x.n_removed for x in line_dedup.dedup(llm.createDataFrame(rows, "doc_id long, text string"), min_words=3).collect()}
+    assert got == {0: 0, 1: 0, 2: 1, 3: 1}
+
+
 def plain_classes(texts):
     ids = sorted(texts)
     label = {d: d for d in ids}
