@@ -6,9 +6,12 @@ compared with them by the Jensen-Shannon distance (base 2, so 0 to 1); it is rej
 distance is over its bound from every reference, its own language's first. Documents under the
 minimum length have too small a histogram to be judged by it, and only the plain counts hold.
 
-Nulls and odd rows: a null or empty text has no words, so it fails the base rule. A null language,
-or one with too few words for a reference, is compared with the nearest reference of all. With no
-reference at all (an empty table) nothing is rejected by distance. Rows that repeat are judged
+A language whose documents hold too few words for a reference cannot be judged by the references of
+others: only the base rule decides on its documents, and their distances are null.
+
+Nulls and odd rows: a null or empty text has no words, so it fails the base rule. A null language
+names none, so it is compared with the nearest reference of all. With no reference at all (an empty
+table) nothing is rejected by distance. Rows that repeat are judged
 alike; further columns are not read.
 """
 
@@ -54,7 +57,6 @@ class Rules:
     judge_chars: int = 200
     top: int = 100
     ref_words: int = 2000
-    max_languages: int = 500
     max_char: float = 0.30
     max_word: float = 0.55
 
@@ -96,7 +98,7 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 def references(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text", lang_col: str = "lang"):
     """(language, class counts, [(word, count)], other words) for each language, over all documents.
 
-    Bounded: at most ``max_languages`` languages (those with most words) of ``top`` words each.
+    Every language with ``ref_words`` words has one; it holds ``top`` words, whatever the corpus.
     """
     table = class_table()
     k = len(CLASSES)
@@ -131,23 +133,22 @@ def references(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text",
     total = part.groupBy("lang", "word", "class").agg(F.sum("n").alias("n"))
     from leadlens.llm.common import written
     total = written(total, "reference_counts")
-    langs = (total.where("word is not null").groupBy("lang").agg(F.sum("n").alias("words"))
-             .where(F.col("words") >= rules.ref_words).orderBy(F.desc("words"), "lang").limit(rules.max_languages).collect())
-    size = {r["lang"]: r["words"] for r in langs}
-    if not size:
-        return []
+    langs = written(total.where("word is not null").groupBy("lang").agg(F.sum("n").alias("words"))
+                    .where(F.col("words") >= rules.ref_words), "reference_languages")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    top = (total.where("word is not null").withColumn("r", rank).where(F.col("r") <= rules.top)
-           .where(F.col("lang").isin(list(size))).collect())
-    cls = total.where("word is null").where(F.col("lang").isin(list(size))).collect()
+    top = (total.where("word is not null").join(langs.select("lang"), "lang").withColumn("r", rank)
+           .where(F.col("r") <= rules.top))
+    size = {r["lang"]: r["words"] for r in langs.collect()}
+    common: dict[str, list] = {lang: [] for lang in size}
+    for r in top.select("lang", "word", "n").collect():
+        common[r["lang"]].append((bytes(r["word"]), r["n"]))
+    classes = {lang: [0] * k for lang in size}
+    for r in total.where("word is null").join(langs.select("lang"), "lang").collect():
+        classes[r["lang"]][r["class"]] = r["n"]
     refs = []
     for lang in sorted(size):
-        h = np.zeros(k, np.int64)
-        for r in cls:
-            if r["lang"] == lang:
-                h[r["class"]] = r["n"]
-        common = sorted(((bytes(r["word"]), r["n"]) for r in top if r["lang"] == lang), key=lambda x: (-x[1], x[0]))
-        refs.append((lang, h.tolist(), common, size[lang] - sum(n for _, n in common)))
+        words = sorted(common[lang], key=lambda x: (-x[1], x[0]))
+        refs.append((lang, classes[lang], words, size[lang] - sum(n for _, n in words)))
     return refs
 
 
@@ -158,7 +159,7 @@ RESULT = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_re
 def judge(docs: DataFrame, refs: list, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text",
           lang_col: str = "lang") -> DataFrame:
     """One row per document: its id as ``doc_id``, the counts, both distances (null under the
-    minimum length) and the verdict."""
+    minimum length, and where the document's language has no reference) and the verdict."""
     table, k = class_table(), len(CLASSES)
     id_type = docs.schema[id_col].dataType.simpleString()
     none = CLASSES.index("none")
@@ -186,7 +187,7 @@ def judge(docs: DataFrame, refs: list, rules: Rules = Rules(), id_col: str = "do
                 failed = n < rules.min_words or repeat > rules.max_repeat * n
                 dc = dw = None
                 kept = not failed
-                if refs and n >= rules.judge_words and chars >= rules.judge_chars:
+                if refs and (lang is None or lang in own) and n >= rules.judge_words and chars >= rules.judge_chars:
                     h = np.bincount(table[np.frombuffer(text, np.uint8)], minlength=k).astype(float)
                     h[none] = 0
                     chars_by = js_distance(h, cref)

@@ -321,6 +321,26 @@ def test_quality_tells_junk_from_prose(llm):
     assert all(kept[i] for i in range(60)) and not any(kept[i] for i in (100, 101, 102))
 
 
+def test_quality_of_languages_without_a_reference(llm):
+    from tests.llm.tables import prose
+
+    rare = " ".join(f"\u0431\u0443\u043a{i}\u0432\u0430" for i in range(300))
+    rows = [(i, prose(i, 300), "en") for i in range(20)] + [(100, rare, "bg"), (101, "\u0431 " * 300, "bg"), (102, rare, None)]
+    df = llm.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in divergence.judge(df, divergence.references(df)).collect()}
+    assert got[100].kept and got[100].char_distance is None and got[100].word_distance is None
+    assert not got[101].kept and got[101].base_failed  # the base rule still holds
+    assert not got[102].kept and got[102].char_distance > 0  # no language named: the nearest reference
+
+
+def test_every_language_with_enough_words_has_a_reference(llm):
+    rows = [(i, f"w{i} a b c d", f"l{i:03d}") for i in range(520)]
+    df = llm.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    refs = divergence.references(df, divergence.Rules(ref_words=5, top=2))
+    assert [r[0] for r in refs] == [f"l{i:03d}" for i in range(520)]
+    assert all(len(r[2]) == 2 and r[3] == 3 and sum(r[1]) == len(rows[i][1]) for i, r in enumerate(refs))
+
+
 def test_js_distance():
     a, b = np.array([1.0, 1, 0]), np.array([0.0, 0, 5])
     assert divergence.js_distance(a, b) == pytest.approx(1) and divergence.js_distance(a, 3 * a) == pytest.approx(0)
