@@ -1,9 +1,11 @@
 """Secret scans: fixed patterns, and a character convolutional network over every other candidate.
 
 Patterns find values that are assigned to a telling name, access keys and long hex runs; these spans
-always stay. Candidates for the network are all other runs of key-like characters that hold a digit.
-The network sees the run's first characters and the text on either side of it: one-hot characters,
-a convolution, rectified, its greatest and mean response over the run and over the context, a dense
+always stay. Candidates for the network are all other runs of key-like characters that hold a digit,
+and those without one that are long and mix upper and lower case. A run may be longer than a key, as a
+path is that ends in one, so the network sees windows of ``INSIDE`` characters, ``STRIDE`` apart, over
+the whole run, each with the text on either side of it, and the greatest chance of a run's windows is the
+run's. The network: one-hot characters, a convolution, rectified, its greatest and mean response over the run and over the context, a dense
 layer, a sigmoid. It is written in numpy and trained on labelled findings: the values that the
 patterns found (also with their names taken away and their characters drawn anew, so that it learns
 keys and not the names beside them) against candidates and words that no pattern marks. Its scores
@@ -43,7 +45,9 @@ RUN = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
 
 #: Characters that the network tells apart; all others are one.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 =:\"'+/_.-,;()<>{}[]@#$%&*!?\n"
-INSIDE, AROUND, WIDTH, FILTERS, HIDDEN = 40, 16, 4, 24, 16
+INSIDE, STRIDE, AROUND, WIDTH, FILTERS, HIDDEN = 40, 20, 16, 4, 24, 16
+#: Least length of a run without digits.
+LETTERS = 20
 
 
 def patterns(text: str) -> list[tuple[int, int, int]]:
@@ -58,27 +62,34 @@ def patterns(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
-_DIGIT = re.compile("[0-9]")
+_DIGIT, _LOWER, _UPPER = re.compile("[0-9]"), re.compile("[a-z]"), re.compile("[A-Z]")
 
 
 def candidates(text: str, spans: list) -> list[tuple[int, int]]:
     """Key-like runs that no pattern's span meets."""
     out = []
-    if _DIGIT.search(text):
-        for m in RUN.finditer(text):
-            s, e = m.span()
-            if _DIGIT.search(text, s, e) and not any(a < e and s < b for a, _, b in spans):
-                out.append((s, e))
+    for m in RUN.finditer(text):
+        s, e = m.span()
+        keylike = _DIGIT.search(text, s, e) or (e - s >= LETTERS and _LOWER.search(text, s, e) and _UPPER.search(text, s, e))
+        if keylike and not any(a < e and s < b for a, _, b in spans):
+            out.append((s, e))
     return out
 
 
+def windows(start: int, end: int) -> list[tuple[int, int]]:
+    """The parts of a run that the network sees, one after the other; the last one ends with the run."""
+    if end - start <= INSIDE:
+        return [(start, end)]
+    return [(s, s + INSIDE) for s in (*range(start, end - INSIDE, STRIDE), end - INSIDE)]
+
+
 _CODE = np.full(128, len(ALPHABET), np.int64)
 _CODE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
 VOCABULARY, BLANK = len(ALPHABET) + 2, len(ALPHABET) + 1
 
 
 def coded(text: str, start: int, end: int) -> np.ndarray:
-    """Character numbers: context before, the run's first characters, context after; blanks fill up."""
+    """Character numbers: context before, a run's or window's characters, context after; blanks fill up."""
     def part(s: str, n: int, right: bool) -> list[int]:
         codes = [int(_CODE[ord(c)]) if ord(c) < 128 else len(ALPHABET) for c in s]
         fill = [BLANK] * (n - len(codes))
@@ -176,7 +187,8 @@ class Network:
 
 KEY_SETS = ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789",
             "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
-            "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
+            "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-",
+            "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 
 
 def snippets(text: str, words: int = 40) -> list[tuple[str, int, int, int]]:
@@ -203,9 +215,18 @@ def training_rows(labelled: list[tuple[int, str, int, int]], rows: int = ROWS, s
     x, y = [], []
 
     def put(t, s, e, label):
-        x.append(coded(t, s, e))
+        """One of the run's windows."""
+        x.append(coded(t, *r.choice(windows(s, e))))
         y.append(label)
 
+    def joined(least: int, most: int) -> str:
+        """Words joined as in paths, ids and names."""
+        case = r.choice((str, str, str.lower, str.title))
+        return r.choice(("-", "_", "/", "+", "=", "")).join(case(r.choice(stems)) for _ in range(r.randint(least, most)))
+
+    stems = [t[s:e] for t, s, e in words[:2000]] or ["word", "report", "page", "Value"]
+    plain = [w for w in (re.sub("[^A-Za-z]", "", x) for x in stems) if 2 < len(w) <= 16]
+    stems = plain or stems
     n = rows // 6
     for t, s, e in found[:n]:
         put(t, s, e, 1)
@@ -213,21 +234,34 @@ def training_rows(labelled: list[tuple[int, str, int, int]], rows: int = ROWS, s
     for i in range(3 * n - min(n, len(found))):  # drawn keys in a found key's or a word's place
         t, s, e = frames[i % len(frames)] if i % 3 or not found else found[i % len(found)]
         key = "".join(r.choices(r.choice(KEY_SETS), k=r.randint(16, 44)))
-        put(t[max(0, s - 40):s] + key + t[e:e + 40], min(s, 40), min(s, 40) + len(key), 1)
+        lead = tail = ""
+        if i % 4 == 0:  # late in a run: at the end of a path, or inside it
+            lead = joined(2, 10) + r.choice("/=_-+")
+            tail = r.choice(("", "", "/" + joined(1, 4)))
+        run = lead + key + tail
+        text, at = t[max(0, s - 40):s] + run + t[e:e + 40], min(s, 40)
+        # of the run's windows those that hold most of the key
+        seen = [(min(b, at + len(lead) + len(key)) - max(a, at + len(lead)), a, b) for a, b in windows(at, at + len(run))]
+        best = max(seen)[0]
+        _, a, b = r.choice([w for w in seen if w[0] >= min(best, 16)])
+        x.append(coded(text, a, b))
+        y.append(1)
     for t, s, e in other[:n]:
         put(t, s, e, 0)
-    stems = [t[s:e] for t, s, e in words[:2000]] or ["word"]
+    own = [t[s:e] for t, s, e in words[:2000]] or ["word"]
     for i in range(3 * n - min(n, len(other))):  # words, joined words, dates, numbers and paths
         t, s, e = frames[i % len(frames)]
-        kind = i % 4
+        kind = i % 6
         if kind == 0:
             run = t[s:e]
         elif kind == 1:
-            run = r.choice("-_/").join(r.choice(stems) for _ in range(r.randint(2, 4))) + r.choice(["", str(r.randint(0, 99))])
+            run = r.choice("-_/").join(r.choice(own) for _ in range(r.randint(2, 4))) + r.choice(["", str(r.randint(0, 99))])
         elif kind == 2:
             run = r.choice("-/_").join(str(r.randint(0, 9999)) for _ in range(r.randint(3, 5)))
-        else:
+        elif kind == 3:
             run = "".join(r.choice("0123456789") for _ in range(r.randint(12, 20)))
+        else:
+            run = joined(3, 14) + r.choice(["", r.choice("-_/=") + str(r.randint(0, 9999))])
         put(t[max(0, s - 40):s] + run + t[e:e + 40], min(s, 40), min(s, 40) + len(run), 0)
     return np.stack(x), np.array(y, float)
 
@@ -263,19 +297,18 @@ def scan(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 4 << 20):
-            found, todo, codes = [], [], []
-            for i, t in enumerate(b.column("text").to_pylist()):
+            found, todo, texts = [], [], b.column("text").to_pylist()
+            for i, t in enumerate(texts):
                 spans = patterns(t or "")
                 found.append(spans)
-                for s, e in candidates(t or "", spans):
-                    todo.append((i, s, e))
-                    codes.append(coded(t, s, e))
+                todo += [(i, s, e) for s, e in candidates(t or "", spans)]
             extra = [[] for _ in found]
-            for lo in range(0, len(todo), 1024):
-                p = network.chance(np.stack(codes[lo:lo + 1024]))
-                for (i, s, e), ok in zip(todo[lo:lo + 1024], (p >= network.threshold).tolist()):
-                    if ok:
-                        extra[i].append((s, 3, e))
+            parts = ((run, w) for run in todo for w in windows(*run[1:]))
+            while part := list(itertools.islice(parts, 1024)):  # a run is found by the greatest chance of its windows
+                p = network.chance(np.stack([coded(texts[run[0]], *w) for run, w in part]))
+                for (i, s, e), _ in itertools.compress(part, (p >= network.threshold).tolist()):
+                    extra[i].append((s, 3, e))
+            extra = [sorted(set(x)) for x in extra]
             rows = []
             for spans, more in zip(found, extra):
                 kinds = [k for _, k, _ in spans]

@@ -138,6 +138,29 @@ def test_network_finds_drawn_keys_and_leaves_words(network):
     assert (score(plain) >= network.threshold).mean() < 0.05
 
 
+def test_windows_cover_every_run():
+    for n in [*range(12, 140), 5000]:
+        parts = secrets_cnn.windows(7, 7 + n)
+        assert parts[0][0] == 7 and parts[-1][1] == 7 + n and all(b - a <= secrets_cnn.INSIDE for a, b in parts)
+        assert all(b <= d and c <= a + secrets_cnn.STRIDE for (a, b), (c, d) in zip(parts, parts[1:]))
+
+
+def test_network_finds_keys_late_in_runs_and_without_digits(llm, network):
+    import random
+
+    r = random.Random(9)
+    letters = secrets_cnn.KEY_SETS[4]
+    path = "static/assets/images/2024/of/the/house/and/garden/"
+    runs = [path + "".join(r.choices(secrets_cnn.KEY_SETS[2], k=32)) for _ in range(40)]
+    runs += [path + "".join(r.choices(secrets_cnn.KEY_SETS[2], k=32)) + "/index/of/the/page" for _ in range(40)]
+    runs += ["".join(r.choices(letters, k=32)) for _ in range(40)]
+    runs += [path + "and/the/last/page/of/the/report"] * 2 + ["lower-case-words-joined-in-one-run"]
+    df = llm.createDataFrame([(i, f"and then {x} was read aloud") for i, x in enumerate(runs)], "doc_id long, text string")
+    got = {x.doc_id: x.spans for x in secrets_cnn.scan(df, network).collect()}
+    hit = [got[i] == f"network:9:{9 + len(x)}" for i, x in enumerate(runs)]
+    assert all(sum(hit[lo:lo + 40]) > 34 for lo in (0, 40, 80)) and not any(hit[120:])
+
+
 def test_fingerprints_follow_the_contract(docs, none, rows):
     got = lz_fingerprint.with_next(docs).collect()
     order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))
