@@ -47,7 +47,7 @@ def k1_label_append(c):
     return latest_label(c.spark.read.parquet(path)).select("item_id", "label")
 
 
-# ---- K8 / K3 / K6 / K7 --------------------------------------------------------------------
+# ---- K8 / K6 ------------------------------------------------------------------------------
 @register("k8_leads_table", f"""with {sql_base(8)}
 select """ + ", ".join(f'{src} as "{dst}"' for src, dst in K.CRM_COLUMNS) + """, model
 from base where coalesce(label, 'new') = 'confirmed'""", (I, S, LL))
