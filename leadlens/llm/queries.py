@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadlens.llm import (bag_minhash, bpe_trie, divergence, line_dedup, lz_fingerprint, mixing, packing, secrets_cnn,
-                          suffix_tree, url_filter)
+from leadlens.llm import (bag_minhash, bpe_trie, divergence, line_dedup, lz_fingerprint, mixing, packing, periodic_runs,
+                          pii_boost, secrets_cnn, spelling_variants, suffix_tree, url_filter)
 from leadlens.llm.common import prepare
 from leadlens.llm.oracle import SQL
 
@@ -84,8 +84,25 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(documents(spark, sf_dir), min_words=3).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op11_pii_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every text."""
+    docs = documents(spark, sf_dir)
+    return pii_boost.digest(pii_boost.scan(docs, pii_boost.train(docs)))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word with its near words and its form."""
+    return spelling_variants.variants(documents(spark, sf_dir))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every text, after the contract's repetitions."""
+    return periodic_runs.digest(periodic_runs.find(periodic_runs.planted(documents(spark, sf_dir))))
+
+
 _ALL = (op1_url_filter, op2_suffix_tree, op3_secret_scan, op4_lz_fingerprint, op5_pack_tokens, op6_bpe_trie,
-        op7_quality_divergence, op8_bag_minhash, op9_fair_mix, op10_line_dedup)
+        op7_quality_divergence, op8_bag_minhash, op9_fair_mix, op10_line_dedup, op11_pii_boost, op12_spelling_variants,
+        op13_periodic_runs)
 
 
 def _prepared(f: Callable) -> Callable:
