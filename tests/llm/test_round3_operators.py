@@ -121,7 +121,8 @@ def test_op11_redacts(llm, trees):
     assert got == {1: "mail [email] or [ip], é [phone]!", 2: None, 3: "nothing"}
 
 
-def test_op11_is_native(llm, docs, trees):
+def test_op11_is_native(llm, trees):
+    docs = llm.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plan = pii_boost.digest(pii_boost.scan(docs, trees))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Exchange", plan)
 
