@@ -6,12 +6,18 @@ rarest together, chosen by dynamic programming over their places, are the word's
 changes at most one of the pivots. So, of two near words, the one whose prefix ends earlier in the order has
 a pivot that the other word's prefix holds too.
 
-Position limits: that pivot lies wholly before the edit or wholly after it. Before it, it has the same
-place in both words, and so have all letters up to its end; after it, it is as far from both words' ends, and
-so are all letters from its start on. The index therefore holds each prefix bigram twice, with the letters
-that lead up to it and with those that follow it, and a pivot is looked up by the same two texts. A pair
-found so is verified on the whole words within the join: lengths at most one apart, and exactly one letter
-inserted, deleted or replaced.
+Position limits: letters before the edit have the same place in both words, and letters after it are as far
+from both words' ends. So the edit leaves a pivot in place together with all letters up to it, or from it on, and
+more letters are known to be equal by where the edit lies (p and q: the pivots, p first):
+
+* behind q: all letters up to q's end; before p: all letters from p on;
+* between them: the letters up to p's end, and those from q on;
+* in q: the letters up to p's end, those between p and q, and those behind q; in p: likewise from the other side.
+
+The index holds for each prefix bigram of a word the letters up to its end, alone, with the word's last two letters,
+and with the next two; and the same from the other side. A word asks once for each place where the edit may lie, with at
+least four letters in nearly all cases. A pair found so is verified on the whole words
+within the join: lengths at most one apart, and exactly one letter inserted, deleted or replaced.
 
 The order of bigrams is a table of at most (letters of the alphabet)^2 = 8,100 rows, so each task gets
 a copy. Words are counted before anything is shuffled; a common beginning of words is a common key of the
@@ -94,25 +100,39 @@ def pivots(grams: list[tuple[int, int]], edits: int = EDITS) -> list[int]:
     return list(rows[-1][1][edits + 1][1])
 
 
-GRAMS = "word string, n long, last int, side int, text string, pivot boolean"
+GRAMS = "word string, n long, last int, text string, asks boolean"
+
+
+def held(word: str, at: int) -> list[str]:
+    """What the index holds for a prefix bigram."""
+    to, rest = word[:at + 2], word[at:]
+    return [f"P{to}", f"P{to}-{word[-2:]}", f"S{rest}", f"S{word[:2]}-{rest}",
+            *([f"P{word[:at + 4]}+"] if at + 4 <= len(word) else []), *([f"S+{word[at - 2:]}"] if at >= 2 else [])]
+
+
+def asked(word: str, p: int, q: int) -> list[str]:
+    """What a word with pivots p and q looks up, by where the edit lies: behind q, before p, between, in q, in p."""
+    gap, head, tail = q - p - 2, p, len(word) - q - 2
+    up, on = word[:p + 2], word[q:]
+    in_q = f"P{up}-{word[-2:]}" if tail >= 2 else f"P{word[:p + 4]}+" if gap >= 2 else f"P{up}"
+    in_p = f"S{word[:2]}-{on}" if head >= 2 else f"S+{word[q - 2:]}" if gap >= 2 else f"S{on}"
+    return list(dict.fromkeys([f"P{word[:q + 2]}", f"S{word[p:]}", f"P{up}-{word[-2:]}", in_q, in_p]))
 
 
-def index(words: DataFrame, order: dict[str, int], edits: int = EDITS) -> DataFrame:
-    """Two rows for each prefix bigram of each word: the text up to its end (``side`` 0) and the text from
-    its start on (``side`` 1); ``last``: where the prefix ends in the order; ``pivot``: whether it is one."""
+def index(words: DataFrame, order: dict[str, int]) -> DataFrame:
+    """What the index holds for each word's prefix bigrams and what the word asks for (``asks``); ``last``: where its prefix
+    ends in the order."""
     names = [c.split()[0] for c in GRAMS.split(", ")]
-    types = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.bool_()]
+    types = [pa.string(), pa.int64(), pa.int32(), pa.string(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for word, n in zip(b.column("word").to_pylist(), b.column("n").to_pylist()):
-                grams = prefix(word, order, edits)
-                chosen = set(pivots(grams, edits))
+                grams = prefix(word, order)
                 last = grams[-1][0]
-                for _, at in grams:
-                    rows.append((word, n, last, 0, word[:at + 2], at in chosen))
-                    rows.append((word, n, last, 1, word[at:], at in chosen))
+                rows += [(word, n, last, t, True) for t in asked(word, *pivots(grams))]
+                rows += [(word, n, last, t, False) for t in dict.fromkeys(t for _, at in grams for t in held(word, at))]
             cols = list(zip(*rows)) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
@@ -120,14 +140,14 @@ def index(words: DataFrame, order: dict[str, int], edits: int = EDITS) -> DataFr
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
-    """(a, na, b, nb): the pairs of words one edit apart, each once, with their counts, among words of four letters and more.
+    """(a, na, b, nb): the pairs of words one edit apart, each once, with their counts, among words of six letters and more.
 
-    A shorter word has fewer bigrams than a prefix takes, and no two that share no letter.
+    In a shorter word the edit may leave too few letters to ask with.
     """
     grams = written(index(words, order_of_bigrams(words)), "spelling_grams")
-    key = F.xxhash64("side", "text")  # texts whose hashes meet are told apart by the test of the words
-    probe = grams.where("pivot").select(key.alias("key"), F.col("word").alias("a"), F.col("n").alias("na"), F.col("last").alias("la"))
-    held = grams.select(key.alias("key"), F.col("word").alias("b"), F.col("n").alias("nb"), F.col("last").alias("lb"))
+    key = F.xxhash64("text")  # texts whose hashes meet are told apart by the test of the words
+    probe = grams.where("asks").select(key.alias("key"), F.col("word").alias("a"), F.col("n").alias("na"), F.col("last").alias("la"))
+    held = grams.where("not asks").select(key.alias("key"), F.col("word").alias("b"), F.col("n").alias("nb"), F.col("last").alias("lb"))
     # the word whose prefix ends earlier asks; where both end alike, each asks the other
     near = (F.abs(F.length("a") - F.length("b")) <= EDITS) & (F.levenshtein("a", "b", EDITS) == EDITS)
     found = probe.join(held, "key").where((F.col("la") <= F.col("lb")) & near)

@@ -153,7 +153,13 @@ def near(a: str, b: str) -> bool:
 
 def plain_variants(rows: list[tuple]) -> dict:
     count = {w: n for w, n in plain_words(rows).items() if len(w) >= 7 and n >= 2}
-    close = {w: [v for v in count if near(v, w)] for w in count}
+    # words one edit apart agree but for one place of one of them
+    shapes = {}
+    for w in count:
+        for i in range(len(w) + 1):
+            shapes.setdefault(w[:i] + "*" + w[i:], set()).add(w)
+            shapes.setdefault(w[:i] + "*" + w[i + 1:], set()).add(w)
+    close = {w: {v for i in range(len(w) + 1) for x in (w[:i] + "*" + w[i:], w[:i] + "*" + w[i + 1:]) for v in shapes[x] if near(v, w)} for w in count}
     form = {}
     for w, n in count.items():
         best = min(close[w], key=lambda v: (-count[v], v), default=None)
