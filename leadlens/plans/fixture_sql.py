@@ -114,7 +114,8 @@ def with_tables(sql: str, *names: str) -> str:
     body = sql.strip()
     if not parts:
         return body
-    head = "with " + ",\n".join(parts)
-    if body[:5].lower() == "with ":
-        return head + ",\n" + body[5:]
+    word = "with recursive " if body[:15].lower() == "with recursive " else "with "
+    head = word + ",\n".join(parts)
+    if body[:len(word)].lower() == word:
+        return head + ",\n" + body[len(word):]
     return head + "\n" + body

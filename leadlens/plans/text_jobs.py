@@ -405,9 +405,36 @@ def p18_exact_duplicates(c):
     return K.exact_duplicate_clusters(c.items)
 
 
-@register("p18_story_clusters")
+@register("p18_story_clusters", r"""
+with recursive t as materialized (
+  select item_id, list_filter(regexp_split_to_array(lower(clean_text), '[^\p{L}\p{N}]+'), lambda x: x <> '') as words
+  from items where clean_text is not null
+), g as materialized (
+  select item_id, gram, count(*) as n
+  from (select item_id, array_to_string(words[i:i + 4], ' ') as gram
+        from (select item_id, words, unnest(range(1, len(words) - 3)) as i from t where len(words) >= 5))
+  group by all
+), z as (
+  select item_id, sum(n) as total from g group by item_id
+), p as (
+  select a.item_id as a, b.item_id as b, sum(least(a.n, b.n)) as shared
+  from g a join g b on a.gram = b.gram and a.item_id < b.item_id group by all
+), e as (
+  select a, b from p join z x on x.item_id = a join z y on y.item_id = b where shared >= 0.8 * (x.total + y.total - shared) - 1e-9
+  union select a.item_id, b.item_id from t a join t b on a.words = b.words and a.item_id < b.item_id where len(a.words) > 0
+), u as materialized (
+  select a, b from e union select b, a from e
+), r(id, seen) as (
+  select a, a from u union select r.id, u.b from r join u on u.a = r.seen
+), c as (
+  select id as item_id, min(seen) as cluster_id from r group by id
+)
+select i.item_id, i.source_id, c.cluster_id,
+       case when c.cluster_id is not null then
+         row_number() over (partition by c.cluster_id order by coalesce(published_at, created_at) nulls last, i.item_id) = 1 end as is_cluster_canonical
+from items i left join c using (item_id)""", ("items",))
 def p18_story_clusters(c):
-    """Exact + MinHash-band story clusters (iterative; checked against brute force in tests)."""
+    """Story clusters of exact copies and near-duplicates (exact set-similarity join)."""
     from leadlens.operators import cluster as K
 
     return K.story_clusters(c.items).select("item_id", "source_id", "cluster_id", "is_cluster_canonical")
