@@ -53,5 +53,5 @@ def spark_callable(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def load_all() -> dict[str, Query]:
     """Import every module that registers queries."""
-    from leadlens.plans import dashboard, sink_jobs, table_jobs, text_jobs  # noqa: F401
+    from leadlens.plans import dashboard, sink_jobs, store_jobs, table_jobs, text_jobs  # noqa: F401
     return REGISTRY

@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from leadlens.functions import expr as X
 from leadlens.operators import discover as D
 from leadlens.operators import mutate as M
+from leadlens.operators.base import latest_label
 
 
 def _read(spark: SparkSession, folder: str, schema, fmt: str = "parquet", max_files: int | None = None) -> DataFrame:
@@ -121,3 +122,39 @@ def compact(spark: SparkSession, table_path: str, schema, out: str, snapshot: st
     merged = current_scores(spark, table_path, schema, snapshot)
     merged.withColumn("batch_id", F.lit(upto).cast("long")).write.mode("errorifexists").parquet(out)
     return spark.read.schema(schema).parquet(out)
+
+
+def start_label_log(spark: SparkSession, folder: str, schema, table_path: str, checkpoint: str,
+                    available_now: bool = True, max_files: int | None = None) -> StreamingQuery:
+    """T3, label half: labels appended batch by batch, as scores are; ``current_labels`` reads them."""
+    return start_score_upsert(spark, folder, schema, table_path, checkpoint, available_now, max_files)
+
+
+def _label_rows(spark: SparkSession, table_path: str, schema, snapshot: str | None) -> DataFrame:
+    """The snapshot's rows and those of the batches after it; without a snapshot, all batches."""
+    log = score_log(spark, table_path, schema)
+    if snapshot is None:
+        return log
+    old = spark.read.schema(log.schema).parquet(snapshot)
+    upto = old.agg(F.max("batch_id")).first()[0]
+    return old.unionByName(log.where(F.col("batch_id") > F.lit(upto)) if upto is not None else log)
+
+
+def current_labels(spark: SparkSession, table_path: str, schema, snapshot: str | None = None) -> DataFrame:
+    """W1 as of the last committed batch: (item_id, label).  The winner is a minimum over the log (a label
+    without a time first, then the newest, then the label text), so rows that come late or again change nothing."""
+    return latest_label(_label_rows(spark, table_path, schema, snapshot))
+
+
+def compact_labels(spark: SparkSession, table_path: str, schema, out: str, snapshot: str | None = None) -> DataFrame:
+    """Write each item's winning label, with its time, to a new folder ``out``; ``batch_id`` says up to where it reaches."""
+    rows = _label_rows(spark, table_path, schema, snapshot)
+    upto = score_log(spark, table_path, schema).agg(F.max("batch_id")).first()[0]
+    others = [c for c in schema.fieldNames() if c not in ("item_id", "label", "labeled_at")]
+    t = F.col("labeled_at")
+    first = F.struct(t.isNotNull().alias("has_t"), (-X.ntz_micros(t)).alias("neg_t"), F.col("label").alias("label"),
+                     *[F.col(c).alias(c) for c in others], t.alias("labeled_at"))
+    best = rows.groupBy("item_id").agg(F.min(first).alias("f")).select(
+        *[F.col("item_id") if c == "item_id" else F.col(f"f.{c}").alias(c) for c in schema.fieldNames()])
+    best.withColumn("batch_id", F.lit(upto).cast("long")).write.mode("errorifexists").parquet(out)
+    return spark.read.schema(schema).parquet(out)
