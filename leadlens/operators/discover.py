@@ -1,9 +1,8 @@
 """URL discovery (P1-P6): feeds, sitemaps and HTML links to a deduplicated queue.
 
-All parsing is built-in regex / string expressions (JVM, codegen).  The
-patterns are module constants so the DuckDB twins use the very same text;
-every pattern here is portable between Java regex and RE2 (no
-back-references, no look-around).
+All parsing is built-in regex / string expressions (JVM); links come from the tag
+scanner of ``functions.html``.  The patterns of feeds and URLs are module constants,
+portable between Java regex and RE2 (no back-references, no look-around).
 """
 
 from __future__ import annotations
@@ -12,10 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from leadlens.functions import html as H
+
 # Fixed patterns.
 RSS_ITEM_LINK = r"(?s)<item\b.*?<link>\s*(.*?)\s*</link>"
 SITEMAP_LOC = r"(?s)<loc>\s*(.*?)\s*</loc>"
-HREF = r'href="([^"]+)"'
 URL_PARTS = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]+)([^?#]*)(\?[^#]*)?(#.*)?$"
 HAS_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 HTTP = r"^https?://"
@@ -83,8 +83,12 @@ def resolve(href, base_url) -> Column:
 
 
 def html_links(pages: DataFrame, html: str = "html", url: str = "url", id_col: str = "page_id") -> DataFrame:
-    """Every ``href`` of each page, resolved against the page URL, http(s) only."""
-    x = pages.select(id_col, url, F.posexplode(F.regexp_extract_all(_c(html), F.lit(HREF), 1)).alias("pos", "href"))
+    """The ``href`` of every anchor and area of each page, resolved against the page URL, http(s) only.
+
+    ``pos`` counts the page's hrefs, those that resolve to no http(s) URL included."""
+    anchors = F.filter(H.tags(html), lambda t: t["name"].isin("a", "area"))
+    hrefs = F.filter(F.transform(anchors, lambda t: H.attribute(t["head"], "href")), lambda h: h.isNotNull())
+    x = pages.select(id_col, url, F.posexplode(hrefs).alias("pos", "href"))
     return (x.select(id_col, "pos", resolve("href", url).alias("link"))
             .where(F.col("link").isNotNull() & F.col("link").rlike(HTTP)))
 

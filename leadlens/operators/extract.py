@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leadlens.functions import html as H
+
 # ---- fixed patterns ---------------------------------------------------------------------
 NOISE = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
 # A paragraph runs from its start tag to its end tag, the next paragraph, a block's edge or the end
@@ -20,7 +22,7 @@ PARAGRAPH_END = (r"(?i)</p\s*>|</?(?:address|article|aside|blockquote|body|detai
                  r"header|hr|html|main|nav|ol|pre|section|table|ul)(?:\s[^>]*)?/?>")
 TAG = r"<[^>]+>"
 SPACES = r"\s+"
-JSON_LD = r'(?is)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>'
+JSON_LD_TYPE = "application/ld+json"
 ARTICLE = r"(?is)<article\b[^>]*>(.*?)</article>"
 MAIN = r"(?is)<main\b[^>]*>(.*?)</main>"
 BODY = r"(?is)<body\b[^>]*>(.*)"
@@ -28,9 +30,6 @@ BOILERPLATE = (r"(?is)<nav\b.*?</nav>|<footer\b.*?</footer>|<aside\b.*?</aside>|
                r'|<div[^>]*class="(?:ad|ads|advert|advertisement)"[^>]*>.*?</div>')
 H1 = r"(?is)<h1\b[^>]*>(.*?)</h1>"
 TITLE = r"(?is)<title\b[^>]*>(.*?)</title>"
-# Entities decoded by ``unescape`` (ampersand last).
-ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-            ("&apos;", "'"), ("&amp;", "&")]
 MIN_TEXT = 100  # an extraction method counts when its text is longer than this
 
 # Garbage rules (P12), first match wins: (reason, column, pattern).  Ours:
@@ -61,17 +60,10 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def unescape(c) -> Column:
-    out = _c(c)
-    for ent, ch in ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return out
-
-
 def text_of(fragment) -> Column:
-    """Tags -> space, entities decoded, whitespace collapsed, trimmed."""
+    """Tags -> space, character references decoded, whitespace collapsed, trimmed."""
     t = F.regexp_replace(_c(fragment), TAG, " ")
-    return F.trim(F.regexp_replace(unescape(t), SPACES, " "))
+    return F.trim(F.regexp_replace(H.unescape(t), SPACES, " "))
 
 
 def strip_noise(html) -> Column:
@@ -84,15 +76,25 @@ def _nonempty(c: Column) -> Column:
 
 # ---- P7 ---------------------------------------------------------------------------------
 def json_ld_blocks(html) -> Column:
-    """The JSON-LD blocks of a page, in order."""
-    return F.regexp_extract_all(_c(html), F.lit(JSON_LD), 1)
+    """The contents of a page's JSON-LD scripts, in order."""
+    scripts = F.filter(H.tags(html), lambda t: (t["name"] == "script") & (F.lower(F.trim(H.attribute(t["head"], "type"))) == JSON_LD_TYPE))
+    return F.transform(scripts, lambda t: t["content"])
+
+
+def json_ld_nodes(blocks) -> Column:
+    """The nodes of JSON-LD blocks as VARIANTs: an object, the elements of a list, and what either holds
+    under ``@graph``.  Blocks that are no JSON have none."""
+    def nodes(js: Column) -> Column:
+        v = F.try_parse_json(js)
+        top = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v))
+        return F.flatten(F.transform(top, lambda t: F.concat(F.array(t), F.coalesce(F.try_variant_get(t, "$['@graph']", "array<variant>"), F.array().cast("array<variant>")))))
+
+    return F.flatten(F.transform(_c(blocks), nodes))
 
 
 def json_ld_field(html, field: str) -> Column:
-    """``field`` of the first JSON-LD block that has it, as an object or the first of a list;
-    NULL without one.  Broken blocks are passed over."""
-    found = F.transform(json_ld_blocks(html), lambda js: F.coalesce(
-        F.get_json_object(js, f"$.{field}"), F.get_json_object(js, f"$[0].{field}")))
+    """``field`` of the first JSON-LD node that has it as a text or number; NULL without one."""
+    found = F.transform(json_ld_nodes(json_ld_blocks(html)), lambda n: F.try_variant_get(n, f"$.{field}", "string"))
     return F.get(F.filter(found, lambda x: x.isNotNull()), F.lit(0))
 
 

@@ -1,13 +1,14 @@
 """Text-pipeline queries (discovery P3-P6, extraction P7-P14) with DuckDB twins.
 
-The SQL helpers below mirror the Column expressions of ``operators.discover``
-and ``operators.extract`` one to one, using the same pattern constants.
+The SQL helpers of URLs and main content mirror the Column expressions, with the same pattern
+constants; links, JSON-LD, paragraphs and character references are read another way than the operators do.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from leadlens.functions import html as H
 from leadlens.operators import discover as D
 from leadlens.operators import extract as T
 from leadlens.plans.registry import register
@@ -19,9 +20,15 @@ def q(s: str) -> str:
 
 # ---- SQL mirrors of the Column expressions ------------------------------------------------
 def s_unescape(x: str) -> str:
-    for ent, ch in T.ENTITIES:
-        x = f"replace({x}, {q(ent)}, {q(ch)})"
-    return x
+    """Piece by piece between ampersands; names are looked up in a map."""
+    names = "map {" + ", ".join(f"{q(k)}: {q(v)}" for k, v in H.REFERENCES.items()) + "}"
+    code = "case when ref[2] in ('x', 'X') then ('0x' || ref[3:])::bigint else ref[2:]::bigint end"
+    char = (f"case when {code} = 160 then ' ' when {code} between 1 and 55295 or {code} between 57344 and 1114111 then chr(({code})::int) "
+            f"else chr(65533) end")
+    decoded = f"case when ref[1] = '#' then {char} else {names}[ref] end"
+    ref = "regexp_extract(p, '^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,9});', 1)"
+    one = f"case when i = 1 then p when {ref} = '' then '&' || p else coalesce({decoded.replace('ref', ref)} || p[length({ref}) + 2:], '&' || p) end"
+    return f"array_to_string(list_transform(string_split({x}, '&'), lambda p, i: {one}), '')"
 
 
 def s_text_of(x: str) -> str:
@@ -64,9 +71,11 @@ def s_main_text(h: str) -> str:
 
 
 def s_json_ld_field(h: str, field: str) -> str:
-    blocks = f"list_filter(regexp_extract_all({h}, {q(T.JSON_LD)}, 1), lambda j: json_valid(j))"
-    values = (f"list_transform({blocks}, lambda j: coalesce(json_extract_string(j, '$.{field}'), "
-              f"json_extract_string(j, '$[0].{field}')))")
+    """What lies between the start and end tags of scripts whose start tag names the type."""
+    parts = f"list_filter(regexp_split_to_array({h}, '(?i)<script'), lambda s: regexp_matches(s, '(?i)^[^>]*application/ld.json'))"
+    blocks = f"list_filter(list_transform({parts}, lambda s: regexp_extract(s, '(?is)^[^>]*>(.*?)</script', 1)), lambda j: json_valid(j) and j <> '')"
+    paths = ", ".join(f"list_filter(json_extract_string(j, '{p}'), lambda v: v is not null)[1]" for p in (f'$[*].{field}', f'$."@graph"[*].{field}', f'$[*]."@graph"[*].{field}'))
+    values = f"list_transform({blocks}, lambda j: coalesce(json_extract_string(j, '$.{field}'), {paths}))"
     return f"list_filter({values}, lambda v: v is not null)[1]"
 
 
@@ -117,13 +126,22 @@ def s_resolve(h0: str, b: str) -> str:
             f"when regexp_matches({h}, {q(D.HTTP)}) then {h} end")
 
 
-SQL_LINKS = f"""links as (select page_id, cast(pos as integer) as pos, link from (
+def sql_links(pages: str = "pages", name: str = "links") -> str:
+    """CTEs of every page's links: the page without comments, scripts and styles is cut at every ``<``."""
+    bare = "regexp_replace(html, '(?is)<!--.*?-->|<(script|style).*?</(script|style)>', '', 'g')"
+    anchors = f"list_filter(string_split({bare}, '<'), lambda t: regexp_matches(t, '(?is)^(a|area)\\s.*\\shref\\s*=|^(a|area)\\s+href\\s*='))"
+    value = ("coalesce(" + ", ".join(f"nullif(regexp_extract(t, {q(pattern)}, 1), '')" for pattern in (
+        r'(?is)\shref\s*=\s*"([^"]*)"', r"(?is)\shref\s*=\s*'([^']*)'", r"(?is)\shref\s*=\s*([^\s>'" + '"]+)')) + ", '')")
+    return f"""{name} as (select page_id, cast(pos as integer) as pos, link from (
   select page_id, {s_resolve('href', 'url')} as link, pos from (
-    select page_id, url, unnest(range(len(l))) as pos, unnest(l) as href
-    from (select page_id, url, regexp_extract_all(html, {q(D.HREF)}, 1) as l from pages) a) b) c
+    select page_id, url, unnest(range(len(l))) as pos, {s_unescape('unnest(l)')} as href
+    from (select page_id, url, list_transform({anchors}, lambda t: {value}) as l from {pages}) a) b) c
   where link is not null and regexp_matches(link, {q(D.HTTP)}))"""
 
 
+SQL_LINKS = sql_links()
+
+
 # ---- discovery --------------------------------------------------------------------------
 # The twins of P1/P2 state what the feeds list (the entries the feed documents were built
 # from, in id order per block), so they check the build, the escaping and the parse together.
@@ -155,6 +173,21 @@ def p3_html_links(c):
     return D.html_links(c.pages)
 
 
+ODD_LINKS = ("""<link rel="stylesheet" href="/s.css"><!-- <a href="/no">x</a> --><script>var a='<a href="/no">';</script><A class="x"
+HREF='/a/%s?x=1&amp;y=2'>1</A><a data-href="/no" href=/b/%s>2</a><a title="a > b" href = "/c/%s#f&uuml;">3</a><a name="z">4</a><a href="mailto:q">5</a>""")
+
+
+@register("p3_link_branches", f"""with {SQL_LINKS},
+base as (select page_id, {s_resolve("'/'", 'url')} as root from pages)
+select page_id, pos + 4 as pos, link from links
+union all select page_id, p, root || v || page_id || t from base, (values (0, 'a/', '?x=1&y=2'), (1, 'b/', ''), (2, 'c/', '#fü')) as x(p, v, t)
+where root is not null""")
+def p3_link_branches(c):
+    """Every page behind links with single, double and no quotes, and behind tags that are no links."""
+    shapes = F.format_string(ODD_LINKS.replace("%s", "%1$s"), F.col("page_id").cast("string"))
+    return D.html_links(c.pages.withColumn("html", F.concat(shapes, "html")))
+
+
 @register("p4_url_normalize", f"""
 select url_id, url, {s_normalize_url('url')} as url_norm, sha256({s_normalize_url('url')}) as url_hash
 from url_state""", ("url_state",))
@@ -274,24 +307,27 @@ def p14_keyword_prefilter(c):
 
 # ---- every branch, on texts derived by rule ---------------------------------------------------
 @register("p7_json_ld_branches", """
-select doc_id, case when doc_id % 5 in (0, 1, 4) and trim(text) <> '' then text end as article_body,
-  case when doc_id % 5 in (0, 4) then source when doc_id % 5 = 1 then lang end as headline
-from documents where text not like '%<%'""")
+select doc_id, case when doc_id % 7 not in (2, 3) then text end as article_body,
+  case when doc_id % 7 = 1 then lang when doc_id % 7 not in (2, 3) then source end as headline
+from documents""")
 def p7_json_ld_branches(c):
-    """Documents as JSON-LD: an object, a list, a cut-off block, none, and one after a breadcrumb block."""
-    d = c.documents.where(~F.col("text").contains("<"))
-    kind = F.col("doc_id") % 5
+    """Documents as JSON-LD: an object, a list, a cut-off block, none, one after a breadcrumb block, a
+    graph, and a later element of a list; with every kind of quotes around the type."""
+    kind = F.col("doc_id") % 7
     one = F.to_json(F.struct(F.col("text").alias("articleBody"), F.when(kind == 1, F.col("lang")).otherwise(F.col("source")).alias("headline")))
-    block = '<script type="application/ld+json">%s</script>'
-    crumbs = block % '{"@type": "BreadcrumbList", "itemListElement": []}'
-
-    def wrap(js):
-        return F.concat(F.lit(block.split("%s")[0]), js, F.lit(block.split("%s")[1]))
-
-    html = (F.when(kind == 0, wrap(one)).when(kind == 1, wrap(F.concat(F.lit("["), one, F.lit("]"))))
-            .when(kind == 2, wrap(F.concat(F.lit('{"articleBody": "'), F.substring("source", 1, 3))))
-            .when(kind == 3, F.lit("<p>no block</p>")).otherwise(F.concat(F.lit(crumbs), wrap(one))))
-    pages = d.select("doc_id", F.concat(F.lit("<html><head>"), html, F.lit("</head></html>")).alias("html"))
+    one = F.replace(one, F.lit("</"), F.lit("<\\/"))  # as in any script, no end tag within the text
+
+    def script(js, tag='<script type="application/ld+json">'):
+        return F.concat(F.lit(tag), js, F.lit("</script>"))
+
+    crumbs = script(F.lit('{"@type": "BreadcrumbList", "itemListElement": []}'))
+    graph = F.concat(F.lit('{"@context": "https://schema.org", "@graph": [{"@type": "WebPage"}, '), one, F.lit("]}"))
+    later = F.concat(F.lit('[{"@type": "Person"}, '), one, F.lit("]"))
+    html = (F.when(kind == 0, script(one)).when(kind == 1, script(F.concat(F.lit("["), one, F.lit("]"))))
+            .when(kind == 2, script(F.concat(F.lit('{"articleBody": "'), F.substring("source", 1, 3))))
+            .when(kind == 3, F.lit("<p>no block</p>")).when(kind == 4, F.concat(crumbs, script(one)))
+            .when(kind == 5, script(graph, "<script id=x type='application/ld+json'>")).otherwise(script(later, "<SCRIPT TYPE=application/ld+json async>")))
+    pages = c.documents.select("doc_id", F.concat(F.lit("<html><head>"), html, F.lit("</head></html>")).alias("html"))
     return pages.select("doc_id", T.json_ld_field("html", "articleBody").alias("article_body"),
                         T.json_ld_field("html", "headline").alias("headline"))
 
