@@ -61,7 +61,7 @@ def unescape(c) -> Column:
         return (F.when(i == 0, p).when(ref == "", F.concat(F.lit("&"), p))
                 .otherwise(F.coalesce(F.concat(decoded, rest), F.concat(F.lit("&"), p))))
 
-    return F.when(text.contains("&"), F.array_join(F.transform(F.split(text, "&"), part), "")).otherwise(text)
+    return F.array_join(F.transform(F.split(text, "&"), part), "")
 
 
 def tags(html) -> Column:

@@ -71,7 +71,7 @@ def strip_noise(html) -> Column:
 
 
 def _nonempty(c: Column) -> Column:
-    return F.when(c != "", c)
+    return F.nullif(c, F.lit(""))
 
 
 # ---- P7 ---------------------------------------------------------------------------------

@@ -18,6 +18,7 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from leadlens.operators import base as B
 from leadlens.operators import classify as C
@@ -83,11 +84,14 @@ def run_pipeline(spark: SparkSession, pages: DataFrame, url_state: DataFrame, wo
     """§3.2: one run of every stage; each stage's output is a written table (lineage is cut).
 
     Runs share ``work``: scores are a log of runs, read with newest-wins (M1), so runs of several
-    models coexist and a rerun replaces only its own rows. ``score_limit`` bounds the items scored
+    models coexist and a rerun replaces only its own rows. Items are a log too: of an item that
+    several runs extracted the newest run's row counts, and items of earlier runs stay. A run scores
+    the items it extracted. ``score_limit`` bounds the items scored
     per run; how many it left over is in the run row's notes.
     """
     w = work.rstrip("/")
     started = as_of if isinstance(as_of, dt.datetime) else dt.datetime.fromisoformat(str(as_of))
+    batch = started.strftime("%Y%m%dT%H%M%S%f")
     # discover: links of fetched pages, upserted into url_state by normalised hash
     links = page_links(pages, url_state)
     found = M.upsert_urls(url_state, links, as_of)
@@ -100,6 +104,10 @@ def run_pipeline(spark: SparkSession, pages: DataFrame, url_state: DataFrame, wo
     D.fetch_queue(state, per_source).write.mode("overwrite").parquet(f"{w}/fetch_queue")
     # extract + garbage + keyword filter on the pages we hold
     ex = T.extract(pages).select(F.col("page_id").alias("item_id"), "url", "title", "clean_text", "extract_method")
+    # written, as both ways out of the garbage rules read it
+    extracted = f"{w}/extracted/batch_id={batch}"
+    ex.write.mode("overwrite").parquet(extracted)
+    ex = spark.read.schema(ex.schema).parquet(extracted)
     ex = ex.withColumn("lead_score", F.lit(None).cast("int")).withColumn("classifier_model", F.lit(None).cast("string"))
     ex = T.flag_garbage(ex)
     ok = ex.where(F.col("reject_reason").isNull())
@@ -107,8 +115,8 @@ def run_pipeline(spark: SparkSession, pages: DataFrame, url_state: DataFrame, wo
         ex.where(F.col("reject_reason").isNotNull())
           .withColumn("prefilter_pass", F.lit(False)).withColumn("matched_keywords", F.array().cast("array<string>")),
         allowMissingColumns=True)
-    filtered.write.mode("overwrite").parquet(f"{w}/items")
-    items = spark.read.parquet(f"{w}/items")
+    filtered.write.mode("overwrite").parquet(f"{w}/items/batch_id={batch}")
+    items = spark.read.schema(filtered.schema).parquet(f"{w}/items/batch_id={batch}")
     # classify: scorer hook over ready items, replies parsed and validated; the observed write is the
     # one evaluation of the scorer
     ready = T.ready_for_scoring(items.where(F.col("prefilter_pass")))
@@ -117,7 +125,6 @@ def run_pipeline(spark: SparkSession, pages: DataFrame, url_state: DataFrame, wo
     parsed = (C.parse_replies(replies, "reply").withColumn("ok", F.col("lead_score").isNotNull())
               .withColumn("skipped", F.lit(False)))
     log = f"{w}/item_scores"
-    batch = started.strftime("%Y%m%dT%H%M%S%f")
 
     def append(df: DataFrame) -> None:
         (df.select("item_id", "model", "prompt_version", "lead_score", *B.SCORE_FIELDS,
@@ -127,7 +134,15 @@ def run_pipeline(spark: SparkSession, pages: DataFrame, url_state: DataFrame, wo
     stats = S.record_run(spark, parsed, f"{w}/pipeline_runs", "classify", started, write=append,
                          notes=f"{left} ready items left over" if left else None)
     scores = M.latest_scores(spark.read.option("basePath", log).schema(SCORE_LOG).parquet(log))
-    return {"url_state": state, "items": items, "scores": scores, "stats": stats}
+    return {"url_state": state, "items": newest_items(spark, f"{w}/items", filtered.schema), "scores": scores, "stats": stats}
+
+
+def newest_items(spark: SparkSession, log: str, schema) -> DataFrame:
+    """The rows of the newest run for each item of a log of runs; texts are not shuffled to find it."""
+    full = StructType([*schema.fields, StructField("batch_id", StringType())])
+    rows = spark.read.option("basePath", log).schema(full).parquet(log)
+    last = rows.groupBy("item_id").agg(F.max("batch_id").alias("batch_id"))
+    return rows.join(last, ["item_id", "batch_id"], "left_semi").drop("batch_id")
 
 
 SCORE_LOG = ("item_id long, model string, prompt_version string, lead_score int, "

@@ -1,6 +1,7 @@
 """End-to-end page flows on sf0.001."""
 
 import datetime as dt
+import os
 import glob
 import uuid
 
@@ -102,3 +103,25 @@ def test_review_applies_every_edit(spark, tmp):
     unknown = spark.createDataFrame([(-5, "contacted")], "item_id long, status string")
     with pytest.raises(ValueError, match="-5"):
         flows.review_and_export(*args, unknown, dt.datetime(2031, 1, 1), f"{tmp}/leads", min_score=3)
+
+
+def test_items_last_over_runs(spark, cat_small, tmp):
+    """A second run over other pages keeps the first run's items; a page fetched again has its newest text."""
+    calls = f"{tmp}/calls"
+    os.mkdir(calls)
+    pages = cat_small.pages.withColumn("html", F.regexp_replace("html", "<p>", "<p>New rail terminal and freight siding. "))
+    half = F.col("page_id") % 2
+    args = (f"{tmp}/w", _scorer(calls), "toy", "Z")
+    first = flows.run_pipeline(spark, pages.where(half == 0), cat_small.url_state, *args, dt.datetime(2024, 2, 1))
+    n = first["items"].count()
+    again = pages.where((half == 1) | (F.col("page_id") == 0)).withColumn("html", F.regexp_replace("html", "siding", "depot"))
+    second = flows.run_pipeline(spark, again, cat_small.url_state, *args, dt.datetime(2024, 2, 2))
+    items = {r["item_id"]: r["clean_text"] for r in second["items"].collect()}
+    assert len(items) == second["items"].count() == pages.count() > n
+    newest = {i: "depot" if i % 2 or i == 0 else "siding" for i in items}
+    assert all(word in items[i] for i, word in newest.items() if items[i] and "New rail" in items[i])
+    assert {newest[i] for i, text in items.items() if text and "New rail" in text} == {"depot", "siding"}
+    scored = {r["item_id"] for r in second["scores"].collect()}
+    assert scored and scored <= items.keys() and {i % 2 for i in scored} == {0, 1}
+    third = flows.run_pipeline(spark, again, cat_small.url_state, *args, dt.datetime(2024, 2, 2))  # the same run once more
+    assert {r["item_id"]: r["clean_text"] for r in third["items"].collect()} == items
