@@ -287,7 +287,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     return Network().fit(*training_rows(sorted(tuple(r) for r in rows)))
 
 
-RESULT = "n_assign long, n_access long, n_hex long, n_network long, base_sha256 string, spans string"
+RESULT = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_network long"
 
 
 def scan(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -314,8 +314,8 @@ def scan(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: st
                 kinds = [k for _, k, _ in spans]
                 base = ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
                 every = ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans + more))
-                rows.append((kinds.count(0), kinds.count(1), kinds.count(2), len(more), hashlib.sha256(base.encode()).hexdigest(), every))
-            types = [pa.int64()] * 4 + [pa.string()] * 2
+                rows.append((kinds.count(0), kinds.count(1), kinds.count(2), hashlib.sha256(base.encode()).hexdigest(), every, len(more)))
+            types = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows), types))],
                                              names=["doc_id", *(c.split()[0] for c in RESULT.split(", "))])
 
