@@ -51,11 +51,15 @@ def repair_text(c) -> Column:
     A text with several kinds of triggers is repaired for each kind; a run that is no UTF-8 in the
     first code page is tried in the next.
     """
-    c = F.col(c) if isinstance(c, str) else c
-    out = c
+    out = F.col(c) if isinstance(c, str) else c
     for triggers, codecs in ((BOX_TRIGGERS, BOX_CODECS), (LATIN1_TRIGGERS, LATIN1_CODECS)):
-        fixed = out
         for codec in codecs:
-            fixed = F.when(fixed.rlike(f"[{triggers}]"), _repair_runs(fixed, codec)).otherwise(fixed)
-        out = fixed
+            out = _stage(out, triggers, codec)
     return out
+
+
+def _stage(text: Column, triggers: str, codec: str) -> Column:
+    """One code page.  The text so far enters as a lambda's variable, so that it is worked out once
+    though the stage names it three times."""
+    fixed = F.transform(F.array(text), lambda t: F.when(t.rlike(f"[{triggers}]"), _repair_runs(t, codec)).otherwise(t))
+    return F.get(fixed, F.lit(0))

@@ -91,8 +91,8 @@ def gold_snapshot(items: DataFrame, lead_labels: DataFrame, sources: DataFrame,
 
 
 def export_scores(item_scores: DataFrame, path: str) -> None:
-    """K6."""
-    write_csv(item_scores, path)
+    """K6: every score row; NULL is written as the snapshots' marker, so that it stays apart from an empty text."""
+    write_csv(item_scores, path, null_value=SNAPSHOT_NULL)
 
 
 def export_benchmark(bench: DataFrame, path: str) -> None:

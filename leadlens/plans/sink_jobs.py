@@ -19,6 +19,7 @@ from leadlens.plans.table_jobs import SQL_RESCORE, _discovered, _rescore
 from leadlens.plans.text_jobs import SQL_LINKS, s_normalize_url
 from leadlens.session import work_dir
 from leadlens.sources import io
+from leadlens.sources.tables import ITEM_SCORES_SCHEMA
 from leadlens.streaming import streams as ST
 
 S, I, LL, U = "item_scores", "items", "lead_labels", "url_state"
@@ -59,15 +60,16 @@ def k8_leads_table(c):
 
 
 @register("k6_scores_csv", """
-select item_id, model, prompt_version, lead_score, lead_company, lead_reason, classified_at from item_scores
-where prompt_version = 'B'""", (S,))
+select item_id, model, prompt_version, lead_score, lead_company, lead_city, lead_country, lead_reason, classified_at,
+  lead_city is null as no_city, lead_city = '' as empty_city from item_scores""", (S,))
 def k6_scores_csv(c):
-    """K6: the scores of a prompt version as CSV, read back (an empty field is NULL there)."""
+    """K6: all scores as CSV, read back; NULL and the empty text stay apart."""
     path = _folder(c, "scores")
-    rows = c.item_scores.where("prompt_version = 'B'")
-    K.export_scores(rows, path)
-    back = c.spark.read.schema(rows.schema).options(**K.CSV_OPTIONS).option("multiLine", True).csv(path)
-    return back.select("item_id", "model", "prompt_version", "lead_score", "lead_company", "lead_reason", "classified_at")
+    names = ITEM_SCORES_SCHEMA.fieldNames()
+    K.export_scores(c.item_scores.select(*names), path)
+    back = io.read_table_csv(c.spark, path, "item_scores")
+    return back.select("item_id", "model", "prompt_version", "lead_score", "lead_company", "lead_city", "lead_country", "lead_reason",
+                       "classified_at", F.col("lead_city").isNull().alias("no_city"), (F.col("lead_city") == "").alias("empty_city"))
 
 
 # ---- K5 / S5 / M5 / M3 ----------------------------------------------------------------------

@@ -409,20 +409,20 @@ def p15_reply_ingest(c):
                       *[f"lead_{f}" for f in C.REPLY_FIELDS])
 
 
-# every third text is garbled by reading its UTF-8 bytes as Latin-1, every other third as code page 437
+# every third text is garbled by reading its UTF-8 bytes as Latin-1, every other third as code page 437; a
+# trigger character that a text holds by itself begins no UTF-8 sequence, and stays
 @register("p17_repair_text", """
 select doc_id, text as repaired, doc_id % 3 < 2 and text is distinct from
   regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') as was_garbled
-from documents where not regexp_matches(text, '[\u251c\u253c\u00c3\u00c2]')""")
+from documents""")
 def p17_repair_text(c):
     """Texts garbled by rule are repaired to what they were (built-ins only)."""
-    from leadlens.functions.textfix import BOX_TRIGGERS, LATIN1_HIGH, LATIN1_TRIGGERS, repair_text, upper_half
+    from leadlens.functions.textfix import LATIN1_HIGH, repair_text, upper_half
 
-    docs = c.documents.where(~F.col("text").rlike(f"[{BOX_TRIGGERS}{LATIN1_TRIGGERS}]"))
     latin = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
     garbled = (F.when(F.col("doc_id") % 3 == 0, latin)
                .when(F.col("doc_id") % 3 == 1, F.translate(latin, LATIN1_HIGH, upper_half("cp437"))).otherwise(F.col("text")))
-    out = docs.select("doc_id", garbled.alias("garbled"), "text")
+    out = c.documents.select("doc_id", garbled.alias("garbled"), "text")
     return out.select("doc_id", repair_text("garbled").alias("repaired"),
                       (~F.col("garbled").eqNullSafe(F.col("text"))).alias("was_garbled"))
 
