@@ -262,3 +262,38 @@ def prefilter(items: DataFrame, text: str = "clean_text", words=KEYWORDS) -> Dat
             .withColumn("lead_score", F.when(~F.col("prefilter_pass"), F.lit(0)).otherwise(F.col("lead_score")))
             .withColumn("classifier_model",
                         F.when(~F.col("prefilter_pass"), F.lit("pre-filter")).otherwise(F.col("classifier_model"))))
+
+
+def keyword_hits(items: DataFrame, keywords: DataFrame, id_col: str = "item_id", text: str = "clean_text") -> DataFrame:
+    """(id, keyword): the keywords of a table (column ``keyword``), words or phrases, that each text holds.
+
+    A keyword is matched by its words in lower case, whatever stands between them.  Each text gives its
+    distinct word n-grams, for the lengths that occur in the table only, and these are joined with the table:
+    Spark broadcasts it below the session's bound and shuffles above, so a table may be of any length.
+    Keywords without words match nothing; keywords that are equal in words each match.
+    """
+    words = F.array_remove(F.split(F.lower("keyword"), WORD_SPLIT), "")
+    table = (keywords.select("keyword", words.alias("w")).where(F.size("w") > 0)
+             .select("keyword", F.size("w").alias("n"), F.array_join("w", " ").alias("gram")).distinct())
+    lengths = sorted(r["n"] for r in table.select("n").distinct().collect())  # phrase lengths: a few numbers
+    tokens = F.array_remove(F.split(F.lower(_c(text)), WORD_SPLIT), "")
+    held = items.select(id_col, tokens.alias("t")).where(F.size("t") > 0)
+
+    def grams(n: int) -> Column:
+        m = F.greatest(F.size("t") - (n - 1), F.lit(0))
+        zipped = F.arrays_zip(*(F.slice("t", k + 1, m) for k in range(n)))  # no lambda names a column outside it
+        return F.transform(zipped, lambda z: F.concat_ws(" ", *(z[str(k)] for k in range(n))))
+
+    every = F.array_distinct(F.concat(F.array().cast("array<string>"), *map(grams, lengths)))
+    return held.select(id_col, F.explode(every).alias("gram")).join(table, "gram").select(id_col, "keyword")
+
+
+def prefilter_by_table(items: DataFrame, keywords: DataFrame, id_col: str = "item_id", text: str = "clean_text") -> DataFrame:
+    """P14 with a keyword table: adds ``matched_keywords`` (sorted) and ``prefilter_pass``, and marks rejects as ``prefilter`` does."""
+    found = keyword_hits(items, keywords, id_col, text).groupBy(id_col).agg(F.sort_array(F.collect_set("keyword")).alias("matched_keywords"))
+    out = items.drop("prefilter_pass", "matched_keywords").join(found, id_col, "left")
+    passed = F.col("matched_keywords").isNotNull()
+    return (out.withColumn("prefilter_pass", passed)
+            .withColumn("lead_score", F.when(~passed, F.lit(0)).otherwise(F.col("lead_score")))
+            .withColumn("classifier_model", F.when(~passed, F.lit("pre-filter")).otherwise(F.col("classifier_model")))
+            .withColumn("matched_keywords", F.coalesce("matched_keywords", F.array().cast("array<string>"))))

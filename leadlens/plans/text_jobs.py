@@ -359,6 +359,31 @@ def p14_prefilter_branches(c):
         "item_id", "prefilter_pass", F.array_join("matched_keywords", ",").alias("matched_keywords"), "lead_score")
 
 
+# a keyword table drawn from the data: every word of 9 to 12 letters of a title, and the first two words of each text
+@register("p14_keyword_table", r"""
+with t as materialized (
+  select item_id, lead_score, classifier_model, title, list_filter(regexp_split_to_array(lower(clean_text), '[^\p{L}\p{N}_]+'), lambda x: x <> '') as w from items),
+k as (select distinct unnest(list_filter(regexp_split_to_array(lower(title), '[^\p{L}\p{N}_]+'), lambda x: length(x) between 9 and 12)) as keyword from t
+  union select w[1] || ' ' || w[2] from t where len(w) > 1),
+g as (select item_id, unnest(w) as gram from t union select item_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) from t),
+m as (select item_id, list_sort(list(keyword)) as found from g join k on k.keyword = g.gram group by item_id)
+select item_id, found is not null as prefilter_pass, cast(coalesce(len(found), 0) as integer) as n_matched, found[1] as first_keyword,
+  md5(coalesce(array_to_string(found, ','), '')) as matched_md5, case when found is null then 0 else lead_score end as lead_score,
+  case when found is null then 'pre-filter' else classifier_model end as classifier_model
+from t left join m using (item_id)""", ("items",))
+def p14_keyword_table(c):
+    """The pre-filter joined with a keyword table of words and phrases."""
+    def split(column):
+        return F.array_remove(F.split(F.lower(column), T.WORD_SPLIT), "")
+
+    singles = c.items.select(F.explode(F.filter(split("title"), lambda x: F.length(x).between(9, 12))).alias("keyword"))
+    pairs = c.items.select(F.slice(split("clean_text"), F.lit(1), F.lit(2)).alias("w")).where(F.size("w") == 2).select(F.array_join("w", " ").alias("keyword"))
+    out = T.prefilter_by_table(c.items, singles.unionByName(pairs).distinct())
+    found = F.col("matched_keywords")
+    return out.select("item_id", "prefilter_pass", F.size(found).alias("n_matched"), F.get(found, F.lit(0)).alias("first_keyword"),
+                      F.md5(F.array_join(found, ",")).alias("matched_md5"), "lead_score", "classifier_model")
+
+
 @register("p15_broken_replies", """
 select item_id, model, prompt_version, case item_id % 4 when 0 then 'no_reply' when 1 then 'no_json' when 2 then 'bad_json'
   else case when lead_score is null then 'missing_score' when lead_score not between 1 and 10 then 'out_of_range' end end as invalid_reason,

@@ -69,3 +69,24 @@ def test_hostile_pages_end(spark):
     assert D.html_links(df).count() == 0
     assert df.select(T.json_ld_field("html", "x").alias("x"), T.paragraph_text("html").alias("p")).where("x is not null").count() == 0
     assert time.monotonic() - start < 120
+
+
+def test_keyword_table_of_words_and_phrases(spark):
+    words = [(f"word{i}",) for i in range(10_000)] + [("Rail  Freight",), ("güter-verkehr",), ("a b c",), ("...",), (None,), ("rail",)]
+    keywords = spark.createDataFrame(words, "keyword string")
+    texts = ["New rail freight terminal", "RAIL. Freight!", "railfreight", "word17 word9999 word10000", "Güter Verkehr", "a b, c", "a b d c", "", None]
+    items = spark.createDataFrame([(i, t, None, None) for i, t in enumerate(texts)], "item_id int, clean_text string, lead_score int, classifier_model string")
+    got = {r.item_id: (r.matched_keywords, r.lead_score, r.classifier_model) for r in T.prefilter_by_table(items, keywords).collect()}
+    no = ([], 0, "pre-filter")
+    assert got == {0: (["Rail  Freight", "rail"], None, None), 1: (["Rail  Freight", "rail"], None, None), 2: no, 3: (["word17", "word9999"], None, None),
+                   4: (["güter-verkehr"], None, None), 5: (["a b c"], None, None), 6: no, 7: no, 8: no}
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:  # the same by a shuffled join, as for a table beyond the bound
+        for name in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+            spark.conf.set(name, "-1")
+        hits = T.keyword_hits(items, keywords)
+        assert "SortMergeJoin" in hits._jdf.queryExecution().executedPlan().toString()
+        assert hits.count() == 8
+    finally:
+        for name in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+            spark.conf.set(name, old)
