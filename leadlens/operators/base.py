@@ -97,9 +97,11 @@ def with_coverage(df: DataFrame, coverage: DataFrame, id_col: str = "item_id") -
 # ---- J1 + J3 + J4 + F1-F3: the shared lead set ------------------------------------
 def lead_base(item_scores: DataFrame, items: DataFrame, lead_labels: DataFrame, pv: str,
               min_score: int = 7, search: str | None = None, model: str | None = None,
-              with_item_count: bool = False) -> DataFrame:
+              with_item_count: bool = False, index=None) -> DataFrame:
     """Rows of the lead browser before projection and order.
 
+    ``index``: a ``SearchIndex`` that narrows items and scores to those a search may match.
+
     One row per score row (several models per item multiply rows, as in
     the reference).  Columns: item_id, model, prompt_version, lead_score,
     lead_* fields, classified_at, the item fields, label, source_count.
@@ -108,7 +110,11 @@ def lead_base(item_scores: DataFrame, items: DataFrame, lead_labels: DataFrame,
     if model is not None:
         s = s.where(F.col("model") == model)
     s = s.select("item_id", "model", "prompt_version", "lead_score", *SCORE_FIELDS, "classified_at")
-    i = items.where(canonical_only()).select("item_id", *ITEM_FIELDS)
+    held = items
+    if index is not None and search:
+        held, ids = index.narrowed(search)
+        s = s if ids is None else s.join(ids, "item_id", "left_semi")
+    i = held.where(canonical_only()).select("item_id", *ITEM_FIELDS)
     j = s.join(i, "item_id")
     pred = search_predicate(search)
     if pred is not None:

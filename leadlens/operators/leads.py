@@ -6,7 +6,7 @@ actions on it (persist it when all three run, as the dashboard does).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadlens.functions import expr as X
@@ -14,9 +14,9 @@ from leadlens.operators import base as B
 
 
 def browse(item_scores: DataFrame, items: DataFrame, lead_labels: DataFrame, pv: str,
-           min_score=7, search: str | None = None, model: str | None = None) -> DataFrame:
-    """J1+J3+J4 with F1-F3: one row per matching score row."""
-    return B.lead_base(item_scores, items, lead_labels, pv, B.min_score_for(min_score), search, model)
+           min_score=7, search: str | None = None, model: str | None = None, index=None) -> DataFrame:
+    """J1+J3+J4 with F1-F3: one row per matching score row; ``index`` narrows what a search reads."""
+    return B.lead_base(item_scores, items, lead_labels, pv, B.min_score_for(min_score), search, model, index=index)
 
 
 def lead_count(base: DataFrame) -> DataFrame:
@@ -24,6 +24,34 @@ def lead_count(base: DataFrame) -> DataFrame:
     return base.agg(F.count(F.lit(1)).alias("n"))
 
 
+def write_ordered(base: DataFrame, path: str) -> None:
+    """The lead set range-sorted in page order, for ``lead_page_after``: a page's rows lie in one or two files."""
+    order = B.lead_order()
+    rows = base.withColumnRenamed("lead_score", "score")
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+
+
+def after(last: dict | None) -> Column:
+    """Whether a row comes after the row with the key ``last`` (score, created_at, item_id, model) in page order."""
+    if last is None:
+        return F.lit(True)
+    score, t, item, model = (F.lit(last[k]) for k in ("score", "created_at", "item_id", "model"))
+    tie = (F.col("item_id") > item) | ((F.col("item_id") == item) & (F.col("model") > model))
+    at = F.col("created_at")
+    if last["created_at"] is None:  # rows without a time come first
+        later, same = at.isNotNull(), at.isNull()
+    else:
+        later, same = at < t.cast("timestamp_ntz"), at == t.cast("timestamp_ntz")
+    # the bound of the score by itself reaches the scan
+    return (F.col("score") <= score) & ((F.col("score") < score) | later | (same & tie))
+
+
+def lead_page_after(spark: SparkSession, path: str, last: dict | None, size: int = 10) -> DataFrame:
+    """L4 by seek: the ``size`` rows after ``last``, the key of the last row shown (None: the first page), of what
+    ``write_ordered`` wrote. Each task keeps ``size`` rows however deep the page lies."""
+    return spark.read.parquet(path).where(after(last)).orderBy(*B.lead_order()).limit(size)
+
+
 def lead_page(base: DataFrame, page: int = 1, size: int = 10) -> DataFrame:
     """L3 + L4 + F9: one page of lead cards, ordered score desc, created_at desc.
 

@@ -6,11 +6,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leadlens.operators import discover as D
-from leadlens.plans.dashboard import SQL_LATEST
+from leadlens.operators import leads as L
+from leadlens.plans.dashboard import BROWSE_MIN, PV, SQL_LATEST, sql_base
 from leadlens.plans.registry import register
 from leadlens.plans.sink_jobs import _folder
 from leadlens.plans.table_jobs import SQL_RESCORE, _rescore
 from leadlens.plans.text_jobs import SQL_LINKS, s_normalize_url
+from leadlens.sources.search import SearchIndex
 from leadlens.sources.store import ScoreStore, UrlStore
 from leadlens.streaming import streams as ST
 
@@ -76,3 +78,42 @@ def t3_label_stream(c):
         if i == 1:
             ST.compact_labels(c.spark, f"{w}/log", schema, f"{w}/snapshot")
     return ST.current_labels(c.spark, f"{w}/log", schema, f"{w}/snapshot")
+
+
+# ---- F3 ---------------------------------------------------------------------------------------------
+SEARCHES = ("steel", "st_el", "log%tics", "a", "%", "the%of", "no such text")
+
+
+@register("f3_indexed_search", "with " + ", ".join(f"q{i} as (with {sql_base(BROWSE_MIN, text)} select count(*) as n from base)" for i, text in enumerate(SEARCHES))
+          + " " + " union all ".join(f"select '{text}' as search, n from q{i}" for i, text in enumerate(SEARCHES)), ("items", S, LL))
+def f3_indexed_search(c):
+    """leads found by seven search texts, with wildcards and without, over the trigram index."""
+    index = SearchIndex(c.spark, _folder(c, "search")).build(c.items, c.item_scores)
+    out = None
+    for text in SEARCHES:
+        base = L.browse(c.item_scores, c.items, c.lead_labels, PV, BROWSE_MIN, text, index=index)
+        one = L.lead_count(base).select(F.lit(text).alias("search"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+# ---- L4 -----------------------------------------------------------------------------------------------
+@register("l4_deep_page", f"""with {sql_base(BROWSE_MIN)},
+o as (select item_id, model, lead_score as score, created_at, row_number() over (order by lead_score desc, created_at desc nulls first, item_id, model) as place from base)
+select place, item_id, model, score, created_at from o where place > (select count(*) from o) // 2
+qualify row_number() over (order by place) <= 50""", ("items", S, LL))
+def l4_deep_page(c):
+    """L4 by seek: the 50 leads after the middle one, of the set written in page order."""
+    path = _folder(c, "ordered")
+    L.write_ordered(L.browse(c.item_scores, c.items, c.lead_labels, PV, BROWSE_MIN), path)
+    rows = c.spark.read.parquet(path)
+    middle = rows.count() // 2
+    order = L.B.lead_order()
+    last = rows.orderBy(*order).limit(middle).orderBy(*[x for x in _reversed()]).limit(1).first()  # where a reader stands
+    page = L.lead_page_after(c.spark, path, last.asDict() if last else None, 50)
+    return (page.select("item_id", "model", "score", "created_at").coalesce(1).sortWithinPartitions(*order)
+            .withColumn("place", F.monotonically_increasing_id() + 1 + middle))
+
+
+def _reversed():
+    return F.col("score").asc(), F.col("created_at").asc_nulls_last(), F.col("item_id").desc(), F.col("model").desc()

@@ -153,3 +153,35 @@ def test_label_stream_late_and_repeated_rows(spark, tmp):
         if i >= 1:
             assert table(ST.current_labels(spark, f"{tmp}/log", LEAD_LABELS_SCHEMA, f"{tmp}/snapshot")) == want
     assert want == [(1, "rejected"), (2, "confirmed"), (3, "confirmed")]
+
+
+def test_search_index_equals_the_full_scan(spark, tmp):
+    from leadlens.operators import leads as L
+    from leadlens.sources.search import SearchIndex
+    from tests.conftest import SF_MID
+
+    c = Catalog(spark, SF_MID)
+    index = SearchIndex(spark, tmp).build(c.items, c.item_scores)
+    some = c.items.where("title is not null").select("title").first()[0]
+    for text in ("steel", "ste_l", "%", "_", "ab", "log%tics", some[5:20], some[:4].upper() + "%" + some[8:12], "no such text", "a\\%b", None):
+        args = (c.item_scores, c.items, c.lead_labels, "A", 1, text)
+        assert L.lead_count(L.browse(*args, index=index)).first() == L.lead_count(L.browse(*args)).first(), text
+    plan = L.browse(c.item_scores, c.items, c.lead_labels, "A", 1, "steel", index=index)._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan and re.search(r"PartitionFilters: \[folder#\d+ IN|PartitionFilters: \[\(folder#\d+ = |PartitionFilters: \[[^]]*folder", plan)
+
+
+def test_all_pages_by_seek_equal_the_full_order(spark, tmp, cat_small):
+    from leadlens.operators import base as B
+    from leadlens.operators import leads as L
+
+    base = L.browse(cat_small.item_scores, cat_small.items, cat_small.lead_labels, "A", 5)
+    base = base.withColumn("created_at", F.when(F.col("item_id") % 7 > 1, F.date_trunc("month", "created_at").cast("timestamp_ntz")))  # ties and NULLs
+    L.write_ordered(base, tmp)
+    want = [tuple(r) for r in base.withColumnRenamed("lead_score", "score").orderBy(*B.lead_order()).select("score", "created_at", "item_id", "model").collect()]
+    got, last = [], None
+    while page := L.lead_page_after(spark, tmp, last, 40).select("score", "created_at", "item_id", "model").collect():
+        got += [tuple(r) for r in page]
+        last = page[-1].asDict()
+    assert got == want and len(want) > 80 and any(r[1] is None for r in want)
+    plan = L.lead_page_after(spark, tmp, last, 40)._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(score" in plan and "TakeOrderedAndProject(limit=40" in plan
