@@ -5,8 +5,10 @@ document, then line). Among the distinct sets, a set is dropped if an earlier on
 similarity of ``SIMILARITY`` or more. The join is exact: words are ordered by rarity, and two sets
 that are so alike must share a word within their prefixes, the first n - ceil(t n) + 1 words in that
 order. The word's places in both prefixes bound the overlap that is still possible (positional
-filter), and the sizes must be within a factor t (length filter). What passes is verified on the
-whole sets.
+filter), and the sizes must be within a factor t (length filter). Each set also carries ``BITS`` bits, of
+which its words set one each: bits that differ show words that differ, which bounds the overlap too. All
+bounds are tested within the join, so that only pairs that are nearly alike leave it. What passes is
+verified on the whole sets.
 
 Any one order of words makes the join exact; rarity makes prefixes selective. It is read from a
 table of 262,144 counters over hashes of words (a word counts as often as its counter), which stays
@@ -37,6 +39,8 @@ SIMILARITY, MIN_WORDS = 0.8, 1
 COUNTERS = 1 << 18
 #: Bits of a word's key: its hash, under its length, under its rarity.
 HASH_BITS, LENGTH_BITS = 50, 6
+#: Bits of a set's map.
+BITS = 64
 
 
 def _split(content: Column) -> Column:
@@ -73,7 +77,7 @@ def rarities(words: DataFrame) -> bytes:
 
 
 def line_sets(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, row, line, h1, h2, n, prefix) of every line that is long enough."""
+    """(doc_id, row, line, h1, h2, n, prefix, bits) of every line that is long enough."""
     lines = docs.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("line", "content")).where(_counts(F.col("content"), min_words))
     words = lines.select(F.explode(_split(F.col("content"))).alias("w")).select(F.xxhash64("w").alias("word"))
     table = F.lit(rarities(words))
@@ -88,16 +92,17 @@ def line_sets(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     keys = F.sort_array(F.array_distinct(F.transform(_split(F.col("content")), key)))
     keyed = lines.select("doc_id", "row", "line", F.array_remove(keys, key(F.lit(""))).alias("keys"))
     n = F.size("keys")
+    bits = F.aggregate("keys", F.lit(0).cast("long"), lambda acc, k: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(k, F.lit(BITS)).cast("int"))))
     return keyed.select("doc_id", "row", "line", F.xxhash64("keys").alias("h1"), F.hash("keys").alias("h2"), n.alias("n"),
-                        F.slice("keys", F.lit(1), prefix_size(n)).alias("prefix"))
+                        F.slice("keys", F.lit(1), prefix_size(n)).alias("prefix"), F.when(prefix_size(n) > 0, bits).alias("bits"))
 
 
 def kept_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(row, line) of the lines of enough words that stay, from (doc_id, row, text)."""
     at = F.struct("doc_id", "row", "line")
-    sets = line_sets(docs, min_words).groupBy("h1", "h2", "n").agg(F.min(F.struct(at.alias("at"), "prefix")).alias("s"))
+    sets = line_sets(docs, min_words).groupBy("h1", "h2", "n").agg(F.min(F.struct(at.alias("at"), "prefix", "bits")).alias("s"))
     # the first occurrence of each set, numbered in order, so that later sets have greater numbers
-    sets = (sets.select("n", "s.at.doc_id", "s.at.row", "s.at.line", "s.prefix")
+    sets = (sets.select("n", "s.at.doc_id", "s.at.row", "s.at.line", "s.prefix", "s.bits")
             .repartitionByRange("doc_id", "row", "line").sortWithinPartitions("doc_id", "row", "line")
             .withColumn("set", F.monotonically_increasing_id()))
     sets = written(sets, "line_sets")
@@ -115,11 +120,13 @@ def least_overlap(n: Column, m: Column) -> Column:
     return F.ceil((n + m) * F.lit(SIMILARITY / (1 + SIMILARITY)) - F.lit(1e-9))
 
 
-def in_reach(n: Column, m: Column, p: Column, q: Column) -> Column:
+def in_reach(n: Column, m: Column, p: Column, q: Column, x: Column, y: Column) -> Column:
     """Length filter, and what every shared word of alike sets meets: at places p and q, it has at most
-    the lesser number of shared words before it, and the lesser rest from it on."""
+    the lesser number of shared words before it, and the lesser rest from it on. Of the bits x and y, those
+    that differ are of different words that are in one set alone."""
     return ((F.least(n, m) >= F.greatest(n, m) * F.lit(SIMILARITY) - F.lit(1e-9))
-            & (F.least(p, q) + F.least(n - p, m - q) >= least_overlap(n, m)))
+            & (F.least(p, q) + F.least(n - p, m - q) >= least_overlap(n, m))
+            & (n + m - F.bit_count(x.bitwiseXOR(y)) >= 2 * least_overlap(n, m)))
 
 
 def possible(shared: DataFrame) -> DataFrame:
@@ -138,7 +145,7 @@ def possible(shared: DataFrame) -> DataFrame:
 def by_key(sets: DataFrame, *more: str) -> DataFrame:
     """A row for each prefix word of each set, dealt by the word; all that read it share one exchange."""
     n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as many tasks however small the rows are
-    return (sets.select("set", "n", *more, F.posexplode("prefix").alias("place", "key"))
+    return (sets.select("set", "n", "bits", *more, F.posexplode("prefix").alias("place", "key"))
             .where("key is not null and set is not null").repartition(n, "key"))
 
 
@@ -146,11 +153,11 @@ def earliest_pairs(sets: DataFrame) -> DataFrame:
     """(set, other): each set with the earliest under one of its prefix words, if these words alone
     show enough overlap; what is missed here is found by ``all_pairs``."""
     prefix = by_key(sets)
-    least = (prefix.groupBy("key").agg(F.min(F.struct("set", "n", "place")).alias("e"), F.count(F.lit(1)).alias("k"))
+    least = (prefix.groupBy("key").agg(F.min(F.struct("set", "n", "place", "bits")).alias("e"), F.count(F.lit(1)).alias("k"))
              .where("k > 1").select("key", "e"))
-    shared = prefix.join(least, "key").select("set", "n", F.col("place").alias("p"), F.col("e.set").alias("other"),
-                                              F.col("e.n").alias("m"), F.col("e.place").alias("q"))
-    return possible(shared.where("other < set").where(in_reach(F.col("n"), F.col("m"), F.col("p"), F.col("q"))))
+    shared = prefix.join(least, "key").select("set", "n", F.col("place").alias("p"), "bits", F.col("e.set").alias("other"),
+                                              F.col("e.n").alias("m"), F.col("e.place").alias("q"), F.col("e.bits").alias("y"))
+    return possible(shared.where("other < set").where(in_reach(*map(F.col, ("n", "m", "p", "q", "bits", "y")))))
 
 
 def all_pairs(sets: DataFrame, settled: DataFrame, tested: DataFrame) -> DataFrame:
@@ -159,11 +166,11 @@ def all_pairs(sets: DataFrame, settled: DataFrame, tested: DataFrame) -> DataFra
     # the mark goes with the number, in its last bit, so that both sides of the join read the same rows
     marked = sets.join(done, "set", "left").withColumn("mark", F.col("set") * 2 + F.coalesce(1 - F.col("done"), F.lit(1)))
     prefix = by_key(marked.withColumn("set", F.col("mark")))
-    other = prefix.select("key", F.col("set").alias("o"), F.col("n").alias("m"), F.col("place").alias("q"))
+    other = prefix.select("key", F.col("set").alias("o"), F.col("n").alias("m"), F.col("place").alias("q"), F.col("bits").alias("y"))
     number, earlier = F.shiftright("set", 1), F.shiftright("o", 1)
     open_ = number * F.col("set").bitwiseAND(F.lit(1)) > earlier  # false for every settled set
     shared = (prefix.withColumnRenamed("place", "p").join(other, "key").where(open_)
-              .where(in_reach(F.col("n"), F.col("m"), F.col("p"), F.col("q")))
+              .where(in_reach(*map(F.col, ("n", "m", "p", "q", "bits", "y"))))
               .select(number.alias("set"), "n", "p", earlier.alias("other"), "m", "q"))
     return possible(shared).join(tested, ["set", "other"], "left_anti")
 

@@ -93,7 +93,7 @@ WITH d AS (
          len(regexp_extract_all(lines[i], '[^\x20\x09-\x0D]+')) AS n_words
   FROM d, unnest(range(1, len(lines) + 1)) AS x(i)
 ), s AS MATERIALIZED (
-  SELECT words, len(words) AS n, min((doc_id, line)) AS pos FROM l WHERE n_words >= 3 GROUP BY words
+  SELECT words, len(words) AS n, min((doc_id, line)) AS pos FROM l WHERE n_words >= 1 GROUP BY words
 ), t AS (
   SELECT pos, n, unnest(words) AS word FROM s
 ), o AS (
@@ -112,7 +112,7 @@ WITH d AS (
 ), kept AS (
   SELECT pos FROM s ANTI JOIN near USING (pos)
 ), m AS (
-  SELECT l.doc_id, l.line, l.content, l.n_words < 3 OR kept.pos IS NOT NULL AS stays
+  SELECT l.doc_id, l.line, l.content, l.n_words < 1 OR kept.pos IS NOT NULL AS stays
   FROM l LEFT JOIN kept ON kept.pos = (l.doc_id, l.line)
 ), f AS (
   SELECT doc_id, coalesce(string_agg(content, chr(10) ORDER BY line) FILTER (stays), '') AS text, count(*) AS n_lines, count_if(NOT stays) AS n_removed
