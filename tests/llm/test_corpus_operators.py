@@ -197,3 +197,29 @@ def test_targets_of_uneven_sources(llm):
         got = {x.source: x.target for x in mixing.targets(df).collect()}
         want = plain_targets(size)
         assert got == pytest.approx(want)
+
+
+@pytest.mark.parametrize("flip", [False, True])
+def test_texts_under_one_id_join_their_classes(llm, flip):
+    a, b = prose(1, 200), prose(2, 200)
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, prose(3, 200))]
+    rows = [rows[1], rows[0], *rows[2:]] if flip else rows
+    got = {r.doc_id: (r.class_id, r.class_size) for r in bag_minhash.classes(llm.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1, 3), 2: (1, 3), 3: (1, 3), 4: (4, 1)}
+
+
+def test_what_is_apart_after_the_rounds_is_compared(llm, monkeypatch):
+    """Without any round after the first, the last join alone finds the links between components."""
+    monkeypatch.setattr(bag_minhash, "ROUNDS", 1)
+    r = random.Random(5)
+    vocab = [f"w{i}" for i in range(3000)]
+    base = [r.choice(vocab) for _ in range(150)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for k in r.sample(range(150), r.choice([1, 2, 3, 5, 9])):
+            w[k] = r.choice(vocab)
+        rows.append((i, " ".join(w)))
+    want = plain_classes({i: t.encode() for i, t in rows})
+    assert {x.doc_id: x.class_id for x in bag_minhash.classes(llm.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+    assert len(set(want.values())) > 1
