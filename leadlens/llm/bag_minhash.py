@@ -3,22 +3,27 @@
 A document is a bag of five-word shingles, each weighing as often as it occurs. Weights are cut into
 dyadic levels, (0,1], (1,2], (2,4] and so on. Each level of each shingle has a Poisson process in
 time whose rate is the level's width; each point falls on one of the signature's places and on a
-weight inside the level, found by halving the level again and again, and counts only if the
-document's weight reaches it. A place holds the first point that fell on it. Two documents agree in
+weight inside the level, drawn at once as the limit of halving the level again and again, and counts only
+if the document's weight reaches it. A place holds the first point that fell on it. Two documents agree in
 a place with probability equal to their weighted Jaccard similarity, without bias, as the first
 point of the union belongs to both exactly in that share. Only points before a time that fills all
 places are made, so the work per document is its shingles once, plus a fixed number of points.
 
-Signatures are cut into bands; documents that share a band are candidates. Candidates whose whole
-signatures agree in enough places are compared by the exact overlap of their bags. In a band's bucket
-each document is first compared with one, the one that lies in the largest buckets, as the original
-of a group of copies does; that joins the group without listing its pairs. Then documents of one
-bucket that are still in different components are compared with each other, so no link between
-components is lost. Equal texts are one class from the start.
+Signatures are cut into bands; texts that share a band are candidates. In rounds, the texts of a band's
+bucket are compared with one of them: first with the one that lies in the largest buckets, as the original of
+a group of copies does, then with ones drawn anew for each bucket, so that a text meets as many others as it
+has bands. Pairs whose whole signatures agree in enough places are compared by the exact overlap of
+their bags. That joins a group without listing its pairs. Of the texts of a bucket that are still in
+different components after ``ROUNDS`` rounds, most have changes of their own: a text of whose shingles fewer than the
+similarity's share occur in any other component cannot be like a text of one, and goes. The others carry their bags into
+a last join, whose condition holds the bounds of the bags' sizes and the exact overlap: only links leave it, so
+that no link between components is lost and no candidate pair is written. Equal texts are one class from the start.
 
 Nulls and odd rows: texts are compared by their lower-cased words. A text of one to four words is one
 shingle. Null texts and texts without words are nobody's duplicates and are each a class of their
-own; so is a null id, whose class is null. Repeated rows with one id are one document. Results carry the least id of each class.
+own; so is a null id, whose class is null. Repeated rows with one id are one document; different texts under one id
+are one document too, which joins the classes of all its texts. A text is known by a 64-bit hash of its id and
+itself. Results carry the least id of each class.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadlens.llm.common import components, slices, splitmix, utf8_rows, written
@@ -42,6 +47,8 @@ SIMILARITY = 0.8
 #: Places of 80 in which a pair must agree to be compared by its texts: at similarity 0.8 they are 64 with
 #: a deviation of 3.6, so under one pair in a million stays below.
 AGREE = 44
+#: Rounds in which the texts of a bucket are compared with one of them.
+ROUNDS = 2
 
 
 _WORD_HASH: dict[bytes, int] = {}
@@ -157,7 +164,7 @@ def overlap(a: bytes, b: bytes) -> float:
 
 
 def band_keys(docs: DataFrame) -> DataFrame:
-    """(doc_id, words, sig, keys) of documents with words: digest of the words, 16 bits of each place of
+    """(doc_id, row, words, sig, keys) of documents with words: digest of the words, 16 bits of each place of
     the signature, and the band keys."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
@@ -165,12 +172,12 @@ def band_keys(docs: DataFrame) -> DataFrame:
         for b in slices(batches, "text", 4 << 20):
             at, words, sigs, keys = signed(utf8_rows(b, "text"))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").take(pa.array(at, pa.int64())), pa.array(words, pa.binary()),
+                [b.column("doc_id").take(pa.array(at, pa.int64())), b.column("row").take(pa.array(at, pa.int64())), pa.array(words, pa.binary()),
                  pa.array([x.tobytes() for x in (sigs >> np.uint64(48)).astype(np.uint16)], pa.binary()),
                  pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))],
-                names=["doc_id", "words", "sig", "keys"])
+                names=["doc_id", "row", "words", "sig", "keys"])
 
-    return docs.mapInArrow(run, f"doc_id {id_type}, words binary, sig binary, keys array<long>")
+    return docs.select("doc_id", "row", "text").mapInArrow(run, f"doc_id {id_type}, row long, words binary, sig binary, keys array<long>")
 
 
 def likely(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -188,12 +195,17 @@ def likely(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, types)
 
 
+def texts_of(reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """(rep, text) of the texts asked for."""
+    return docs.select(F.col("row").alias("rep"), "text").join(reps, "rep", "left_semi").dropDuplicates(["rep"])
+
+
 def verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose bags overlap enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = written(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "near_texts")
-    both = (pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text")), "a")
-            .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("other")), "b"))
+    ids = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
+    texts = written(texts_of(ids, docs), "near_texts")
+    both = (pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text")), "a")
+            .join(texts.select(F.col("rep").alias("b"), F.col("text").alias("other")), "b"))
     types = f"a {both.schema['a'].dataType.simpleString()}, b {both.schema['b'].dataType.simpleString()}, near boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,51 +216,109 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     return both.select("a", "b", "text", "other").mapInArrow(run, types).where("near").select("a", "b")
 
 
+def bags(texts: DataFrame) -> DataFrame:
+    """(rep, bag): a text's shingles as hashes, the k-th of equal ones told apart from the others."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text", 1 << 20):
+            words = [t.lower().split() for t in utf8_rows(b, "text")]
+            doc, hashes, weight = shingles(words) if words else (np.empty(0, np.int64),) * 3
+            times = weight.astype(np.int64)
+            first = np.repeat(np.cumsum(times) - times, times)
+            again = (np.arange(len(first)) - first).astype(np.uint64)
+            with np.errstate(over="ignore"):
+                each = splitmix(np.repeat(hashes, times) + again * np.uint64(0x9E3779B97F4A7C15))
+            ends = np.searchsorted(np.repeat(doc, times), np.arange(len(words) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("rep"), pa.ListArray.from_arrays(pa.array(ends), pa.array(each.view(np.int64)))], names=["rep", "bag"])
+
+    return texts.select("rep", "text").mapInArrow(run, "rep long, bag array<long>")
+
+
+def alike(x: Column, y: Column, similarity: float) -> Column:
+    """Whether two bags overlap enough; their sizes are looked at first."""
+    n, m = F.size(x), F.size(y)
+    both = F.size(F.array_intersect(x, y))
+    return (F.least(n, m) >= F.greatest(n, m) * F.lit(similarity)) & (both >= (n + m - both) * F.lit(similarity))
+
+
 def labelled(members: DataFrame, links: DataFrame) -> DataFrame:
     """(rep, label): the least of the texts that chains of links join to each text."""
     found = components(links).withColumnRenamed("id", "rep")
     return written(members.join(found, "rep", "left").select("rep", F.coalesce("label", "rep").alias("label")), "labels")
 
 
+def ordered(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def links_of_buckets(in_band: DataFrame, sigs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links enough to join all texts (rep, band, key) that chains of links within buckets join."""
+    size = in_band.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    buckets = written(in_band.join(size, ["band", "key"]), "buckets")
+    weight = buckets.groupBy("rep").agg(F.sum("n").alias("weight"))
+    members = written(weight, "members")
+    links = tested = label = None
+    for turn in range(ROUNDS):
+        if label is None:  # every text is a component of its own
+            open_ = buckets.join(members, "rep").withColumn("label", F.col("rep"))
+            order = F.struct(-F.col("weight"), "rep")
+        else:
+            open_ = _open(buckets, label)
+            order = F.xxhash64("rep", "band", "key", F.lit(turn))
+        heads = open_.groupBy("band", "key").agg(F.min(F.struct(order.alias("order"), F.col("rep").alias("head"), F.col("label").alias("to"))).alias("h"))
+        star = (open_.join(heads, ["band", "key"]).where("label <> h.to")
+                .select("rep", F.col("h.head").alias("head")).select(*ordered("rep", "head")).distinct())
+        star = written(star if tested is None else star.join(tested, ["a", "b"], "left_anti"), "pairs")
+        found = written(verified(written(likely(star, sigs), "likely"), docs, similarity), "near")
+        tested = star if tested is None else tested.unionByName(star)
+        if label is not None and found.isEmpty():
+            continue
+        links = found if links is None else links.unionByName(found)
+        label = labelled(members.select("rep"), links)
+    # what lies in one bucket and is still apart: every pair, compared within the join
+    meeting = written(_open(buckets, label).select("rep", "label").distinct(), "meeting")
+    if meeting.isEmpty():
+        return links
+    bag = written(bags(texts_of(meeting.select("rep"), docs)), "bags")
+    kept = written(shared_enough(bag.join(meeting, "rep"), similarity), "shared")
+    apart = _open(buckets, kept).select("band", "key", "rep", "label").join(bag, "rep")
+    x = apart.select("band", "key", F.col("rep").alias("x"), F.col("label").alias("lx"), F.col("bag").alias("bx"))
+    y = apart.select("band", "key", F.col("rep").alias("y"), F.col("label").alias("ly"), F.col("bag").alias("by"))
+    rest = x.join(y, ["band", "key"]).where((F.col("lx") < F.col("ly")) & alike(F.col("bx"), F.col("by"), similarity))
+    return links.unionByName(written(rest.select(*ordered("x", "y")).distinct(), "rest"))
+
+
+def shared_enough(bag: DataFrame, similarity: float) -> DataFrame:
+    """(rep, label) of the texts of whose bags (rep, label, bag) enough occurs in other components too."""
+    grams = bag.select("rep", "label", F.size("bag").alias("n"), F.explode("bag").alias("gram"))
+    several = grams.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    found = grams.join(several.select("gram"), "gram", "left_semi").groupBy("rep", "label", "n").agg(F.count(F.lit(1)).alias("k"))
+    return found.where(F.col("k") >= F.col("n") * F.lit(similarity)).select("rep", "label")
+
+
+def _open(buckets: DataFrame, label: DataFrame) -> DataFrame:
+    """The rows of the buckets that hold more than one component, with their labels."""
+    rows = buckets.select("band", "key", "rep").join(label, "rep")
+    unlike = rows.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    return rows.join(unlike.select("band", "key"), ["band", "key"])
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id, class_size) of every document: the least id of the documents that chains
     of near-duplicates join to it."""
     every = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = every.where("doc_id is not null")
+    rows = every.where("doc_id is not null").withColumn("row", F.xxhash64("doc_id", "text"))
     keyed = written(band_keys(rows), "bands")
-    same = keyed.groupBy("words").agg(F.min("doc_id").alias("rep"), F.min(F.struct("sig", "keys")).alias("s"))
+    same = keyed.groupBy("words").agg(F.min("row").alias("rep"), F.min(F.struct("sig", "keys")).alias("s"))
     same = written(same.select("words", "rep", "s.sig", "s.keys"), "copies")
-    # buckets of two distinct texts and more; a row a bucket and text
-    in_band = same.select("rep", F.posexplode("keys").alias("band", "key"))
-    size = in_band.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = written(in_band.join(size, ["band", "key"]), "buckets")
-    # the text in the middle of a group of copies is in the largest buckets: it is whom the others meet
-    middle = buckets.groupBy("rep").agg(F.sum("n").alias("weight"))
-    members = written(middle, "members")
-    heads = buckets.join(members, "rep").groupBy("band", "key").agg(F.max(F.struct("weight", "rep"))["rep"].alias("head"))
-    star = (buckets.join(heads, ["band", "key"]).where("rep <> head")
-            .select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b")).distinct())
-    star = written(star, "pairs")
-    sigs = same.select("rep", "sig")
-    links = written(verified(written(likely(star, sigs), "likely"), rows, similarity), "near")
-    label = labelled(members.select("rep"), links)
-    # texts of one bucket that are still apart: every pair that has not been compared
-    apart = written(buckets.select("band", "key", "rep").join(label, "rep"), "meeting")
-    unlike = apart.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    apart = apart.join(unlike.select("band", "key"), ["band", "key"])
-    x = apart.select("band", "key", F.col("rep").alias("x"), F.col("label").alias("lx"))
-    y = apart.select("band", "key", F.col("rep").alias("y"), F.col("label").alias("ly"))
-    rest = (x.join(y, ["band", "key"]).where("lx < ly").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-            .distinct().join(star, ["a", "b"], "left_anti"))
-    rest = written(likely(rest, sigs), "likely")
-    if not rest.isEmpty():
-        more = written(verified(rest, rows, similarity), "near")
-        if not more.isEmpty():
-            label = labelled(members.select("rep"), links.unionByName(more))
-    of = (keyed.select("doc_id", "words").join(same.select("words", "rep"), "words")
-          .join(label, "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("class_id")).distinct())
-    size = of.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
+    links = links_of_buckets(same.select("rep", F.posexplode("keys").alias("band", "key")), same.select("rep", "sig"), rows, similarity)
+    of = keyed.select("doc_id", "words").join(same.select("words", "rep"), "words").select("doc_id", "rep").distinct()
+    # the texts of one id belong together
+    several = of.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z")
+    links = links.unionByName(of.join(several, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b")))
+    label = components(links).withColumnRenamed("id", "rep")
+    of = written(of.join(label, "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("label")).distinct(), "labels")
+    size = of.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     # texts without words, and rows without an id
     alone = every.select("doc_id").distinct().join(of.select("doc_id"), "doc_id", "left_anti").select(
         "doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
-    return of.join(size, "class_id").select("doc_id", "class_id", "class_size").unionByName(alone)
+    return of.join(size, "label").select("doc_id", "class_id", "class_size").unionByName(alone)
