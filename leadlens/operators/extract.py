@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadlens.functions import html as H
+from leadlens.session import ensure_checkpoint_dir
 
 # ---- fixed patterns ---------------------------------------------------------------------
 NOISE = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
@@ -30,6 +31,8 @@ BOILERPLATE = (r"(?is)<nav\b.*?</nav>|<footer\b.*?</footer>|<aside\b.*?</aside>|
                r'|<div[^>]*class="(?:ad|ads|advert|advertisement)"[^>]*>.*?</div>')
 H1 = r"(?is)<h1\b[^>]*>(.*?)</h1>"
 TITLE = r"(?is)<title\b[^>]*>(.*?)</title>"
+#: Bits of the keyword filter for each keyword, and its 64-bit words at most (16 MB); a fuller one lets more n-grams into the join.
+FILTER_SHARE, FILTER_WORDS = 32, 1 << 21
 MIN_TEXT = 100  # an extraction method counts when its text is longer than this
 
 # Garbage rules (P12), first match wins: (reason, column, pattern).  Ours:
@@ -271,11 +274,15 @@ def keyword_hits(items: DataFrame, keywords: DataFrame, id_col: str = "item_id",
     distinct word n-grams, for the lengths that occur in the table only, and these are joined with the table:
     Spark broadcasts it below the session's bound and shuffles above, so a table may be of any length.
     Keywords without words match nothing; keywords that are equal in words each match.
+
+    Most n-grams are no keyword, and a bit table of the keywords' hashes lets only those go into the join
+    that are keywords, or share a bit with one (``filter_bits``); the join remains exact.
     """
+    ensure_checkpoint_dir(items.sparkSession)
     words = F.array_remove(F.split(F.lower("keyword"), WORD_SPLIT), "")
     table = (keywords.select("keyword", words.alias("w")).where(F.size("w") > 0)
-             .select("keyword", F.size("w").alias("n"), F.array_join("w", " ").alias("gram")).distinct())
-    lengths = sorted(r["n"] for r in table.select("n").distinct().collect())  # phrase lengths: a few numbers
+             .select("keyword", F.size("w").alias("n"), F.array_join("w", " ").alias("gram")).distinct().checkpoint())
+    held_by_length = {r["n"]: r["c"] for r in table.groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}  # phrase lengths: a few numbers
     tokens = F.array_remove(F.split(F.lower(_c(text)), WORD_SPLIT), "")
     held = items.select(id_col, tokens.alias("t")).where(F.size("t") > 0)
 
@@ -284,8 +291,31 @@ def keyword_hits(items: DataFrame, keywords: DataFrame, id_col: str = "item_id",
         zipped = F.arrays_zip(*(F.slice("t", k + 1, m) for k in range(n)))  # no lambda names a column outside it
         return F.transform(zipped, lambda z: F.concat_ws(" ", *(z[str(k)] for k in range(n))))
 
-    every = F.array_distinct(F.concat(F.array().cast("array<string>"), *map(grams, lengths)))
-    return held.select(id_col, F.explode(every).alias("gram")).join(table, "gram").select(id_col, "keyword")
+    every = F.array_distinct(F.concat(F.array().cast("array<string>"), *map(grams, sorted(held_by_length))))
+    size = filter_size(sum(held_by_length.values()))
+    word, bit = _filter_place("gram", size)
+    likely = held.select(id_col, F.explode(every).alias("gram")).where(
+        F.getbit(F.get(filter_bits(table, size).scalar(), word), bit) == 1)
+    return likely.join(table, "gram").select(id_col, "keyword")
+
+
+def filter_size(n: int) -> int:
+    """64-bit words of the bit table for n keywords: FILTER_SHARE bits each, rounded up to a power of two, within bounds."""
+    return min(max(1 << (n * FILTER_SHARE // 64).bit_length(), 1), FILTER_WORDS)
+
+
+def _filter_place(gram: str, size: int) -> tuple[Column, Column]:
+    """The word, from 0, and the bit in it that stand for a gram in a table of ``size`` words."""
+    h = F.xxhash64(gram)
+    return F.pmod(h, F.lit(size)).cast("int"), F.shiftrightunsigned(h, 58).cast("int")
+
+
+def filter_bits(table: DataFrame, size: int) -> DataFrame:
+    """One row with an array of ``size`` longs, in which each gram of ``table`` has its bit set."""
+    word, bit = _filter_place("gram", size)
+    seen = table.groupBy(word.cast("long").alias("id")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("b"))
+    dense = table.sparkSession.range(size).join(seen, "id", "left").select(F.struct("id", F.coalesce("b", F.lit(0).cast("long")).alias("b")).alias("w"))
+    return dense.agg(F.transform(F.sort_array(F.collect_list("w")), lambda w: w["b"]).alias("bits"))
 
 
 def prefilter_by_table(items: DataFrame, keywords: DataFrame, id_col: str = "item_id", text: str = "clean_text") -> DataFrame:

@@ -76,3 +76,32 @@ def test_exact_duplicates_shuffle_no_text_twice(odd):
     rows = out.collect()
     copies = Counter(r["text_md5"] for r in rows)
     assert rows and all(r["copies"] == copies[r["text_md5"]] for r in rows)
+
+
+# ---- keyword table --------------------------------------------------------------------------------
+def test_keyword_table_shuffles_texts_once_and_tests_grams_before(odd):
+    from leadlens.plans.text_jobs import p14_keyword_table
+
+    c, _, _ = odd
+    out = p14_keyword_table(c)
+    assert exchanges(out, "text") == 1  # the texts that are searched; keywords are a checkpoint
+    assert "getbit" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_keyword_filter_of_any_size_gives_the_same_hits(spark, monkeypatch):
+    from leadlens.operators import extract as T
+
+    keywords = [f"k{i}" for i in range(300)] + [f"k{i} k{i + 1}" for i in range(300)] + ["k1-K2", "", None]
+    items = spark.createDataFrame([(i, " ".join(f"{'kx'[(i + j) % 2]}{(i * j) % 400}" for j in range(40))) for i in range(50)] + [(7, "k5 K6"), (None, "k7"), (8, None)], "item_id long, clean_text string")
+    table = spark.createDataFrame([(k,) for k in keywords], "keyword string")
+    want = Counter()
+    for i, text in items.collect():
+        t = (text or "").lower().split()
+        grams = {*t, *(f"{a} {b}" for a, b in zip(t, t[1:]))}
+        want.update((i, k) for k in keywords if k and k.lower().replace("-", " ") in grams)
+    for words in (1, 4, T.FILTER_WORDS):
+        monkeypatch.setattr(T, "FILTER_WORDS", words)
+        assert Counter(map(tuple, T.keyword_hits(items, table).collect())) == want
+    kept = spark.createDataFrame([(f"k{i}",) for i in range(20)], "gram string")
+    bits = T.filter_bits(kept, T.filter_size(20)).first()["bits"]
+    assert sum(bin(b & (1 << 64) - 1).count("1") for b in bits) <= 20 < 64 * len(bits)
