@@ -37,18 +37,20 @@ class SearchIndex:
         self.spark, self.path = spark, path.rstrip("/")
 
     def build(self, items: DataFrame, item_scores: DataFrame) -> "SearchIndex":
-        """Write both tables; per-item texts are made distinct before they are cut."""
-        texts = (items.select("item_id", F.explode(F.array("title", "sector")).alias("text"))
+        """Write both tables; titles and sectors are read from the written items, without their texts."""
+        (items.withColumn("range", F.floor(F.col("item_id") / RANGE).cast("long")).repartition("range").sortWithinPartitions("range", "item_id")
+         .write.mode("overwrite").partitionBy("range").parquet(f"{self.path}/items"))
+        held = self.spark.read.schema(items.select("item_id", "title", "sector").schema).parquet(f"{self.path}/items")
+        texts = (held.select("item_id", F.explode(F.array("title", "sector")).alias("text"))
                  .unionByName(item_scores.select("item_id", F.col("lead_company").alias("text")))
                  .where("text is not null").select("item_id", F.lower("text").alias("text")).distinct())
-        # substrings of one text by their places; no shuffle but of distinct (gram, item) rows
-        cut = texts.where(F.length("text") >= 3).select("item_id", "text", F.explode(F.sequence(F.lit(1), F.length("text") - 2)).alias("at"))
-        grams = cut.select(F.expr("substring(text, at, 3)").alias("gram"), "item_id").distinct()
+        # a text's distinct trigrams, then one shuffle by folder, in which those of several texts of an item meet
+        cut = F.transform(F.sequence(F.lit(1), F.length("text") - 2), lambda at: F.substring(F.col("text"), at, F.lit(3)))
+        grams = texts.where(F.length("text") >= 3).select("item_id", F.explode(F.array_distinct(cut)).alias("gram"))
         folder = F.pmod(F.crc32(F.col("gram").cast("binary")), F.lit(FOLDERS)).cast("int")
-        (grams.withColumn("folder", folder).repartition("folder").sortWithinPartitions("folder", "gram", "item_id")
+        (grams.withColumn("folder", folder).repartition("folder").dropDuplicates(["folder", "gram", "item_id"])
+         .select("gram", "item_id", "folder").sortWithinPartitions("folder", "gram", "item_id")
          .write.mode("overwrite").partitionBy("folder").parquet(f"{self.path}/grams"))
-        (items.withColumn("range", F.floor(F.col("item_id") / RANGE).cast("long")).repartition("range").sortWithinPartitions("range", "item_id")
-         .write.mode("overwrite").partitionBy("range").parquet(f"{self.path}/items"))
         return self
 
     def candidates(self, search: str | None) -> DataFrame | None:

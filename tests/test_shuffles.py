@@ -105,3 +105,23 @@ def test_keyword_filter_of_any_size_gives_the_same_hits(spark, monkeypatch):
     kept = spark.createDataFrame([(f"k{i}",) for i in range(20)], "gram string")
     bits = T.filter_bits(kept, T.filter_size(20)).first()["bits"]
     assert sum(bin(b & (1 << 64) - 1).count("1") for b in bits) <= 20 < 64 * len(bits)
+
+
+# ---- search index -----------------------------------------------------------------------------------
+def test_search_index_reads_the_items_once(spark, odd, tmp):
+    from leadlens.sources.search import SearchIndex
+
+    c, docs, _ = odd
+    seen = spark.sparkContext.accumulator(0)
+
+    def title_of(text):
+        seen.add(1)
+        return (text or "")[:12]
+
+    docs_ = c.documents.select(F.col("doc_id").alias("item_id"), F.udf(title_of)("text").alias("title"), F.col("lang").alias("sector"))
+    scores = c.documents.select(F.col("doc_id").alias("item_id"), F.lit("AcmeAcme").alias("lead_company"))
+    SearchIndex(spark, f"{tmp}/index").build(docs_, scores)
+    assert seen.value == len(docs)
+    want = {(i, x[k:k + 3]) for i, text, lang, *_ in docs for x in ((text or "")[:12].lower(), lang or "", "acmeacme") for k in range(len(x) - 2)}
+    got = [tuple(r) for r in spark.read.parquet(f"{tmp}/index/grams").select("item_id", "gram").collect()]
+    assert set(got) == want and len(got) == len(want)
