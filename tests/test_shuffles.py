@@ -125,3 +125,35 @@ def test_search_index_reads_the_items_once(spark, odd, tmp):
     want = {(i, x[k:k + 3]) for i, text, lang, *_ in docs for x in ((text or "")[:12].lower(), lang or "", "acmeacme") for k in range(len(x) - 2)}
     got = [tuple(r) for r in spark.read.parquet(f"{tmp}/index/grams").select("item_id", "gram").collect()]
     assert set(got) == want and len(got) == len(want)
+
+
+# ---- stories --------------------------------------------------------------------------------------------
+def test_only_texts_that_share_enough_go_into_the_last_join(spark, monkeypatch):
+    words = {i: [f"w{i}x{j}" for j in range(100)] for i in range(40)}
+    for i in range(1, 40):
+        words[i][:12] = words[0][:12]  # one passage in all: shingles shared, texts unlike
+    words[40] = words[3][:97] + ["new", "end", "here"]
+    rows = [(i, " ".join(w)) for i, w in words.items()]
+    items = spark.createDataFrame([(i, t, None, None) for i, t in rows], "item_id long, clean_text string, published_at timestamp_ntz, created_at timestamp_ntz")
+    sets = K.ordered_sets(K.token_sets(items, "item_id", "clean_text")).checkpoint()
+    none = spark.createDataFrame([], "id long, label long")
+    assert {r["id"] for r in K.shared_enough(sets, none).collect()} == {3, 40}
+    joined = []
+    real = K.apart_candidates
+    monkeypatch.setattr(K, "apart_candidates", lambda rows: joined.append({r["id"] for r in rows.select("id").collect()}) or real(rows))
+    monkeypatch.setattr(K, "star_candidates", lambda rows, turn: rows.select("id", rows.id.alias("rep")).limit(0))  # all is left to the last join
+    found = {r["item_id"]: r["cluster_id"] for r in K.story_clusters(items).collect()}
+    assert found == {i: 3 if i in (3, 40) else None for i in words}
+    assert joined == [{3, 40}]
+
+
+# ---- lines ------------------------------------------------------------------------------------------------
+def test_line_prefixes_are_dealt_once_for_a_join(spark):
+    from leadlens.llm import line_dedup as L
+
+    sets = spark.range(50).select(F.col("id").alias("set"), F.lit(20).alias("n"), F.lit(7).cast("long").alias("bits"), F.array(F.col("id") % 5, F.col("id") % 7).alias("prefix"))
+    path = f"{spark.conf.get('spark.checkpoint.dir')}/line-sets"
+    sets.write.mode("overwrite").parquet(path)
+    with conf(spark, adaptive_enabled="false", autoBroadcastJoinThreshold="-1"):
+        plan = L.earliest_pairs(spark.read.parquet(path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ReusedExchange") == 1
