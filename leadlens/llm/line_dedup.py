@@ -143,10 +143,11 @@ def possible(shared: DataFrame) -> DataFrame:
 
 
 def by_key(sets: DataFrame, *more: str) -> DataFrame:
-    """A row for each prefix word of each set, dealt by the word; all that read it share one exchange."""
+    """A row for each prefix word of each set, dealt by the word; all that read it share one exchange, for
+    which what a join would infer of its sides, that nothing is null, is said here."""
     n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as many tasks however small the rows are
     return (sets.select("set", "n", "bits", *more, F.posexplode("prefix").alias("place", "key"))
-            .where("key is not null and set is not null").repartition(n, "key"))
+            .where("key is not null and set is not null and n is not null and bits is not null and place is not null").repartition(n, "key"))
 
 
 def earliest_pairs(sets: DataFrame) -> DataFrame:
