@@ -60,6 +60,59 @@ def test_line_dedup_of_many_near_copies(llm):
     assert sum(x.n_removed for x in got) > 50
 
 
+def joined_rows(plan):
+    """Rows that the joins below and in a plan that has run made."""
+    below = sum(joined_rows(plan.children().apply(i)) for i in range(plan.children().size()))
+    return below + (plan.metrics().apply("numOutputRows").value() if "Join" in plan.nodeName() else 0)
+
+
+def test_line_dedup_of_a_crowd_compares_few_pairs(llm, monkeypatch):
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    lines = [" ".join(f"x{r.randint(0, 10 ** 6)}" if r.random() < 0.12 else w for w in base) for _ in range(150)]
+    lines += [" ".join(base[:k] + [f"y{i}_{j}" for j in range(90)]) for i in range(40) for k in (0, 8)]  # a common passage
+    lines += [" ".join(r.sample([f"u{j}" for j in range(400)], 150)) for _ in range(100)]  # long, of the same words, unlike
+    r.shuffle(lines)
+    rows = [(i // 2, "\n".join(lines[i:i + 2])) for i in range(0, len(lines), 2)]
+    made, real = [], line_dedup.written
+
+    def written(df, name):
+        if name == "line_pairs":
+            df.collect()
+            made.append(joined_rows(df._jdf.queryExecution().executedPlan()))
+        return real(df, name)
+
+    monkeypatch.setattr(line_dedup, "written", written)
+    old = {k: llm.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    llm.conf.set("spark.sql.adaptive.enabled", "false")
+    llm.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    want, texts = plain_lines(rows), dict(rows)
+    try:
+        got = line_dedup.dedup(llm.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        for k, v in old.items():
+            llm.conf.set(k, v)
+    assert all((x.n_lines, x.n_removed, x.text) == want[x.doc_id, texts[x.doc_id]] for x in got)
+    assert 0 < sum(x.n_removed for x in got) < 100
+    assert sum(made) < 60_000, made  # 11,175 pairs of near copies and 4,950 of long lines
+
+
+def test_line_dedup_finds_sets_that_are_just_alike(llm):
+    r, rows = random.Random(3), []
+    for n in (4, 5, 6, 9, 13, 24, 39, 40, 99):
+        words = [f"v{i}" for i in range(3 * n)]
+        for _ in range(12):
+            base = r.sample(words, n)
+            rows.append((len(rows), " ".join(base)))
+            for _ in range(4):  # some words go, others come
+                gone = r.randint(0, n // 5)
+                line = r.sample(base, n - gone) + [f"z{r.randint(0, 10 ** 9)}" for _ in range(r.choice([0, gone, n // 4]))]
+                rows.append((len(rows), " ".join(r.sample(line, len(line)))))
+    want = plain_lines(rows)
+    got = line_dedup.dedup(llm.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all((x.n_lines, x.n_removed, x.text) == want[x.doc_id, rows[x.doc_id][1]] for x in got)
+
+
 def test_line_dedup_of_short_lines(llm):
     long = "\u6f22\u5b57" * 400
     rows = [(0, f"Read more\nHome\n\n{long}\na b c"), (1, f"Home\nmore Read\nRead\n \n{long}\nb c"),
