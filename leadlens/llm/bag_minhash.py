@@ -14,10 +14,13 @@ bucket are compared with one of them: first with the one that lies in the larges
 a group of copies does, then with ones drawn anew for each bucket, so that a text meets as many others as it
 has bands. Pairs whose whole signatures agree in enough places are compared by the exact overlap of
 their bags. That joins a group without listing its pairs. Of the texts of a bucket that are still in
-different components after ``ROUNDS`` rounds, most have changes of their own: a text of whose shingles fewer than the
-similarity's share occur in any other component cannot be like a text of one, and goes. The others carry their bags into
-a last join, whose condition holds the bounds of the bags' sizes and the exact overlap: only links leave it, so
-that no link between components is lost and no candidate pair is written. Equal texts are one class from the start.
+different components after ``ROUNDS`` rounds, most are like none of another component: they meet first with signatures
+and maps of ``BITS`` bits, of which each shingle sets one. Bits that differ show shingles that one text has alone, which
+bounds the overlap; a text that finds no other in reach goes. A text of whose shingles fewer than the similarity's share occur in
+any other component cannot be like a text of one, and goes too. The others carry their bags into a last join, whose
+condition holds the bounds of sizes, places and maps and the exact overlap, taken in the first band that two
+texts share: only links leave it, so that no link between components is lost and no candidate pair is written. Equal
+texts are one class from the start.
 
 Nulls and odd rows: texts are compared by their lower-cased words. A text of one to four words is one
 shingle. Null texts and texts without words are nobody's duplicates and are each a class of their
@@ -30,6 +33,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +51,12 @@ SIMILARITY = 0.8
 #: Places of 80 in which a pair must agree to be compared by its texts: at similarity 0.8 they are 64 with
 #: a deviation of 3.6, so under one pair in a million stays below.
 AGREE = 44
+#: Bits kept of each place, one in each plane of two 64-bit words; places that differ agree in them once in 64 times.
+PLANES = 6
 #: Rounds in which the texts of a bucket are compared with one of them.
 ROUNDS = 2
+#: Bits of a bag's map.
+BITS = 2048
 
 
 _WORD_HASH: dict[bytes, int] = {}
@@ -142,13 +150,21 @@ def bands(sigs: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def signed(texts: list[bytes]) -> tuple[list[int], list[bytes], np.ndarray, np.ndarray]:
-    """Places of the texts with words, digests of their words, their signatures and their band keys."""
+def planes(sigs: np.ndarray) -> np.ndarray:
+    """``PLANES`` bits of each place, a row a signature: bit j of all places lies in the words 2 j and 2 j + 1."""
+    out = np.zeros((len(sigs), PLANES, 128), np.uint8)
+    for j in range(PLANES):
+        out[:, j, :PLACES] = (sigs >> np.uint64(63 - j)) & np.uint64(1)
+    return np.packbits(out, axis=2).view(np.int64).reshape(len(sigs), 2 * PLANES)
+
+
+def signed(texts: list[bytes]) -> tuple[list[int], list[bytes], list[int], np.ndarray, np.ndarray]:
+    """Places of the texts with words, digests of their words, sizes of their bags, their signatures and their band keys."""
     words = [t.lower().split() for t in texts]  # of bytes, lower() changes A-Z only
     at = [i for i, w in enumerate(words) if w]
     words = [words[i] for i in at]
     sigs = signatures(*shingles(words), len(words)) if at else np.empty((0, PLACES), np.uint64)
-    return at, [xxhash.xxh3_128_digest(b" ".join(w)) for w in words], sigs, bands(sigs)
+    return at, [xxhash.xxh3_128_digest(b" ".join(w)) for w in words], [max(1, len(w) - WORDS + 1) for w in words], sigs, bands(sigs)
 
 
 def overlap(a: bytes, b: bytes) -> float:
@@ -164,35 +180,37 @@ def overlap(a: bytes, b: bytes) -> float:
 
 
 def band_keys(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, words, sig, keys) of documents with words: digest of the words, 16 bits of each place of
+    """(doc_id, row, words, n, sig, keys) of documents with words: digest of the words, size of the bag, the planes of
     the signature, and the band keys."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 4 << 20):
-            at, words, sigs, keys = signed(utf8_rows(b, "text"))
+            at, words, n, sigs, keys = signed(utf8_rows(b, "text"))
+            ends = np.arange(len(at) + 1, dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").take(pa.array(at, pa.int64())), b.column("row").take(pa.array(at, pa.int64())), pa.array(words, pa.binary()),
-                 pa.array([x.tobytes() for x in (sigs >> np.uint64(48)).astype(np.uint16)], pa.binary()),
-                 pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))],
-                names=["doc_id", "row", "words", "sig", "keys"])
+                [b.column("doc_id").take(pa.array(at, pa.int64())), b.column("row").take(pa.array(at, pa.int64())), pa.array(words, pa.binary()), pa.array(n, pa.int32()),
+                 pa.ListArray.from_arrays(pa.array(ends * (2 * PLANES)), pa.array(planes(sigs).ravel())),
+                 pa.ListArray.from_arrays(pa.array(ends * BANDS), pa.array(keys.ravel()))],
+                names=["doc_id", "row", "words", "n", "sig", "keys"])
 
-    return docs.select("doc_id", "row", "text").mapInArrow(run, f"doc_id {id_type}, row long, words binary, sig binary, keys array<long>")
+    return docs.select("doc_id", "row", "text").mapInArrow(run, f"doc_id {id_type}, row long, words binary, n int, sig array<long>, keys array<long>")
 
 
-def likely(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures agree in ``AGREE`` places, from (rep, sig)."""
-    both = (pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("x")), "a")
-            .join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("y")), "b"))
-    types = f"a {both.schema['a'].dataType.simpleString()}, b {both.schema['b'].dataType.simpleString()}"
+def in_reach(n: Column, m: Column, x: Column, y: Column, similarity: float) -> Column:
+    """Whether bags of n and m shingles can be alike enough, and their signatures agree in ``AGREE`` places."""
+    unlike = F.lit(0)
+    for half in range(2):  # a place differs if it does in any plane
+        any_ = [F.get(x, F.lit(2 * j + half)).bitwiseXOR(F.get(y, F.lit(2 * j + half))) for j in range(PLANES)]
+        unlike = unlike + F.bit_count(reduce(Column.bitwiseOR, any_))
+    return (F.least(n, m) >= F.greatest(n, m) * F.lit(similarity)) & (unlike <= PLACES - AGREE)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, PLACES) for c in ("x", "y"))
-            on = pa.array(np.flatnonzero((x == y).sum(1) >= AGREE))
-            yield pa.RecordBatch.from_arrays([b.column("a").take(on), b.column("b").take(on)], names=["a", "b"])
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, types)
+def likely(pairs: DataFrame, sigs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that can be alike enough, from (rep, n, sig)."""
+    return (pairs.join(sigs.select(F.col("rep").alias("a"), "n", F.col("sig").alias("x")), "a")
+            .join(sigs.select(F.col("rep").alias("b"), F.col("n").alias("m"), F.col("sig").alias("y")), "b")
+            .where(in_reach(*map(F.col, ("n", "m", "x", "y")), similarity)).select("a", "b"))
 
 
 def texts_of(reps: DataFrame, docs: DataFrame) -> DataFrame:
@@ -200,10 +218,8 @@ def texts_of(reps: DataFrame, docs: DataFrame) -> DataFrame:
     return docs.select(F.col("row").alias("rep"), "text").join(reps, "rep", "left_semi").dropDuplicates(["rep"])
 
 
-def verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose bags overlap enough."""
-    ids = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-    texts = written(texts_of(ids, docs), "near_texts")
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose bags overlap enough, from (rep, text)."""
     both = (pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text")), "a")
             .join(texts.select(F.col("rep").alias("b"), F.col("text").alias("other")), "b"))
     types = f"a {both.schema['a'].dataType.simpleString()}, b {both.schema['b'].dataType.simpleString()}, near boolean"
@@ -217,7 +233,8 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
 
 
 def bags(texts: DataFrame) -> DataFrame:
-    """(rep, bag): a text's shingles as hashes, the k-th of equal ones told apart from the others."""
+    """(rep, bag, map): a text's shingles as hashes, the k-th of equal ones told apart from the others, and ``BITS`` bits,
+    of which each sets one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 1 << 20):
             words = [t.lower().split() for t in utf8_rows(b, "text")]
@@ -227,17 +244,28 @@ def bags(texts: DataFrame) -> DataFrame:
             again = (np.arange(len(first)) - first).astype(np.uint64)
             with np.errstate(over="ignore"):
                 each = splitmix(np.repeat(hashes, times) + again * np.uint64(0x9E3779B97F4A7C15))
-            ends = np.searchsorted(np.repeat(doc, times), np.arange(len(words) + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("rep"), pa.ListArray.from_arrays(pa.array(ends), pa.array(each.view(np.int64)))], names=["rep", "bag"])
+            owner = np.repeat(doc, times)
+            ends = np.searchsorted(owner, np.arange(len(words) + 1)).astype(np.int32)
+            bits = np.zeros((len(words), BITS), np.uint8)
+            bits[owner, (each % np.uint64(BITS)).astype(np.int64)] = 1
+            maps = np.packbits(bits, axis=1).view(np.int64).ravel()
+            at = np.arange(len(words) + 1, dtype=np.int32) * (BITS // 64)
+            yield pa.RecordBatch.from_arrays([b.column("rep"), pa.ListArray.from_arrays(pa.array(ends), pa.array(each.view(np.int64))),
+                                              pa.ListArray.from_arrays(pa.array(at), pa.array(maps))], names=["rep", "bag", "map"])
+
+    return texts.select("rep", "text").mapInArrow(run, "rep long, bag array<long>, map array<long>")
+
 
-    return texts.select("rep", "text").mapInArrow(run, "rep long, bag array<long>")
+def maps_allow(n: Column, m: Column, x: Column, y: Column, similarity: float) -> Column:
+    """Whether bags of n and m shingles can be alike enough: bits that differ are of shingles that are in one bag alone."""
+    unlike = F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, k: total + k)
+    return unlike * F.lit(1 + similarity) <= (n + m) * F.lit(1 - similarity) + F.lit(1e-6)
 
 
 def alike(x: Column, y: Column, similarity: float) -> Column:
-    """Whether two bags overlap enough; their sizes are looked at first."""
-    n, m = F.size(x), F.size(y)
-    both = F.size(F.array_intersect(x, y))
-    return (F.least(n, m) >= F.greatest(n, m) * F.lit(similarity)) & (both >= (n + m - both) * F.lit(similarity))
+    """Whether two bags overlap enough. What is shared is named once, as Spark works out what is named twice before
+    it looks at the tests to the left."""
+    return F.size(F.array_intersect(x, y)) * F.lit(1 + similarity) >= (F.size(x) + F.size(y)) * F.lit(similarity) - F.lit(1e-6)
 
 
 def labelled(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -256,6 +284,7 @@ def links_of_buckets(in_band: DataFrame, sigs: DataFrame, docs: DataFrame, simil
     buckets = written(in_band.join(size, ["band", "key"]), "buckets")
     weight = buckets.groupBy("rep").agg(F.sum("n").alias("weight"))
     members = written(weight, "members")
+    texts = written(texts_of(members.select("rep"), docs), "near_texts")  # the texts of all others are not shuffled again
     links = tested = label = None
     for turn in range(ROUNDS):
         if label is None:  # every text is a component of its own
@@ -268,23 +297,39 @@ def links_of_buckets(in_band: DataFrame, sigs: DataFrame, docs: DataFrame, simil
         star = (open_.join(heads, ["band", "key"]).where("label <> h.to")
                 .select("rep", F.col("h.head").alias("head")).select(*ordered("rep", "head")).distinct())
         star = written(star if tested is None else star.join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = written(verified(written(likely(star, sigs), "likely"), docs, similarity), "near")
+        found = written(verified(written(likely(star, sigs, similarity), "likely"), texts, similarity), "near")
         tested = star if tested is None else tested.unionByName(star)
         if label is not None and found.isEmpty():
             continue
         links = found if links is None else links.unionByName(found)
         label = labelled(members.select("rep"), links)
-    # what lies in one bucket and is still apart: every pair, compared within the join
+    # what lies in one bucket and is still apart: every pair, compared within the joins
     meeting = written(_open(buckets, label).select("rep", "label").distinct(), "meeting")
     if meeting.isEmpty():
         return links
-    bag = written(bags(texts_of(meeting.select("rep"), docs)), "bags")
-    kept = written(shared_enough(bag.join(meeting, "rep"), similarity), "shared")
-    apart = _open(buckets, kept).select("band", "key", "rep", "label").join(bag, "rep")
-    x = apart.select("band", "key", F.col("rep").alias("x"), F.col("label").alias("lx"), F.col("bag").alias("bx"))
-    y = apart.select("band", "key", F.col("rep").alias("y"), F.col("label").alias("ly"), F.col("bag").alias("by"))
-    rest = x.join(y, ["band", "key"]).where((F.col("lx") < F.col("ly")) & alike(F.col("bx"), F.col("by"), similarity))
-    return links.unionByName(written(rest.select(*ordered("x", "y")).distinct(), "rest"))
+    bag = written(bags(texts.join(meeting, "rep", "left_semi")), "bags")
+    apart = _open(buckets, meeting).join(sigs, "rep").withColumn("before", F.slice("keys", F.lit(1), F.col("band")))
+    x, y = _sides(apart.drop("before").join(bag.select("rep", "map"), "rep"))
+    possible = [in_reach(*map(F.col, ("n", "m", "sig", "so")), similarity), maps_allow(*map(F.col, ("n", "m", "map", "mo")), similarity)]
+    found = x.join(y, _tests([F.col("band") == F.col("band_o"), F.col("key") == F.col("key_o"), F.col("label") != F.col("lo"), *possible]), "left_semi")
+    found = written(found.select("rep", "label").distinct(), "meeting")
+    kept = written(shared_enough(bag.join(found, "rep"), similarity), "shared")
+    # two texts are compared under the first band that they share
+    x, y = _sides(apart.join(kept.select("rep"), "rep", "left_semi").join(bag, "rep"))
+    rest = x.join(y, _tests([F.col("band") == F.col("band_o"), F.col("key") == F.col("key_o"), F.col("label") < F.col("lo"),
+                             possible[0], ~F.arrays_overlap("before", "bo"), possible[1], alike(F.col("bag"), F.col("go"), similarity)]))
+    return links.unionByName(written(rest.select(*ordered("rep", "o")).distinct(), "rest"))
+
+
+def _tests(tests: list[Column]) -> Column:
+    return reduce(Column.__and__, tests)
+
+
+def _sides(apart: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of texts and buckets under the names of each side of a join."""
+    names = {"band": "band_o", "key": "key_o", "rep": "o", "label": "lo", "n": "m", "sig": "so", "before": "bo", "map": "mo", "bag": "go"}
+    names = {c: to for c, to in names.items() if c in apart.columns}
+    return apart.select(*names), apart.select(*(F.col(c).alias(to) for c, to in names.items()))
 
 
 def shared_enough(bag: DataFrame, similarity: float) -> DataFrame:
@@ -308,9 +353,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     every = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = every.where("doc_id is not null").withColumn("row", F.xxhash64("doc_id", "text"))
     keyed = written(band_keys(rows), "bands")
-    same = keyed.groupBy("words").agg(F.min("row").alias("rep"), F.min(F.struct("sig", "keys")).alias("s"))
-    same = written(same.select("words", "rep", "s.sig", "s.keys"), "copies")
-    links = links_of_buckets(same.select("rep", F.posexplode("keys").alias("band", "key")), same.select("rep", "sig"), rows, similarity)
+    same = keyed.groupBy("words").agg(F.min("row").alias("rep"), F.min(F.struct("n", "sig", "keys")).alias("s"))
+    same = written(same.select("words", "rep", "s.n", "s.sig", "s.keys"), "copies")
+    links = links_of_buckets(same.select("rep", F.posexplode("keys").alias("band", "key")), same.select("rep", "n", "sig", "keys"), rows, similarity)
     of = keyed.select("doc_id", "words").join(same.select("words", "rep"), "words").select("doc_id", "rep").distinct()
     # the texts of one id belong together
     several = of.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z")

@@ -276,3 +276,27 @@ def test_what_is_apart_after_the_rounds_is_compared(llm, monkeypatch):
     want = plain_classes({i: t.encode() for i, t in rows})
     assert {x.doc_id: x.class_id for x in bag_minhash.classes(llm.createDataFrame(rows, "doc_id long, text string")).collect()} == want
     assert len(set(want.values())) > 1
+
+
+def test_texts_that_are_not_near_bring_no_bags_to_the_last_join(llm, monkeypatch):
+    """Copies of one text with so many changes each that no two are alike, though most of each occurs in others."""
+    r = random.Random(6)
+    vocab = [f"w{i}" for i in range(3000)]
+    base = [r.choice(vocab) for _ in range(200)]
+    rows = []
+    for i in range(50):
+        w = list(base)
+        for k in range(5 + i % 20, 200, 28):
+            w[k] = f"own{i}x{k}"
+        rows.append((i, " ".join(w)))
+    made, real = {}, bag_minhash.written
+
+    def written(df, name):
+        out = real(df, name)
+        made[name] = out.count()
+        return out
+    monkeypatch.setattr(bag_minhash, "written", written)
+    near = [(50, "first " + rows[0][1])]  # one real link
+    got = {x.doc_id: x.class_id for x in bag_minhash.classes(llm.createDataFrame(rows + near, "doc_id long, text string")).collect()}
+    assert got == plain_classes({i: t.encode() for i, t in rows + near})
+    assert made["buckets"] > 50 and made.get("shared", 0) < 25
