@@ -307,15 +307,16 @@ def links_of_buckets(in_band: DataFrame, sigs: DataFrame, docs: DataFrame, simil
     meeting = written(_open(buckets, label).select("rep", "label").distinct(), "meeting")
     if meeting.isEmpty():
         return links
-    bag = written(bags(texts.join(meeting, "rep", "left_semi")), "bags")
-    apart = _open(buckets, meeting).join(sigs, "rep").withColumn("before", F.slice("keys", F.lit(1), F.col("band")))
-    x, y = _sides(apart.drop("before").join(bag.select("rep", "map"), "rep"))
+    bag = written(bags(texts.join(meeting, "rep", "left_semi")).join(sigs, "rep"), "bags")
+    apart = written(_open(buckets, meeting).select("band", "key", "rep", "label"), "apart")
+    x, y = _sides(apart.join(bag.select("rep", "n", "sig", "map"), "rep"))
     possible = [in_reach(*map(F.col, ("n", "m", "sig", "so")), similarity), maps_allow(*map(F.col, ("n", "m", "map", "mo")), similarity)]
     found = x.join(y, _tests([F.col("band") == F.col("band_o"), F.col("key") == F.col("key_o"), F.col("label") != F.col("lo"), *possible]), "left_semi")
     found = written(found.select("rep", "label").distinct(), "meeting")
-    kept = written(shared_enough(bag.join(found, "rep"), similarity), "shared")
+    kept = written(shared_enough(bag.select("rep", "bag").join(found, "rep"), similarity), "shared")
     # two texts are compared under the first band that they share
-    x, y = _sides(apart.join(kept.select("rep"), "rep", "left_semi").join(bag, "rep"))
+    apart = written(_open(buckets, kept).select("band", "key", "rep", "label"), "apart")
+    x, y = _sides(apart.join(bag, "rep").withColumn("before", F.slice("keys", F.lit(1), F.col("band"))))
     rest = x.join(y, _tests([F.col("band") == F.col("band_o"), F.col("key") == F.col("key_o"), F.col("label") < F.col("lo"),
                              possible[0], ~F.arrays_overlap("before", "bo"), possible[1], alike(F.col("bag"), F.col("go"), similarity)]))
     return links.unionByName(written(rest.select(*ordered("rep", "o")).distinct(), "rest"))
