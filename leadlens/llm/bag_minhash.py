@@ -17,9 +17,11 @@ their bags. That joins a group without listing its pairs. Of the texts of a buck
 different components after ``ROUNDS`` rounds, most are like none of another component: they meet first with signatures
 and maps of ``BITS`` bits, of which each shingle sets one. Bits that differ show shingles that one text has alone, which
 bounds the overlap; a text that finds no other in reach goes. A text of whose shingles fewer than the similarity's share occur in
-any other component cannot be like a text of one, and goes too. The others carry their bags into a last join, whose
-condition holds the bounds of sizes, places and maps and the exact overlap, taken in the first band that two
-texts share: only links leave it, so that no link between components is lost and no candidate pair is written. Equal
+any other component cannot be like a text of one, and goes too. The others meet in a last join, whose condition holds
+the bounds of sizes, places and maps, taken in the first band that two texts share, so that each pair leaves it once;
+their bags are fetched for the pairs in reach alone, and overlapped exactly, so that no link between components is lost. A
+row of the last join is some hundred bytes, however long its text: where a few buckets hold much, Spark cuts
+both sides and joins each piece with each, in tasks as many as the square of the bytes. Equal
 texts are one class from the start.
 
 Nulls and odd rows: texts are compared by their lower-cased words. A text of one to four words is one
@@ -316,10 +318,19 @@ def links_of_buckets(in_band: DataFrame, sigs: DataFrame, docs: DataFrame, simil
     kept = written(shared_enough(bag.select("rep", "bag").join(found, "rep"), similarity), "shared")
     # two texts are compared under the first band that they share
     apart = written(_open(buckets, kept).select("band", "key", "rep", "label"), "apart")
-    x, y = _sides(apart.join(bag, "rep").withColumn("before", F.slice("keys", F.lit(1), F.col("band"))))
+    bits = bag.select("rep", "n", "sig", "keys", "map")
+    x, y = _sides(apart.join(bits, "rep").withColumn("before", F.slice("keys", F.lit(1), F.col("band"))).drop("keys"))
     rest = x.join(y, _tests([F.col("band") == F.col("band_o"), F.col("key") == F.col("key_o"), F.col("label") < F.col("lo"),
-                             possible[0], ~F.arrays_overlap("before", "bo"), possible[1], alike(F.col("bag"), F.col("go"), similarity)]))
-    return links.unionByName(written(rest.select(*ordered("rep", "o")).distinct(), "rest"))
+                             possible[0], ~F.arrays_overlap("before", "bo"), possible[1]]))
+    rest = written(rest.select(*ordered("rep", "o")).distinct(), "possible")
+    return links.unionByName(written(overlapping(rest, bag, similarity), "rest"))
+
+
+def overlapping(pairs: DataFrame, bag: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose bags (rep, bag) overlap enough."""
+    return (pairs.join(bag.select(F.col("rep").alias("a"), F.col("bag").alias("x")), "a")
+            .join(bag.select(F.col("rep").alias("b"), F.col("bag").alias("y")), "b")
+            .where(alike(F.col("x"), F.col("y"), similarity)).select("a", "b"))
 
 
 def _tests(tests: list[Column]) -> Column:
@@ -328,7 +339,7 @@ def _tests(tests: list[Column]) -> Column:
 
 def _sides(apart: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of texts and buckets under the names of each side of a join."""
-    names = {"band": "band_o", "key": "key_o", "rep": "o", "label": "lo", "n": "m", "sig": "so", "before": "bo", "map": "mo", "bag": "go"}
+    names = {"band": "band_o", "key": "key_o", "rep": "o", "label": "lo", "n": "m", "sig": "so", "before": "bo", "map": "mo"}
     names = {c: to for c, to in names.items() if c in apart.columns}
     return apart.select(*names), apart.select(*(F.col(c).alias(to) for c, to in names.items()))
 

@@ -300,3 +300,25 @@ def test_texts_that_are_not_near_bring_no_bags_to_the_last_join(llm, monkeypatch
     got = {x.doc_id: x.class_id for x in bag_minhash.classes(llm.createDataFrame(rows + near, "doc_id long, text string")).collect()}
     assert got == plain_classes({i: t.encode() for i, t in rows + near})
     assert made["buckets"] > 50 and made.get("shared", 0) < 25
+
+
+def test_rows_of_the_last_join_do_not_grow_with_the_texts(llm, monkeypatch):
+    """Rows that hold whole bags, once a band, are cut into so many pieces where buckets are large that the driver cannot hold their tasks."""
+    monkeypatch.setattr(bag_minhash, "ROUNDS", 1)
+    r = random.Random(8)
+    base = [f"w{r.randrange(9000)}" for _ in range(600)]
+    rows = []
+    for i in range(24):
+        w = list(base)
+        for k in r.sample(range(600), r.choice([4, 12, 36])):
+            w[k] = f"own{i}x{k}"
+        rows.append((i, " ".join(w)))
+    sides, real = [], bag_minhash._sides
+
+    def widest(apart):
+        sides.append(max(len(str(x)) for x in apart.drop("sig", "map", "before").collect()))
+        return real(apart)
+    monkeypatch.setattr(bag_minhash, "_sides", widest)
+    got = {x.doc_id: x.class_id for x in bag_minhash.classes(llm.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_classes({i: t.encode() for i, t in rows})
+    assert len(sides) == 2 and max(sides) < 500
