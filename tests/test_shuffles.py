@@ -2,6 +2,7 @@
 
 import contextlib
 import datetime as dt
+import random
 from collections import Counter
 
 import pytest
@@ -147,6 +148,102 @@ def test_only_texts_that_share_enough_go_into_the_last_join(spark, monkeypatch):
     assert joined == [{3, 40}]
 
 
+def passages(n=40):
+    """Texts that share a passage and are unlike, but for 3 and n."""
+    words = {i: [f"w{i}x{j}" for j in range(100)] for i in range(n)}
+    for i in range(1, n):
+        words[i][:30] = words[0][:30]
+    words[n] = words[3][:97] + ["new", "end", "here"]
+    return [(i, " ".join(w), None, None) for i, w in words.items()]
+
+
+ITEMS = "item_id long, clean_text string, published_at timestamp_ntz, created_at timestamp_ntz"
+
+
+def test_only_whole_sets_that_may_be_alike_are_fetched(spark, monkeypatch):
+    fetched = []
+    real = K.verified_edges
+    monkeypatch.setattr(K, "verified_edges", lambda pairs, sets: fetched.append({r["id"] for r in sets.select("id").collect()}) or real(pairs, sets))
+    every = K.star_candidates  # as if each text's prefix held the passage
+    monkeypatch.setattr(K, "star_candidates", lambda rows, turn: every(rows, turn).unionByName(spark.createDataFrame([(i, 0) for i in range(1, 41)], "id long, rep long")).distinct())
+    found = {r["item_id"]: r["cluster_id"] for r in K.story_clusters(spark.createDataFrame(passages(), ITEMS)).collect()}
+    assert found == {i: 3 if i in (3, 40) else None for i in range(41)}
+    assert set().union(*fetched) == {3, 40}
+
+
+def test_texts_of_stories_are_shuffled_once_and_without_lookups(odd):
+    c, docs, events = odd
+    texts = K.worded(c.items, "item_id", "clean_text")
+    assert exchanges(texts.groupBy("words").agg(F.min("id")), "text") == 0
+    assert exchanges(texts.groupBy("words").agg(F.min("id")), "words") == 1
+
+
+def test_prefix_rows_of_elements_that_one_text_has_do_not_go_on(spark):
+    sets = K.ordered_sets(K.token_sets(spark.createDataFrame(passages(), ITEMS), "item_id", "clean_text"))
+    rows = K.prefix_rows(sets).checkpoint()
+    with K.scratch(spark) as keep:
+        got = [tuple(r) for r in K.shared_rows(rows, keep).collect()]
+    count = Counter(r["key"] for r in rows.collect())
+    assert sorted(got) == sorted(tuple(r) for r in rows.collect() if count[r["key"]] > 1) and 0 < len(got) < rows.count()
+
+
+def test_maps_reject_unlike_sets_only(spark):
+    rnd = random.Random(9)
+    rows, sets = [], {}
+    for i in range(0, 240, 2):
+        n = rnd.choice([1, 3, 63, 64, 65, 127, 128, 129, 300, 1000, 1030, 2100])
+        base = [rnd.randrange(-1 << 63, 1 << 63) for _ in range(n)]
+        other = base[:rnd.randrange(int(0.6 * n), n + 1)]
+        other += [rnd.randrange(-1 << 63, 1 << 63) for _ in range(rnd.randrange(0, 1 + n // 10))]
+        sets[i], sets[i + 1] = set(base), set(other or base)
+    rows = [(i, i % 3, len(s), list(s)) for i, s in sets.items()]
+    df = spark.createDataFrame(rows, "id long, copy long, n int, keys array<bigint>")
+    maps = K.parity_maps(df).checkpoint()
+    for r in maps.collect():
+        want = [0] * len(r["map"])
+        for e in sets[r["id"]]:
+            want[(e >> 6) % len(want)] ^= 1 << (e & 63)
+        assert [w & (1 << 64) - 1 for w in r["map"]] == want and len(sets[r["id"]]) <= 64 * len(want) <= 128 + 2 * len(sets[r["id"]])
+    pairs = [(i + 1, i) for i in range(0, 240, 2)] + [(i + 2, i) for i in range(0, 200, 2)]
+    left = {tuple(r) for r in K.pairs_in_reach(spark.createDataFrame(pairs, "id long, rep long"), maps).collect()}
+    alike = {(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= K.SIMILARITY * len(sets[a] | sets[b]) - 1e-9}
+    near = {(a, b) for a, b in pairs if 100 < 0.8 * max(len(sets[a]), len(sets[b])) <= min(len(sets[a]), len(sets[b]))}  # in other pairs, sizes decide
+    far = {(a, b) for a, b in near if len(sets[a] & sets[b]) < 0.5 * len(sets[a] | sets[b])}
+    assert alike and far and alike <= left and not left & far
+
+
+@pytest.mark.parametrize("crowd", [0, 16])
+def test_texts_in_reach_of_other_components(spark, monkeypatch, crowd):
+    monkeypatch.setattr(K, "CROWD", crowd)
+    sets = K.ordered_sets(K.token_sets(spark.createDataFrame(passages(), ITEMS), "item_id", "clean_text")).withColumn("copy", F.lit(0))
+    maps = K.parity_maps(sets).checkpoint()
+    for labels, want in (([], {3, 40}), ([(40, 3)], set())):
+        rows = K.open_rows(K.prefix_rows(sets), spark.createDataFrame(labels, "id long, label long"))
+        assert {r["id"] for r in K.sets_in_reach(rows, maps).collect()} == want
+
+
+def test_sets_are_found_by_any_number_of_ids(spark, monkeypatch):
+    monkeypatch.setattr(K, "TABLE_BITS", 1024)
+    sets = spark.range(5000)
+    for n in (0, 3, 4000):
+        ids = spark.range(n).unionByName(spark.range(n))
+        assert sorted(r["id"] for r in K.sets_of(ids, sets).collect()) == list(range(n))
+
+
+def test_stories_of_repeated_and_null_ids(spark, tmp):
+    a, b, c = ([f"{x}{j}" for j in range(40)] for x in "abc")
+    rows = [(None, " ".join(a)), (1, " ".join(a)), (2, " ".join(a) + " end"), (3, " ".join(b)), (3, " ".join(c)), (4, " ".join(b) + " end"), (5, " ".join(c)), (6, "x y"), (6, "x y"), (None, None)]
+    found = K.story_clusters(spark.createDataFrame([(i, t, None, None) for i, t in rows], ITEMS)).select("item_id", "cluster_id").distinct().collect()
+    assert {tuple(r) for r in found} == {(None, None), (1, 1), (2, 1), (3, 3), (4, 3), (5, 3), (6, None)}
+
+
+def test_stories_leave_no_scratch_tables(spark):
+    import glob
+
+    K.story_clusters(spark.createDataFrame(passages(5), ITEMS)).collect()
+    assert not glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/stories-*")
+
+
 # ---- lines ------------------------------------------------------------------------------------------------
 def test_line_prefixes_are_dealt_once_for_a_join(spark):
     from leadlens.llm import line_dedup as L
